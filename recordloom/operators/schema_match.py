@@ -70,7 +70,7 @@ TEMPLATE_MINIMUM = 30
 DICTIONARY, SUGGESTED, UNMAPPED, MANUAL = "Dictionary Match", "AI Suggested", "Unmapped", "Manual"
 IGNORE = "ignore"
 
-MAPPING_SCHEMA = "original_column string, canonical_column string, confidence_score double, match_type string"
+MAPPING_SCHEMA = "entry_no int, original_column string, canonical_column string, confidence_score double, match_type string"
 
 
 def _literal_map(values: Mapping[str, str]) -> Column:
@@ -92,8 +92,19 @@ def expand_synonyms(tokens: Column) -> Column:
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _similarities(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Matching-block ratio of each name to every canonical name."""
+    matchers = [SequenceMatcher(None, "", target) for target in CANONICAL]
+
+    def ratios(name: str | None) -> list[float] | None:
+        if name is None:
+            return None
+        out = []
+        for matcher in matchers:
+            matcher.set_seq1(name)
+            out.append(matcher.ratio())
+        return out
+
     for batch in names:
-        yield batch.map(lambda name: [SequenceMatcher(None, name, target).ratio() for target in CANONICAL])
+        yield batch.map(ratios)
 
 
 def match_names(names: DataFrame, column: str = "original_column") -> DataFrame:
@@ -115,7 +126,7 @@ def match_names(names: DataFrame, column: str = "original_column") -> DataFrame:
         F.when(F.col("_snake").isin(targets) | F.col("_key").isin(targets), F.col("_snake")),
     )
     scored = named.withColumn("_known", known).withColumn(
-        "_ratios", F.when(F.col("_known").isNull(), _similarities(F.concat_ws("_", "_words")))
+        "_ratios", _similarities(F.when(F.col("_known").isNull(), F.concat_ws("_", "_words")))
     )
     candidates = []
     for i, target in enumerate(CANONICAL):
@@ -192,7 +203,7 @@ def _first_entries(spark: SparkSession, entries: list[tuple]) -> DataFrame:
     first: dict[str, tuple] = {}
     for entry in entries:
         first.setdefault(entry[0], entry)
-    return spark.createDataFrame(list(first.values()), MAPPING_SCHEMA)
+    return spark.createDataFrame([(no, *entry) for no, entry in enumerate(first.values(), 1)], MAPPING_SCHEMA)
 
 
 def rename_auto(spark: SparkSession, tables: Mapping[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -1,0 +1,140 @@
+"""Excel workbooks: first sheet, header row, one workbook per task."""
+
+from __future__ import annotations
+
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from datetime import datetime, timedelta
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_ROWS = "path string, row_no long, cells array<struct<kind:string,text:string>>"
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+# Built-in number formats that show dates and times.
+_DATE_FORMATS = {*range(14, 23), *range(45, 48)}
+
+
+def _column_no(reference: str) -> int:
+    number = 0
+    for letter in re.match("[A-Z]+", reference).group():
+        number = number * 26 + ord(letter) - 64
+    return number - 1
+
+
+def _date_styles(book: zipfile.ZipFile) -> list[bool]:
+    """Per cell style, whether it shows a date."""
+    if "xl/styles.xml" not in book.namelist():
+        return []
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {
+        int(f.get("numFmtId")): bool(re.search("[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode")).lower()))
+        for f in root.iter(f"{_MAIN}numFmt")
+    }
+    styles = root.find(f"{_MAIN}cellXfs")
+    ids = [int(x.get("numFmtId", 0)) for x in styles] if styles is not None else []
+    return [i in _DATE_FORMATS or own.get(i, False) for i in ids]
+
+
+def _first_sheet(book: zipfile.ZipFile) -> str:
+    """Path of the first sheet, which need not be the file called sheet1."""
+    sheet = next(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"))
+    link = next(value for name, value in sheet.attrib.items() if name.endswith("}id"))
+    for relation in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")):
+        if relation.get("Id") == link:
+            target = relation.get("Target")
+            return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    raise ValueError("workbook without sheets")
+
+
+def _cell(cell: ElementTree.Element, strings: list[str], dates: list[bool]) -> tuple[str, str] | None:
+    kind = cell.get("t", "n")
+    if kind == "inlineStr":
+        return "s", "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
+    value = cell.find(f"{_MAIN}v")
+    if value is None or value.text is None or kind == "e":
+        return None
+    if kind == "s":
+        return "s", strings[int(value.text)]
+    if kind == "b":
+        return "b", "true" if value.text == "1" else "false"
+    if kind == "n":
+        style = int(cell.get("s", 0))
+        if style < len(dates) and dates[style]:
+            moment = datetime(1899, 12, 30) + timedelta(days=float(value.text))
+            return "d", moment.isoformat(sep=" ", timespec="milliseconds")
+        return "n", value.text
+    return "s", value.text
+
+
+def sheet_rows(content: bytes) -> Iterator[list[tuple[str, str] | None]]:
+    """Rows of the first sheet of a workbook, as (kind, text) cells."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        strings: list[str] = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
+            strings = ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in root]
+        dates = _date_styles(book)
+        with book.open(_first_sheet(book)) as sheet:
+            for _, row in ElementTree.iterparse(sheet):
+                if row.tag != f"{_MAIN}row":
+                    continue
+                cells: list[tuple[str, str] | None] = []
+                for at, cell in enumerate(row):
+                    place = _column_no(cell.get("r")) if cell.get("r") else at
+                    cells += [None] * (place + 1 - len(cells))
+                    cells[place] = _cell(cell, strings, dates)
+                yield cells
+                row.clear()
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            found, start = [], 0
+            for cells in sheet_rows(content):
+                found.append([None if c is None else {"kind": c[0], "text": c[1]} for c in cells])
+                if len(found) == 10_000:
+                    yield pd.DataFrame({"path": path, "row_no": range(start, start + len(found)), "cells": found})
+                    start, found = start + len(found), []
+            if found:
+                yield pd.DataFrame({"path": path, "row_no": range(start, start + len(found)), "cells": found})
+
+
+def _typed(cell: Column, kinds: set[str], whole: bool) -> Column:
+    if kinds == {"n"}:
+        return cell["text"].cast("double").cast("long") if whole else cell["text"].cast("double")
+    if kinds == {"b"}:
+        return cell["text"].cast("boolean")
+    if kinds == {"d"}:
+        return cell["text"].cast("timestamp_ntz")
+    return cell["text"]
+
+
+def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """First sheet of each workbook at ``path``, all with the same header row.
+
+    The header and one summary row with the kinds of cells per column come to
+    the driver; the rows stay on the cluster.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = files.mapInPandas(_read, _ROWS)
+    head = rows.filter("row_no = 0").orderBy("path").limit(1).collect()
+    if not head:
+        return spark.createDataFrame([], "empty string").drop("empty")
+    names = [c["text"] if c else f"Unnamed: {i}" for i, c in enumerate(head[0]["cells"])]
+    body = rows.filter("row_no > 0")
+    cells = [F.get("cells", F.lit(i)) for i in range(len(names))]
+    facts = []
+    for i, cell in enumerate(cells):
+        number = F.when(cell["kind"] == "n", cell["text"].cast("double"))
+        facts += [F.collect_set(cell["kind"]).alias(f"k{i}"), F.bool_and(number == F.floor(number)).alias(f"w{i}")]
+    kinds = body.agg(*facts).first()
+    filled = F.exists("cells", lambda c: c.isNotNull())
+    return body.filter(filled).select(
+        *[_typed(c, set(kinds[f"k{i}"]), bool(kinds[f"w{i}"])).alias(names[i]) for i, c in enumerate(cells)]
+    )

@@ -49,7 +49,7 @@ def schema_report(spark: SparkSession, folder: str) -> DataFrame:
 def match_words(spark: SparkSession, folder: str) -> DataFrame:
     """Each distinct word of all documents as a column name; how many map where."""
     words = table(spark, folder, "documents").select(F.explode(F.split("text", r"\s+")).alias("original_column"))
-    matched = schema_match.match_names(words.distinct())
+    matched = schema_match.match_names(schema_match.spread(words.distinct()))
     return matched.groupBy("match_type", F.when(F.col("match_type") != "Unmapped", F.col("canonical_column")).alias("target")).agg(
         F.count("*").alias("n"), F.round(F.max("confidence_score"), 6).alias("highest")
     )

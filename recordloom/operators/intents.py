@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.cells import float_text, strip
+from recordloom.operators.stored import first_known, parsed
+
+UNKNOWN_VALUE = "N/A"
 
 # Words that tell an intent, in the order in which intents are tried.
 INTENT_WORDS = {
@@ -31,20 +36,54 @@ SUGGESTED_QUESTIONS = (
 def intent(question: Column) -> Column:
     """The first intent of which a word occurs anywhere in the question."""
     lowered = F.lower(question)
-    label = None
+    label = F
     for name, words in INTENT_WORDS.items():
-        hit = lowered.rlike("|".join(words))
-        label = F.when(hit, name) if label is None else label.when(hit, name)
+        label = label.when(reduce(lambda a, b: a | b, [lowered.contains(word) for word in words]), name)
     return label.otherwise("UNKNOWN")
 
 
-def _stored(*paths: str) -> list[Column]:
-    return [F.get_json_object("processing_results", f"$.{path}") for path in paths]
+def _bullets(path: str) -> Column:
+    lines = F.transform(first_known(path), lambda s: F.concat(F.lit("- "), s, F.lit("\n")))
+    return F.coalesce(F.array_join(lines, ""), F.lit(""))
 
 
-def _bullets(path: str) -> Column:
-    items = F.from_json(F.get_json_object("processing_results", f"$.{path}"), "array<string>")
-    return F.coalesce(F.array_join(F.transform(items, lambda s: F.concat(F.lit("- "), s, F.lit("\n"))), ""), F.lit(""))
+def answer_parts(projects: DataFrame) -> DataFrame:
+    """Per project the pieces that answers are made of; the stored JSON is parsed here, once."""
+
+    def score(name: str) -> Column:
+        return first_known(f"trust_report.score_breakdown.{name}", f"trust_report.{name}", default=UNKNOWN_VALUE)
+
+    def stat(name: str) -> Column:
+        return F.when(
+            first_known("entity_resolution_report.multi_file_stats", "multi_file_stats").isNotNull(),
+            first_known(f"entity_resolution_report.multi_file_stats.{name}", f"multi_file_stats.{name}", default="0"),
+        )
+
+    return parsed(projects).select(
+        "project_id",
+        F.coalesce(F.col("total_records").cast("string"), F.lit(UNKNOWN_VALUE)).alias("_total"),
+        F.coalesce(
+            F.col("quality_score").cast("string"),
+            first_known("trust_report.score_breakdown.final_score", "trust_report.final_score", default=UNKNOWN_VALUE),
+        ).alias("_score"),
+        first_known(
+            "trust_report.duplicates_merged", "entity_resolution_report.duplicates_merged", default="0"
+        ).alias("_merged"),
+        first_known(
+            "trust_report.conflicts_detected", "entity_resolution_report.conflicts_detected", default="0"
+        ).alias("_conflicts"),
+        score("completeness_score").alias("_completeness"),
+        score("consistency_score").alias("_consistency"),
+        score("duplicate_score").alias("_duplicate_score"),
+        _bullets("data_insights").alias("_insights"),
+        _bullets("recommendations").alias("_advice"),
+        F.coalesce(F.size(first_known("relationship_graphs.nodes")), F.lit(0)).alias("_nodes"),
+        F.coalesce(F.size(first_known("relationship_graphs.edges")), F.lit(0)).alias("_edges"),
+        stat("linked_entities").alias("_linked"),
+        stat("unmatched_entities").alias("_unmatched"),
+        stat("cross_file_matches").alias("_matches"),
+        F.col("_results").isNotNull().alias("_stored"),
+    )
 
 
 def answers(questions: DataFrame, projects: DataFrame, facts: DataFrame | None = None) -> DataFrame:
@@ -54,8 +93,7 @@ def answers(questions: DataFrame, projects: DataFrame, facts: DataFrame | None =
     duplicate_rows, revenue_column, revenue_total``. Questions on unknown
     projects are answered too, as not found.
     """
-    held = projects.select("project_id", "quality_score", "total_records", "processing_results")
-    rows = questions.withColumn("intent", intent(F.col("question"))).join(held, "project_id", "left")
+    rows = questions.withColumn("intent", intent(F.col("question"))).join(answer_parts(projects), "project_id", "left")
     if facts is not None:
         rows = rows.join(facts, "project_id", "left")
     else:
@@ -67,48 +105,35 @@ def answers(questions: DataFrame, projects: DataFrame, facts: DataFrame | None =
             }
         )
     has_facts = F.col("duplicate_rows").isNotNull()
-    unknown = F.lit("N/A")
-    score = F.coalesce(
-        F.col("quality_score").cast("string"), *_stored("trust_report.score_breakdown.final_score"), unknown
-    )
-    merged = F.coalesce(
-        *_stored("trust_report.duplicates_merged", "entity_resolution_report.duplicates_merged"), F.lit("0")
-    )
-    found = F.coalesce(
-        *_stored("trust_report.conflicts_detected", "entity_resolution_report.conflicts_detected"), F.lit("0")
-    )
 
-    def part(name: str) -> Column:
-        return F.coalesce(*_stored(f"trust_report.score_breakdown.{name}", f"trust_report.{name}"), unknown)
+    def text(*pieces: str | Column) -> Column:
+        return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in pieces])
 
-    insight_lines, advice_lines = _bullets("data_insights"), _bullets("recommendations")
     insights = F.when(
-        (insight_lines == "") & (advice_lines == ""), F.lit("No specific insights were generated for this dataset.")
+        (F.col("_insights") == "") & (F.col("_advice") == ""), "No specific insights were generated for this dataset."
     ).otherwise(
-        F.concat(
-            F.lit("**Key Insights (Quality Score: "), score, F.lit("):**\n"), insight_lines,
-            F.lit("\n**Recommendations:**\n"), advice_lines,
+        text(
+            "**Key Insights (Quality Score: ", F.col("_score"), "):**\n", F.col("_insights"),
+            "\n**Recommendations:**\n", F.col("_advice"),
         )
     )
-    duplicates = F.concat(
-        F.lit("**Duplicate Analysis:**\n- Duplicates Merged: "), merged,
-        F.lit("\n- Duplicate Score: "), part("duplicate_score"), F.lit("/100\n"),
-        F.when(
-            F.col("duplicate_rows") > 0,
-            F.concat(F.lit("\nFound "), F.col("duplicate_rows").cast("string"), F.lit(" duplicate rows in raw data.")),
-        ).otherwise(""),
+    raw = F.when(
+        F.col("duplicate_rows") > 0,
+        text("\nFound ", F.col("duplicate_rows").cast("string"), " duplicate rows in raw data."),
+    ).otherwise("")
+    duplicates = text(
+        "**Duplicate Analysis:**\n- Duplicates Merged: ", F.col("_merged"),
+        "\n- Duplicate Score: ", F.col("_duplicate_score"), "/100\n", raw,
     )
-    quality = F.concat(
-        F.lit("**Data Quality Report:**\n- Completeness Score: "), part("completeness_score"),
-        F.lit("\n- Consistency Score: "), part("consistency_score"),
-        F.lit("\n- Conflicts Detected: "), found,
+    quality = text(
+        "**Data Quality Report:**\n- Completeness Score: ", F.col("_completeness"),
+        "\n- Consistency Score: ", F.col("_consistency"), "\n- Conflicts Detected: ", F.col("_conflicts"),
     )
     revenue = (
         F.when(
             F.col("revenue_column").isNotNull(),
-            F.concat(
-                F.lit("**Revenue Summary:**\n- Total "), F.col("revenue_column"), F.lit(": "),
-                float_text(F.col("revenue_total")),
+            text(
+                "**Revenue Summary:**\n- Total ", F.col("revenue_column"), ": ", float_text(F.col("revenue_total"))
             ),
         )
         .when(has_facts, "Could not find a clear revenue column in the dataset.")
@@ -117,42 +142,31 @@ def answers(questions: DataFrame, projects: DataFrame, facts: DataFrame | None =
             "However, the data appears to be processed successfully."
         )
     )
-
-    def length(path: str) -> Column:
-        return F.coalesce(F.json_array_length(F.get_json_object("processing_results", f"$.{path}")), F.lit(0))
-
-    nodes, edges = length("relationship_graphs.nodes"), length("relationship_graphs.edges")
     relationship = F.when(
-        nodes > 0,
-        F.concat(
-            F.lit("**Relationship Intelligence:**\nFound "), nodes.cast("string"),
-            F.lit(" connected entities and "), edges.cast("string"), F.lit(" relationships."),
+        F.col("_nodes") > 0,
+        text(
+            "**Relationship Intelligence:**\nFound ", F.col("_nodes").cast("string"), " connected entities and ",
+            F.col("_edges").cast("string"), " relationships.",
         ),
     ).otherwise("No relationship graphs were generated for this dataset.")
-    stats = F.coalesce(*_stored("entity_resolution_report.multi_file_stats", "multi_file_stats"))
-
-    def stat(name: str) -> Column:
-        return F.coalesce(F.get_json_object(stats, f"$.{name}"), F.lit("0"))
-
     multi_file = F.when(
-        stats.isNotNull() & (stats != "{}"),
-        F.concat(
-            F.lit("**Multi-File Intelligence:**\n- Linked Entities: "), stat("linked_entities"),
-            F.lit("\n- Unmatched Entities: "), stat("unmatched_entities"),
-            F.lit("\n- Cross-file Matches: "), stat("cross_file_matches"),
+        F.col("_linked").isNotNull(),
+        text(
+            "**Multi-File Intelligence:**\n- Linked Entities: ", F.col("_linked"),
+            "\n- Unmatched Entities: ", F.col("_unmatched"), "\n- Cross-file Matches: ", F.col("_matches"),
         ),
     ).otherwise("No multi-file intelligence statistics were found. This may be a single file upload.")
-    summary = F.concat(
-        F.lit("**Project Summary:**\nThis dataset contains "),
-        F.coalesce(F.col("total_records").cast("string"), unknown),
-        F.lit(" total records. Processing achieved a Quality Score of "), score,
-        F.lit(". During entity resolution, "), merged,
-        F.lit(
-            " duplicates were merged. Please ask me specific questions about insights, quality, or duplicates!"
-        ),
+    summary = text(
+        "**Project Summary:**\nThis dataset contains ", F.col("_total"),
+        " total records. Processing achieved a Quality Score of ", F.col("_score"),
+        ". During entity resolution, ", F.col("_merged"),
+        " duplicates were merged. Please ask me specific questions about insights, quality, or duplicates!",
     )
     by_intent = (
-        F.when(F.col("processing_results").isNull() & ~has_facts, "Data not found. Project may have expired or does not exist.")
+        F.when(
+            ~F.coalesce("_stored", F.lit(False)) & ~has_facts,
+            "Data not found. Project may have expired or does not exist.",
+        )
         .when(F.col("intent") == "INSIGHTS", insights)
         .when(F.col("intent") == "DUPLICATES", duplicates)
         .when(F.col("intent") == "QUALITY", quality)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recordloom.durable import materialise
 from recordloom.functions.cells import col, value_text
 from recordloom.functions.rows import ORD, settle_order, side_by_side, with_order
 
@@ -113,14 +114,23 @@ def append(left: DataFrame, right: DataFrame) -> DataFrame:
     return lined_up(left, first).unionByName(lined_up(right, second))
 
 
-def _merge_two(left: DataFrame, right: DataFrame) -> DataFrame:
-    keys = shared_keys(left, right)
-    return full_outer(left, right, keys) if keys else append(left, right)
-
-
 def merge(tables: list[DataFrame]) -> DataFrame:
-    """Left fold over the tables, as one lazy plan; ``_ord`` is a sortable struct."""
-    return reduce(_merge_two, [df if ORD in df.columns else with_order(df) for df in tables])
+    """Left fold over the tables; ``_ord`` of the result is a sortable struct.
+
+    Two tables give one lazy plan. With more, the table merged so far is written
+    before it is joined again: a join reads it three times, and plans that held
+    all earlier joins three times over would grow out of hand.
+    """
+    parts = [df if ORD in df.columns else with_order(df) for df in tables]
+    merged, joined = parts[0], False
+    for part in parts[1:]:
+        keys = shared_keys(merged, part)
+        if keys:
+            merged = full_outer(materialise(merged, "merging") if joined else merged, part, keys)
+        else:
+            merged = append(merged, part)
+        joined = joined or bool(keys)
+    return merged
 
 
 def merge_in_order(tables: list[DataFrame]) -> DataFrame:

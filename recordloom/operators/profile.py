@@ -229,35 +229,39 @@ def _compared(df: DataFrame, exclude: tuple[str, ...]) -> list[str]:
     return [n for n in df.columns if n not in exclude and n != ORD]
 
 
-def _suspects(df: DataFrame, names: list[str]) -> DataFrame:
-    """Rows whose digest occurs more than once, which is all that can be duplicates.
+# Texts up to this length are compared as they are, longer ones by their SHA-256.
+COMPARED_LENGTH = 64
 
-    Long texts would otherwise be shuffled whole just to find that they occur
-    once. A digest that clashes only lets a row through to the exact count.
-    """
-    if all(isinstance(type_of(df, n), (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)) for n in names):
-        return df
-    digest = F.xxhash64(*[col(n) for n in names])
-    often = df.select(digest.alias("_digest")).groupBy("_digest").count().filter("count > 1").select("_digest")
-    return df.withColumn("_digest", digest).join(often, "_digest", "left_semi").drop("_digest")
 
+def _row_keys(df: DataFrame, names: list[str]) -> list[Column]:
+    """What rows are compared by. Long texts are not shuffled, their digests are."""
+    keys = []
+    for i, name in enumerate(names):
+        c = col(name)
+        if isinstance(type_of(df, name), T.StringType):
+            short = F.length(c) <= COMPARED_LENGTH
+            c = F.when(short, F.concat(F.lit("t"), c)).when(~short, F.concat(F.lit("h"), F.sha2(c, 256)))
+        elif isinstance(type_of(df, name), (T.MapType, T.VariantType)):
+            c = F.sha2(F.to_json(c), 256)
+        keys.append(c.alias(f"_k{i}"))
+    return keys
 
-def duplicate_groups(df: DataFrame, exclude: tuple[str, ...] = ("entity_id",)) -> DataFrame:
-    """The tuples that occur more than once, with their number of rows in ``_n``."""
-    names = _compared(df, exclude)
-    return (
-        _suspects(df, names).groupBy(*[col(n) for n in names]).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
-    )
+
+def _copied_keys(df: DataFrame, names: list[str]) -> DataFrame:
+    keys = [f"_k{i}" for i in range(len(names))]
+    return df.select(*_row_keys(df, names)).groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
 
 
 def duplicate_rows_count(df: DataFrame, exclude: tuple[str, ...] = ("entity_id",)) -> DataFrame:
     """One row: how many rows are copies of another, each copy counted."""
-    return duplicate_groups(df, exclude).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("duplicate_rows"))
+    copied = _copied_keys(df, _compared(df, exclude))
+    return copied.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("duplicate_rows"))
 
 
 def duplicate_rows(df: DataFrame, exclude: tuple[str, ...] = ("entity_id",)) -> DataFrame:
     """All rows whose tuple occurs more than once."""
     names = _compared(df, exclude)
-    groups = duplicate_groups(df, exclude).select(*[col(n).alias(f"_g{i}") for i, n in enumerate(names)])
-    same = [col(n).eqNullSafe(F.col(f"_g{i}")) for i, n in enumerate(names)]
-    return _suspects(df, names).join(groups, reduce(lambda a, b: a & b, same), "left_semi")
+    keys = [f"_k{i}" for i in range(len(names))]
+    copied = _copied_keys(df, names).select(*[F.col(k).alias(f"_g{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g{k}")) for k in keys])
+    return df.select("*", *_row_keys(df, names)).join(copied, same, "left_semi").drop(*keys)

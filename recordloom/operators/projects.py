@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.cells import round_even
+from recordloom.operators.stored import COUNTS, first_known, parsed
 
 
 def _known(projects: DataFrame) -> DataFrame:
     def count(field: str) -> Column:
-        text = F.get_json_object("processing_results", f"$.entity_resolution_report.{field}")
-        return F.coalesce(text.try_cast("long"), F.lit(0))
+        return F.coalesce(first_known(f"entity_resolution_report.{field}").try_cast("long"), F.lit(0))
 
-    return projects.withColumns(
+    return parsed(projects, COUNTS).withColumns(
         {
             "_name": F.coalesce("project_name", F.lit("Unknown")),
             "_records": F.coalesce(F.col("total_records").cast("long"), F.lit(0)),

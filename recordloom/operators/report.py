@@ -6,13 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAPPINGS = "array<struct<original_column:string,canonical_column:string,confidence_score:string,match_type:string>>"
-CATALOG = "array<struct<column_name:string,data_type:string,null_percentage:string,description:string>>"
-DESCRIPTION_LENGTH = 80
-
+from recordloom.operators.stored import first_known, parsed
 
-def _json(path: str) -> Column:
-    return F.get_json_object("processing_results", f"$.{path}")
+DESCRIPTION_LENGTH = 80
 
 
 def _row(key: Column | str, value: Column | str, detail: Column | str = "", note: Column | str = "") -> Column:
@@ -32,24 +28,20 @@ def report_sections(projects: DataFrame) -> DataFrame:
     Everything is row-local, so the report of any number of projects is one
     scan. Empty lists give the sentence the report shows instead.
     """
-    merged = F.coalesce(_json("entity_resolution_report.duplicates_merged"), _json("trust_report.duplicates_merged"), F.lit("0"))
-    found = F.coalesce(
-        _json("entity_resolution_report.conflicts_detected"), _json("trust_report.conflicts_detected"), F.lit("0")
-    )
-    before = F.coalesce(_json("entity_resolution_report.records_before_merge"), _json("records_processed"))
+    merged = first_known("entity_resolution_report.duplicates_merged", "trust_report.duplicates_merged", default="0")
+    found = first_known("entity_resolution_report.conflicts_detected", "trust_report.conflicts_detected", default="0")
+    before = first_known("entity_resolution_report.records_before_merge", "records_processed")
     after = F.coalesce(
-        _json("entity_resolution_report.records_after_merge"),
+        first_known("entity_resolution_report.records_after_merge"),
         (before.try_cast("long") - merged.try_cast("long")).cast("string"),
         F.col("total_records").cast("string"),
     )
-    unknown = F.lit("N/A")
 
     def part(name: str) -> Column:
-        return F.coalesce(_json(f"trust_report.score_breakdown.{name}"), unknown)
+        return first_known(f"trust_report.score_breakdown.{name}", default="N/A")
 
     final = F.coalesce(
-        _json("trust_report.score_breakdown.final_score"),
-        _json("trust_report.quality_score"),
+        first_known("trust_report.score_breakdown.final_score", "trust_report.quality_score"),
         F.col("quality_score").cast("string"),
     )
     executive = F.array(
@@ -57,7 +49,7 @@ def report_sections(projects: DataFrame) -> DataFrame:
         _row("Records After Merge", after),
         _row("Duplicates Merged", merged),
         _row("Conflicts Detected", found),
-        _row("Processing Time", F.coalesce(_json("trust_report.processing_time"), unknown)),
+        _row("Processing Time", first_known("trust_report.processing_time", default="N/A")),
     )
     trust = F.array(
         _row("Final Score", final),
@@ -66,16 +58,16 @@ def report_sections(projects: DataFrame) -> DataFrame:
         _row("Duplicate Score", part("duplicate_score")),
     )
     mapping = F.transform(
-        F.from_json(_json("mappings_applied"), MAPPINGS),
+        first_known("mappings_applied"),
         lambda m: _row(m["original_column"], m["canonical_column"], m["confidence_score"], m["match_type"]),
     )
     catalog = F.transform(
-        F.from_json(_json("data_catalog"), CATALOG),
+        first_known("data_catalog"),
         lambda c: _row(c["column_name"], c["data_type"], c["null_percentage"], cut_description(c["description"])),
     )
 
     def lines(path: str) -> Column:
-        return F.transform(F.from_json(_json(path), "array<string>"), lambda s: _row("•", s))
+        return F.transform(first_known(path), lambda s: _row("•", s))
 
     def or_else(rows: Column, sentence: str) -> Column:
         return F.when(F.coalesce(F.size(rows), F.lit(0)) > 0, rows).otherwise(F.array(_row(sentence, "")))
@@ -90,7 +82,8 @@ def report_sections(projects: DataFrame) -> DataFrame:
     }
     tables = F.array(*[F.struct(F.lit(n).alias("section"), rows.alias("rows")) for n, rows in sections.items()])
     return (
-        projects.select("project_id", F.explode(tables).alias("t"))
+        parsed(projects)
+        .select("project_id", F.explode(tables).alias("t"))
         .select("project_id", "t.section", F.posexplode("t.rows").alias("seq", "row"))
         .select("project_id", "section", (F.col("seq") + 1).alias("seq"), "row.*")
     )

@@ -199,8 +199,7 @@ def merge_records(df: DataFrame, assignments: DataFrame, positions: bool = False
     return grouped.select(entity_id(F.col("entity_no")).alias("entity_id"), "entity_no", *values, first)
 
 
-def conflicts(df: DataFrame, assignments: DataFrame, records: DataFrame) -> DataFrame:
-    """``(entity_no, conflicts)``: later values that differ from the one kept."""
+def _conflicts_per_row(df: DataFrame, assignments: DataFrame, records: DataFrame) -> DataFrame:
     names = data_columns(df)
     kept = records.select("entity_no", *[col(n).alias(f"_kept{i}") for i, n in enumerate(names)])
     differs = [
@@ -208,7 +207,13 @@ def conflicts(df: DataFrame, assignments: DataFrame, records: DataFrame) -> Data
         for i, n in enumerate(names)
     ]
     total = reduce(lambda a, b: a + b, differs, F.lit(0))
-    return df.join(assignments, ORD).join(kept, "entity_no").groupBy("entity_no").agg(F.sum(total).alias("conflicts"))
+    return df.join(assignments, ORD).join(kept, "entity_no").select("entity_no", total.alias("conflicts"))
+
+
+def conflicts(df: DataFrame, assignments: DataFrame, records: DataFrame) -> DataFrame:
+    """``(entity_no, conflicts)``: later values that differ from the one kept."""
+    rows = _conflicts_per_row(df, assignments, records)
+    return rows.groupBy("entity_no").agg(F.sum("conflicts").alias("conflicts"))
 
 
 def resolution_report(assignments: DataFrame, conflict_counts: DataFrame) -> DataFrame:
@@ -231,5 +236,6 @@ def resolve(df: DataFrame, positions: bool = False) -> Resolution:
         df = df.withColumnRenamed("entity_id", "source_entity_id")
     assignments = assign_entities(df)
     records = merge_records(df, assignments, positions)
-    report = resolution_report(assignments, conflicts(df, assignments, records))
+    # Summed without grouping, so that Spark may split the rows of a hot entity in the join.
+    report = resolution_report(assignments, _conflicts_per_row(df, assignments, records))
     return Resolution(assignments, records, report)

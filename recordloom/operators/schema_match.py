@@ -89,22 +89,33 @@ def expand_synonyms(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.coalesce(table[t], t))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _similarities(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Matching-block ratio of each name to every canonical name."""
-    matchers = [SequenceMatcher(None, "", target) for target in CANONICAL]
+def _name_scores(name: str | None, bonuses: list[float] | None, matchers: list[SequenceMatcher]) -> list[float] | None:
+    """Ratio plus bonus for each canonical name; None where it cannot be the best.
+
+    ``quick_ratio`` is never below ``ratio``, so candidates are tried in the order
+    of that bound and those whose bound is below the best so far are left out.
+    """
+    if name is None:
+        return None
+    bounds = []
+    for matcher, bonus in zip(matchers, bonuses):
+        matcher.set_seq1(name)
+        bounds.append(matcher.quick_ratio() + bonus)
+    scores: list[float | None] = [None] * len(matchers)
+    best = -1.0
+    for i in sorted(range(len(matchers)), key=bounds.__getitem__, reverse=True):
+        if bounds[i] < best:
+            break
+        scores[i] = matchers[i].ratio() + bonuses[i]
+        best = max(best, scores[i])
+    return scores
 
-    def ratios(name: str | None) -> list[float] | None:
-        if name is None:
-            return None
-        out = []
-        for matcher in matchers:
-            matcher.set_seq1(name)
-            out.append(matcher.ratio())
-        return out
 
-    for batch in names:
-        yield batch.map(ratios)
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    matchers = [SequenceMatcher(None, "", target) for target in CANONICAL]
+    for names, bonuses in batches:
+        yield pd.Series([_name_scores(n, b, matchers) for n, b in zip(names, bonuses)], dtype=object)
 
 
 def match_names(names: DataFrame, column: str = "original_column") -> DataFrame:
@@ -125,17 +136,20 @@ def match_names(names: DataFrame, column: str = "original_column") -> DataFrame:
         _literal_map(ALIASES)[F.col("_key")],
         F.when(F.col("_snake").isin(targets) | F.col("_key").isin(targets), F.col("_snake")),
     )
-    scored = named.withColumn("_known", known).withColumn(
-        "_ratios", _similarities(F.when(F.col("_known").isNull(), F.concat_ws("_", "_words")))
-    )
-    candidates = []
-    for i, target in enumerate(CANONICAL):
+    bonuses = []
+    for target in CANONICAL:
         words = target.split("_")
         shared = F.size(F.array_intersect("_words", F.array(*[F.lit(w) for w in words])))
         share = shared / F.greatest(F.size("_words"), F.lit(len(words)))
-        score = F.get("_ratios", F.lit(i)) + F.when(shared > 0, share * OVERLAP_WEIGHT).otherwise(0.0)
-        # Sorting by score, then by the negated place, lets the first canonical name win ties.
-        candidates.append(F.struct(score.alias("score"), F.lit(-i).alias("place"), F.lit(target).alias("target")))
+        bonuses.append(F.when(shared > 0, share * OVERLAP_WEIGHT).otherwise(0.0))
+    scored = named.withColumn("_known", known).withColumn(
+        "_scores", _scores(F.when(F.col("_known").isNull(), F.concat_ws("_", "_words")), F.array(*bonuses))
+    )
+    # Sorting by score, then by the negated place, lets the first canonical name win ties.
+    candidates = [
+        F.struct(F.get("_scores", F.lit(i)).alias("score"), F.lit(-i).alias("place"), F.lit(target).alias("target"))
+        for i, target in enumerate(CANONICAL)
+    ]
     best = F.array_max(F.array(*candidates))
     capped = F.least(F.lit(HIGHEST_SUGGESTED), best["score"])
     accepted = capped >= ACCEPTED
@@ -166,9 +180,18 @@ def column_names(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFr
     return spark.createDataFrame(rows, "table_no int, table_name string, column_no int, original_column string")
 
 
+def spread(names: DataFrame) -> DataFrame:
+    """Share a table of names out over all tasks.
+
+    Names are small and comparing them is slow, so partitions of the usual size
+    in bytes would leave most of the cluster idle.
+    """
+    return names.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def schema_report(names: DataFrame) -> DataFrame:
     """Every distinct column name with its suggestion, confidence and match type."""
-    distinct = names.select("original_column").distinct()
+    distinct = spread(names.select("original_column").distinct())
     suggested = F.when(F.col("match_type") == UNMAPPED, IGNORE).otherwise(F.col("canonical_column"))
     return match_names(distinct).select(
         "original_column",

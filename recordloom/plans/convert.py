@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from recordloom.durable import materialise
 from recordloom.functions.rows import ORD, side_by_side, with_order
 from recordloom.operators import graph, merge, profile, quality, resolve, schema_match
+from recordloom.session import tune
 from recordloom.sources.flatten import normalise
 
 
@@ -46,6 +47,7 @@ def convert(
     merged table is written once in its final order, and the resolved records
     once; all other results are read from those two.
     """
+    tune(spark)
     if len(tables) < least:
         raise ValueError(f"at least {least} tables are needed")
     if mapping is None:

@@ -124,14 +124,7 @@ def intent_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _jobs(spark: SparkSession, folder: str) -> DataFrame:
-    return _projects(spark, folder).select(
-        "project_id",
-        "project_name",
-        "user_id",
-        "quality_score",
-        F.col("total_records").alias("records_processed"),
-        F.get_json_object("processing_results", "$.entity_resolution_report.duplicates_merged").cast("long").alias("duplicates_merged"),
-    )
+    return alerting.finished_jobs(_projects(spark, folder))
 
 
 def _rules(spark: SparkSession, folder: str) -> DataFrame:

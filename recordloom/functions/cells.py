@@ -60,32 +60,24 @@ def is_truthy(df: DataFrame, name: str) -> Column:
 def float_text(c: Column) -> Column:
     """Shortest decimal text of a double, plain from 1e-4 up to 1e16.
 
-    Spark's own cast switches to ``1.5E7`` at 1e7 and below 1e-3.
+    Spark's own cast serves for most values. It switches to ``1.5E7`` at 1e7 and
+    below 1e-3, and Java before 19 may print a digit too many, then 16 or more.
     """
-    raw = c.cast("double").cast("string")
-    sign = F.when(raw.startswith("-"), "-").otherwise("")
-    digits = F.regexp_replace(F.substring_index(raw, "E", 1), "[-.]", "")
-    digits = F.regexp_replace(digits, "(?<=.)0+$", "")
-    power = F.try_to_number(F.substring_index(raw, "E", -1), F.lit("S999")).cast("int")
-    width = F.length(digits)
-    whole = F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, "0")
-    rest = F.when(width > power + 1, F.substring(digits, power + 2, width)).otherwise("0")
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    mantissa = F.when(width > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), width)))
-    exponent = F.concat(
-        F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), "0")
-    )
-    shifted = (
-        F.when((power >= 0) & (power < 16), F.concat(sign, whole, F.lit("."), rest))
-        .when((power < 0) & (power >= -4), F.concat(sign, small))
-        .otherwise(F.concat(sign, F.coalesce(mantissa, digits), exponent))
-    )
+    c = c.cast("double")
+    raw, size = c.cast("string"), F.abs(c)
+    exact = raw
+    for digits in (16, 15):
+        rounded = F.format_string(f"%.{digits - 1}e", c)
+        exact = F.when(rounded.try_cast("double") == c, F.upper(rounded)).otherwise(exact)
+    plain = F.regexp_replace(exact.try_cast("decimal(38,22)").cast("string"), "0+$", "")
+    power = F.regexp_replace(exact, r"\.?0*E\+?", "e+")
+    power = F.regexp_replace(F.replace(power, F.lit("+-"), F.lit("-")), r"(e[+-])(\d)$", "$10$2")
     return (
         F.when(F.isnan(c), "nan")
-        .when(raw == "Infinity", "inf")
-        .when(raw == "-Infinity", "-inf")
-        .when(raw.contains("E"), shifted)
-        .otherwise(raw)
+        .when(size == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))
+        .when((F.length(raw) < 17) & ~raw.contains("E"), raw)
+        .when((size >= 1e-4) & (size < 1e16), F.regexp_replace(plain, r"\.$", ".0"))
+        .otherwise(power)
     )
 
 

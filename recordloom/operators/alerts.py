@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.operators.stored import COUNTS, first_known, parsed
+
 # The trigger types a rule can name.
 PROCESSING_COMPLETE = "processing_complete"
 QUALITY_BELOW_THRESHOLD = "quality_below_threshold"
@@ -12,6 +14,19 @@ DUPLICATE_DETECTED = "duplicate_detected"
 QUALITY_THRESHOLD = 70
 
 
+def finished_jobs(projects: DataFrame) -> DataFrame:
+    """What the alert conditions need of stored project rows."""
+    merged = first_known("entity_resolution_report.duplicates_merged").try_cast("long")
+    return parsed(projects, COUNTS).select(
+        "project_id",
+        "project_name",
+        "user_id",
+        "quality_score",
+        F.col("total_records").alias("records_processed"),
+        F.coalesce(merged, F.lit(0)).alias("duplicates_merged"),
+    )
+
+
 def alert_conditions(jobs: DataFrame) -> DataFrame:
     """One row per job and trigger type that applies to it."""
     triggers = F.array(

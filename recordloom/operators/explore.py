@@ -6,18 +6,36 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from recordloom.functions.cells import col, is_blank, text_of, to_number
+from recordloom.functions.cells import col, is_blank, text_of, to_number, type_of
 from recordloom.functions.rows import ORD
 
 
+REGEX_CHARACTERS = set("\\.^$*+?{}[]|()")
+NUMBER_CHARACTERS = set("0123456789+-.einfa")
+
+
+def _cell_hit(df: DataFrame, name: str, lowered: str) -> Column:
+    text = F.lower(text_of(df, name))
+    if REGEX_CHARACTERS & set(lowered):
+        return text.rlike(lowered)
+    if isinstance(type_of(df, name), T.NumericType) and set(lowered) - NUMBER_CHARACTERS:
+        return F.lit(False)
+    return text.contains(lowered)
+
+
 def search(df: DataFrame, pattern: str) -> DataFrame:
-    """Rows in which the lower-cased regex occurs in the text of any column."""
+    """Rows in which the lower-cased regex occurs in the text of any column.
+
+    A pattern without regex characters is looked up as plain text, and not at
+    all in number columns if it holds characters that numbers do not.
+    """
     if not pattern:
         return df
     lowered = pattern.lower()
-    hits = [F.lower(text_of(df, name)).rlike(lowered) for name in df.columns if name != ORD]
-    return df.filter(reduce(lambda a, b: a | b, [F.coalesce(hit, F.lit(False)) for hit in hits], F.lit(False)))
+    hits = [F.coalesce(_cell_hit(df, name, lowered), F.lit(False)) for name in df.columns if name != ORD]
+    return df.filter(reduce(lambda a, b: a | b, hits, F.lit(False)))
 
 
 def equals(df: DataFrame, **values: object) -> DataFrame:

@@ -177,7 +177,9 @@ def column_names(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFr
         for t, (table, df) in enumerate(tables.items())
         for c, name in enumerate(n for n in df.columns if n != ORD)
     ]
-    return spark.createDataFrame(rows, "table_no int, table_name string, column_no int, original_column string")
+    names = spark.createDataFrame(rows, "table_no int, table_name string, column_no int, original_column string")
+    # A Python worker takes longer to start than to compare a few thousand names.
+    return names.coalesce(len(rows) // 2000 + 1)
 
 
 def spread(names: DataFrame) -> DataFrame:

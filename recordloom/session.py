@@ -7,7 +7,6 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     # Column names of user files are arbitrary and case-sensitive.
     "spark.sql.caseSensitive": "true",
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -31,6 +30,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
         .appName("recordloom")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in SETTINGS.items():

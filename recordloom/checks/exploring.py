@@ -89,6 +89,8 @@ QUERIES = {
     "cell_text": cell_text,
 }
 
+# Word boundaries are those of all letters, which this engine must be told.
+_WORDS = r"licen[sc]e|copyright|(^|[^\p{L}\p{N}_])und($|[^\p{L}\p{N}_])"
 _FOUND = "build|#0{6}1[0-4]|99"
 
 SQL = {
@@ -100,12 +102,10 @@ SQL = {
            OR regexp_matches(lower(CAST(c_acctbal AS VARCHAR)), '{_FOUND}')
            OR regexp_matches(lower(c_mktsegment), '{_FOUND}')
     """,
-    "explore_search_text": r"""
+    "explore_search_text": f"""
         SELECT doc_id, lang, source FROM documents
-        WHERE regexp_matches(CAST(doc_id AS VARCHAR), 'licen[sc]e|copyright|\bund\b')
-           OR regexp_matches(lower(text), 'licen[sc]e|copyright|\bund\b')
-           OR regexp_matches(lower(lang), 'licen[sc]e|copyright|\bund\b')
-           OR regexp_matches(lower(source), 'licen[sc]e|copyright|\bund\b')
+        WHERE regexp_matches(CAST(doc_id AS VARCHAR), '{_WORDS}') OR regexp_matches(lower(text), '{_WORDS}')
+           OR regexp_matches(lower(lang), '{_WORDS}') OR regexp_matches(lower(source), '{_WORDS}')
     """,
     "explore_sort_page": """
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders

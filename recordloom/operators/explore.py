@@ -19,7 +19,8 @@ NUMBER_CHARACTERS = set("0123456789+-.einfa")
 def _cell_hit(df: DataFrame, name: str, lowered: str) -> Column:
     text = F.lower(text_of(df, name))
     if REGEX_CHARACTERS & set(lowered):
-        return text.rlike(lowered)
+        # Classes such as \\w and \\b take in all letters.
+        return text.rlike("(?U)" + lowered)
     if isinstance(type_of(df, name), T.NumericType) and set(lowered) - NUMBER_CHARACTERS:
         return F.lit(False)
     return text.contains(lowered)

@@ -115,7 +115,65 @@ _TEMPLATE_SCORE = """
     CAST(floor(((o_orderstatus IN ('F', 'O'))::INT + (o_orderpriority IN ('1-URGENT', '5-LOW'))::INT) / 5.0 * 100) AS BIGINT)
 """
 
+_ALIAS_CASE = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in schema_match.ALIASES.items())
+_TARGETS = ", ".join(f"'{t}'" for t in sorted(set(schema_match.ALIASES.values())))
+_CANONICAL = ", ".join(f"({i}, '{t}')" for i, t in enumerate(schema_match.CANONICAL))
+
+# The matching blocks of two names: the longest common piece, then the same to its left and right.
+_REPORT = f"""
+    WITH RECURSIVE tokens AS (
+        SELECT original_column, snake, regexp_replace(lower(original_column), '[\\s_]+', '', 'g') AS key,
+               list_transform(string_split(snake, '_'), lambda t: CASE t {_SYNONYM_CASE} ELSE t END) AS words
+        FROM (SELECT original_column, {_SNAKE} AS snake FROM ({_NAMES}))
+    ), named AS (
+        SELECT *, array_to_string(words, '_') AS name,
+               coalesce(CASE key {_ALIAS_CASE} END, CASE WHEN snake IN ({_TARGETS}) OR key IN ({_TARGETS}) THEN snake END) AS known
+        FROM tokens
+    ), walk AS (
+        SELECT DISTINCT name, target, name AS a, target AS b, 0 AS size
+        FROM named, (VALUES {_CANONICAL}) c(no, target) WHERE known IS NULL
+        UNION ALL
+        SELECT name, target, piece.a, piece.b, piece.size FROM (
+            SELECT name, target, unnest([
+                {{'a': left(a, i - 1), 'b': left(b, instr(b, substr(a, i, s)) - 1), 'size': s}},
+                {{'a': substr(a, i + s), 'b': substr(b, instr(b, substr(a, i, s)) + s), 'size': 0}}]) AS piece
+            FROM (
+                SELECT name, target, a, b, best.s AS s, -best.i AS i FROM (
+                    SELECT name, target, a, b, list_max(list_filter(flatten(list_transform(range(1, length(a) + 1), lambda i:
+                        list_transform(range(1, least(length(a) - i + 1, length(b)) + 1), lambda s: {{'s': s, 'i': -i}}))),
+                        lambda c: contains(b, substr(a, -c.i, c.s)))) AS best
+                    FROM walk WHERE a <> '' AND b <> ''
+                ) WHERE best IS NOT NULL
+            )
+        )
+    ), ratios AS (
+        SELECT name, target, 2.0 * sum(size) / (length(name) + length(target)) AS ratio FROM walk GROUP BY name, target
+    ), scored AS (
+        SELECT original_column, snake, known, target, no,
+               CAST(ratio AS DOUBLE) + CASE WHEN shared > 0 THEN shared / greatest(length(words), length(parts)) * 0.3 ELSE 0 END AS score
+        FROM (
+            SELECT n.*, r.target, r.ratio, c.no, string_split(r.target, '_') AS parts,
+                   length(list_intersect(list_distinct(n.words), string_split(r.target, '_'))) AS shared
+            FROM named n JOIN ratios r ON r.name = n.name JOIN (VALUES {_CANONICAL}) c(no, target) ON c.target = r.target
+            WHERE n.known IS NULL
+        )
+    ), best AS (
+        SELECT original_column, snake, arg_min(target, (-score, no)) AS target, least(0.99, max(score)) AS score
+        FROM scored GROUP BY original_column, snake
+    ), answers AS (
+        SELECT original_column, CASE WHEN score >= 0.55 THEN target ELSE 'ignore' END AS suggested,
+               CASE WHEN score >= 0.55 THEN score ELSE greatest(0.1, score - 0.2) END AS confidence,
+               CASE WHEN score >= 0.55 THEN 'AI Suggested' ELSE 'Unmapped' END AS match_type
+        FROM best
+        UNION ALL SELECT original_column, known, 1.0, 'Dictionary Match' FROM named WHERE known IS NOT NULL
+    )
+    SELECT original_column, suggested, round(CAST(confidence AS DOUBLE), 6) AS confidence, match_type,
+           CASE WHEN confidence >= 0.8 THEN 'success' WHEN confidence >= 0.5 THEN 'warning' ELSE 'danger' END AS badge
+    FROM answers
+"""
+
 SQL = {
+    "schema_report": _REPORT,
     "name_tokens": f"""
         SELECT original_column, replace(snake, '_', '|') AS tokens,
                array_to_string(list_transform(string_split(snake, '_'), lambda t: CASE t {_SYNONYM_CASE} ELSE t END), '|') AS expanded

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.functions.cells import col, is_blank, text_of, to_number, type_of
-from recordloom.functions.rows import ORD
+from recordloom.functions.rows import ORD, number_rows
 
 
+# Pages that end within this many rows are taken from the top of each partition.
+DEEPEST_TOP = 100_000
+
 REGEX_CHARACTERS = set("\\.^$*+?{}[]|()")
 NUMBER_CHARACTERS = set("0123456789+-.einfa")
 
@@ -80,8 +83,18 @@ def page(
     order: str = "asc",
     ties: list[str] | None = None,
 ) -> DataFrame:
-    """One page of the sorted rows."""
-    return sort_rows(df, by, order, ties).offset((number - 1) * limit).limit(limit)
+    """One page of the sorted rows.
+
+    Near the front every task keeps only the rows up to the end of the page.
+    Far back that would be many, so there the rows are sorted across the
+    cluster, numbered, and picked by number.
+    """
+    first, last = (number - 1) * limit, number * limit
+    keys = sort_keys(df, by, order, ties)
+    if last <= DEEPEST_TOP or not keys:
+        return sort_rows(df, by, order, ties).offset(first).limit(limit)
+    placed = number_rows(df, keys, "_no")
+    return placed.filter((F.col("_no") > first) & (F.col("_no") <= last)).orderBy("_no").drop("_no")
 
 
 def page_count(df: DataFrame, limit: int = 100) -> DataFrame:

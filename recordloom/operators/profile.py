@@ -45,6 +45,21 @@ def profiled_columns(df: DataFrame) -> list[str]:
     return [name for name in df.columns if name not in NOT_PROFILED]
 
 
+# Texts up to this length are compared as they are, longer ones by their SHA-256.
+COMPARED_LENGTH = 64
+
+
+def comparison_key(df: DataFrame, name: str) -> Column:
+    """What values are compared by. Long texts are not shuffled, their digests are."""
+    dtype, c = type_of(df, name), col(name)
+    if isinstance(dtype, T.StringType):
+        short = F.length(c) <= COMPARED_LENGTH
+        return F.when(short, F.concat(F.lit("t"), c)).when(~short, F.concat(F.lit("h"), F.sha2(c, 256)))
+    if isinstance(dtype, (T.MapType, T.VariantType)):
+        return F.sha2(F.to_json(c), 256)
+    return F.when(~is_missing(df, name), c)
+
+
 def _type_name(dtype: T.DataType, has_nulls: Column) -> Column:
     """Type as a data frame of such values reports it; whole numbers with gaps are floats."""
     if isinstance(dtype, T.IntegralType):
@@ -66,12 +81,11 @@ def column_stats(df: DataFrame, distinct: str | None = "exact") -> DataFrame:
     names = profiled_columns(df)
     aggregates = [F.count("*").alias("rows")]
     for i, name in enumerate(names):
-        value = F.when(~is_missing(df, name), col(name))
-        aggregates.append(F.count(value).alias(f"n{i}"))
+        aggregates.append(F.count_if(~is_missing(df, name)).alias(f"n{i}"))
         if distinct == "exact":
-            aggregates.append(F.count_distinct(value).alias(f"d{i}"))
+            aggregates.append(F.count_distinct(comparison_key(df, name)).alias(f"d{i}"))
         elif distinct == "approximate":
-            aggregates.append(F.approx_count_distinct(value).alias(f"d{i}"))
+            aggregates.append(F.approx_count_distinct(comparison_key(df, name)).alias(f"d{i}"))
     cells = []
     for i, name in enumerate(names):
         nulls = F.col("rows") - F.col(f"n{i}")
@@ -133,8 +147,11 @@ def data_catalog(df: DataFrame, order: str = ORD, distinct: str = "exact", drop_
 
 def average_revenue(df: DataFrame, name: str = "revenue") -> DataFrame:
     """One row: mean of the numbers and the text shown for it."""
-    mean = F.avg(to_number(df, name)).alias("average")
-    return df.agg(mean).select("average", F.concat(F.lit("₹"), F.format_number("average", 2)).alias("shown"))
+    return df.agg(F.avg(to_number(df, name)).alias("average"), shown_average(df, name).alias("shown"))
+
+
+def shown_average(df: DataFrame, name: str = "revenue") -> Column:
+    return F.concat(F.lit("₹"), F.format_number(F.avg(to_number(df, name)), 2))
 
 
 def most_common_place(df: DataFrame, order: str = ORD) -> DataFrame:
@@ -156,8 +173,10 @@ def insights(
     df: DataFrame, report: DataFrame, trust: DataFrame, stats: DataFrame | None = None, order: str = ORD
 ) -> DataFrame:
     """``(seq, insight)``: sentences about the resolved records, in a fixed order."""
+    has_revenue = "revenue" in df.columns
+    shown = [shown_average(df).alias("shown")] if has_revenue else []
     facts = [
-        df.agg(F.count("*").alias("unique_records")),
+        df.agg(F.count("*").alias("unique_records"), *shown),
         report.select("duplicates_merged"),
         trust.select("missing_values"),
     ]
@@ -167,9 +186,7 @@ def insights(
         facts.append(stats.select("linked_entities", "unmatched_entities"))
         links = F.when(F.col("linked_entities") > 0, F.col("linked_entities").cast("string"))
         unmatched = F.when(F.col("unmatched_entities") > 0, F.col("unmatched_entities").cast("string"))
-    has_revenue = "revenue" in df.columns
     if has_revenue:
-        facts.append(average_revenue(df).select("shown"))
         average = F.col("shown")
     place_name = next((n for n in df.columns if n in PLACE_COLUMNS), None)
     if place_name:
@@ -229,22 +246,8 @@ def _compared(df: DataFrame, exclude: tuple[str, ...]) -> list[str]:
     return [n for n in df.columns if n not in exclude and n != ORD]
 
 
-# Texts up to this length are compared as they are, longer ones by their SHA-256.
-COMPARED_LENGTH = 64
-
-
 def _row_keys(df: DataFrame, names: list[str]) -> list[Column]:
-    """What rows are compared by. Long texts are not shuffled, their digests are."""
-    keys = []
-    for i, name in enumerate(names):
-        c = col(name)
-        if isinstance(type_of(df, name), T.StringType):
-            short = F.length(c) <= COMPARED_LENGTH
-            c = F.when(short, F.concat(F.lit("t"), c)).when(~short, F.concat(F.lit("h"), F.sha2(c, 256)))
-        elif isinstance(type_of(df, name), (T.MapType, T.VariantType)):
-            c = F.sha2(F.to_json(c), 256)
-        keys.append(c.alias(f"_k{i}"))
-    return keys
+    return [comparison_key(df, name).alias(f"_k{i}") for i, name in enumerate(names)]
 
 
 def _copied_keys(df: DataFrame, names: list[str]) -> DataFrame:

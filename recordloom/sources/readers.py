@@ -13,9 +13,15 @@ from recordloom.sources.workbook import read_xlsx
 FORMATS = ("csv", "json", "xml", "xlsx")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Header row and inferred types; a given schema saves the inference pass."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, line_breaks: bool = True
+) -> DataFrame:
+    """Header row and inferred types; a given schema saves the inference pass.
+
+    A file in which quoted cells may hold line breaks is read by one task. State
+    ``line_breaks=False`` where there are none, and large files are split.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", line_breaks)
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
 
 

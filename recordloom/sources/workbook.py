@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.durable import materialise
+
 _ROWS = "path string, row_no long, cells array<struct<kind:string,text:string>>"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 # Built-in number formats that show dates and times.
@@ -118,11 +120,11 @@ def _typed(cell: Column, kinds: set[str], whole: bool) -> Column:
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     """First sheet of each workbook at ``path``, all with the same header row.
 
-    The header and one summary row with the kinds of cells per column come to
+    Workbooks are parsed once, into a written table. The header and one summary row with the kinds of cells per column come to
     the driver; the rows stay on the cluster.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInPandas(_read, _ROWS)
+    rows = materialise(files.mapInPandas(_read, _ROWS), "workbook")
     head = rows.filter("row_no = 0").orderBy("path").limit(1).collect()
     if not head:
         return spark.createDataFrame([], "empty string").drop("empty")

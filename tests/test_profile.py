@@ -165,6 +165,14 @@ def test_sorting_and_pages(spark):
     assert tuple(explore.page_count(df.filter("n > 9"), 3).first()) == (0, 1)
 
 
+def test_deep_pages_hold_the_same_rows(spark, monkeypatch):
+    df = spark.range(0, 5000, 1, 8).select("id", (F.col("id") * 37 % 101).alias("n"))
+    front = [tuple(r) for r in explore.page(df, 30, 50, "n", "desc", ties=["id"]).collect()]
+    monkeypatch.setattr(explore, "DEEPEST_TOP", 100)
+    assert [tuple(r) for r in explore.page(df, 30, 50, "n", "desc", ties=["id"]).collect()] == front
+    assert len(front) == 50
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_float_text(spark, seed):
     rng = random.Random(seed)

@@ -13,95 +13,110 @@ NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 INFINITY_PATTERN = r"(?i)^[+-]?inf(inity)?$"
 
 
+def quoted(name: str) -> str:
+    """A column name as it stands in SQL; flattened names contain dots."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def col(name: str) -> Column:
-    """A column by its exact name; flattened names contain dots."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """A column by its exact name."""
+    return F.col(quoted(name))
 
 
 def type_of(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
 
+def is_floating(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.DoubleType, T.FloatType))
+
+
+# The expressions below are given as SQL text, which one call turns into a column.
+
+
+def strip_sql(x: str) -> str:
+    return f"btrim({x}, '{WHITESPACE}')"
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
-def is_floating(dtype: T.DataType) -> bool:
-    return isinstance(dtype, (T.DoubleType, T.FloatType))
+def missing_sql(x: str, dtype: T.DataType) -> str:
+    return f"({x} IS NULL OR isnan({x}))" if is_floating(dtype) else f"({x} IS NULL)"
+
+
+def blank_sql(x: str, dtype: T.DataType) -> str:
+    return f"({x} IS NULL OR {strip_sql(x)} = '')" if isinstance(dtype, T.StringType) else missing_sql(x, dtype)
 
 
 def is_missing(df: DataFrame, name: str) -> Column:
     """Null, or NaN in a floating column."""
-    c = col(name)
-    return (c.isNull() | F.isnan(c)) if is_floating(type_of(df, name)) else c.isNull()
+    return F.expr(missing_sql(quoted(name), type_of(df, name)))
 
 
 def is_blank(df: DataFrame, name: str) -> Column:
     """Missing, or text that is empty once stripped."""
-    if isinstance(type_of(df, name), T.StringType):
-        return col(name).isNull() | (strip(col(name)) == "")
-    return is_missing(df, name)
+    return F.expr(blank_sql(quoted(name), type_of(df, name)))
 
 
 def is_truthy(df: DataFrame, name: str) -> Column:
     """Whether a key counts as given: null, "", 0 and False do not."""
-    dtype, c = type_of(df, name), col(name)
+    dtype, x = type_of(df, name), quoted(name)
     if isinstance(dtype, T.StringType):
-        return c.isNotNull() & (c != "")
+        return F.expr(f"{x} IS NOT NULL AND {x} <> ''")
     if isinstance(dtype, T.BooleanType):
-        return c.isNotNull() & c
+        return F.expr(f"{x} IS NOT NULL AND {x}")
     if isinstance(dtype, T.NumericType):
-        return ~is_missing(df, name) & (c != 0)
+        return F.expr(f"NOT {missing_sql(x, dtype)} AND {x} <> 0")
     if isinstance(dtype, T.ArrayType):
-        return c.isNotNull() & (F.size(c) > 0)
-    return c.isNotNull()
+        return F.expr(f"{x} IS NOT NULL AND size({x}) > 0")
+    return F.expr(f"{x} IS NOT NULL")
 
 
-def float_text(c: Column) -> Column:
+def float_sql(x: str) -> str:
     """Shortest decimal text of a double, plain from 1e-4 up to 1e16.
 
     Spark's own cast serves for most values. It switches to ``1.5E7`` at 1e7 and
     below 1e-3, and Java before 19 may print a digit too many, then 16 or more.
     """
-    c = c.cast("double")
-    raw, size = c.cast("string"), F.abs(c)
-    exact = raw
+    x = f"cast({x} AS double)"
+    raw = exact = f"cast({x} AS string)"
     for digits in (16, 15):
-        rounded = F.format_string(f"%.{digits - 1}e", c)
-        exact = F.when(rounded.try_cast("double") == c, F.upper(rounded)).otherwise(exact)
-    plain = F.regexp_replace(exact.try_cast("decimal(38,22)").cast("string"), "0+$", "")
-    power = F.regexp_replace(exact, r"\.?0*E\+?", "e+")
-    power = F.regexp_replace(F.replace(power, F.lit("+-"), F.lit("-")), r"(e[+-])(\d)$", "$10$2")
-    return (
-        F.when(F.isnan(c), "nan")
-        .when(size == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))
-        .when((F.length(raw) < 17) & ~raw.contains("E"), raw)
-        .when((size >= 1e-4) & (size < 1e16), F.regexp_replace(plain, r"\.$", ".0"))
-        .otherwise(power)
-    )
-
-
-def value_text(c: Column, dtype: T.DataType) -> Column:
+        rounded = f"format_string('%.{digits - 1}e', {x})"
+        exact = f"CASE WHEN try_cast({rounded} AS double) = {x} THEN upper({rounded}) ELSE {exact} END"
+    plain = f"regexp_replace(cast(try_cast({exact} AS decimal(38,22)) AS string), '0+$', '')"
+    power = f"replace(regexp_replace({exact}, r'\\.?0*E\\+?', 'e+'), '+-', '-')"
+    return f"""
+        CASE WHEN isnan({x}) THEN 'nan'
+             WHEN abs({x}) = double('inf') THEN if({x} > 0, 'inf', '-inf')
+             WHEN length({raw}) < 17 AND NOT contains({raw}, 'E') THEN {raw}
+             WHEN abs({x}) >= 1e-4D AND abs({x}) < 1e16D THEN regexp_replace({plain}, r'\\.$', '.0')
+             ELSE regexp_replace({power}, r'(e[+-])(\\d)$', '$10$2') END
+    """
+
+
+def text_sql(x: str, dtype: T.DataType) -> str:
     """Text of a value as the result tables print it; null stays null."""
     if isinstance(dtype, T.StringType):
-        return c
+        return x
     if is_floating(dtype):
-        return float_text(c)
+        return float_sql(x)
     if isinstance(dtype, T.BooleanType):
-        return F.initcap(c.cast("string"))
+        return f"initcap(cast({x} AS string))"
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return iso_text(c)
+        return iso_sql(x)
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(c)
-    return c.cast("string")
+        return f"to_json({x})"
+    return f"cast({x} AS string)"
 
 
 def text_of(df: DataFrame, name: str) -> Column:
-    return value_text(col(name), type_of(df, name))
+    return F.expr(text_sql(quoted(name), type_of(df, name)))
 
 
-def iso_text(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS")
+def iso_sql(x: str) -> str:
+    return f"date_format({x}, \"yyyy-MM-dd'T'HH:mm:ss.SSS\")"
 
 
 def to_number(df: DataFrame, name: str) -> Column:
@@ -109,14 +124,15 @@ def to_number(df: DataFrame, name: str) -> Column:
 
     ``try_cast`` alone would take "1.5d" and "1f", so the text is checked first.
     """
-    dtype, c = type_of(df, name), col(name)
+    dtype, x = type_of(df, name), quoted(name)
     if isinstance(dtype, T.StringType):
-        text = strip(c)
-        return F.when(text.rlike(NUMBER_PATTERN) | text.rlike(INFINITY_PATTERN), text.try_cast("double"))
+        text = strip_sql(x)
+        number = f"{text} RLIKE r'{NUMBER_PATTERN}' OR {text} RLIKE r'{INFINITY_PATTERN}'"
+        return F.expr(f"CASE WHEN {number} THEN try_cast({text} AS double) END")
     if is_floating(dtype):
-        return F.when(~F.isnan(c), c.cast("double"))
+        return F.expr(f"CASE WHEN NOT isnan({x}) THEN cast({x} AS double) END")
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
-        return c.cast("double")
+        return F.expr(f"cast({x} AS double)")
     return F.lit(None).cast("double")
 
 
@@ -130,13 +146,13 @@ def display_name(name: str) -> str:
     return name.replace("_", " ").title()
 
 
-def same_text(value: Column, other: Column, dtype: T.DataType) -> Column:
-    """Equality of the stripped text forms; plain equality where that is the same."""
+def same_text(x: str, other: str, dtype: T.DataType) -> str:
+    """SQL for equality of the stripped text forms; plain equality where that is the same."""
     if isinstance(dtype, T.StringType):
-        return strip(value) == strip(other)
+        return f"({strip_sql(x)} = {strip_sql(other)})"
     if isinstance(dtype, (T.MapType, T.VariantType)):
-        return F.to_json(value) == F.to_json(other)
-    return value == other
+        return f"(to_json({x}) = to_json({other}))"
+    return f"({x} = {other})"
 
 
 def safe_file_name(c: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.functions.cells import float_text, strip
+from recordloom.functions.cells import float_sql, strip
 from recordloom.operators.stored import first_known, parsed
 
 UNKNOWN_VALUE = "N/A"
@@ -133,7 +133,7 @@ def answers(questions: DataFrame, projects: DataFrame, facts: DataFrame | None =
         F.when(
             F.col("revenue_column").isNotNull(),
             text(
-                "**Revenue Summary:**\n- Total ", F.col("revenue_column"), ": ", float_text(F.col("revenue_total"))
+                "**Revenue Summary:**\n- Total ", F.col("revenue_column"), ": ", F.expr(float_sql("revenue_total"))
             ),
         )
         .when(has_facts, "Could not find a clear revenue column in the dataset.")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.durable import materialise
-from recordloom.functions.cells import col, value_text
+from recordloom.functions.cells import col, quoted, text_sql
 from recordloom.functions.rows import ORD, settle_order, side_by_side, with_order
 
 # The columns that link tables.
@@ -39,10 +39,11 @@ def _alike(a: T.DataType, b: T.DataType) -> T.DataType:
     return T.StringType()
 
 
-def _as(c: Column, have: T.DataType, want: T.DataType) -> Column:
+def _as(x: str, have: T.DataType, want: T.DataType) -> str:
+    """SQL for a value brought to another type."""
     if have == want:
-        return c
-    return value_text(c, have) if isinstance(want, T.StringType) else c.cast(want)
+        return x
+    return text_sql(x, have) if isinstance(want, T.StringType) else f"cast({x} AS {want.simpleString()})"
 
 
 def full_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,8 +58,9 @@ def full_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     key_types = {k: _alike(left_types[k], right_types[k]) for k in keys}
 
     def prepared(df: DataFrame, types: dict[str, T.DataType], mark: str) -> DataFrame:
-        cells = [_as(col(n), t, key_types.get(n, t)).alias(f"{mark}{i}") for i, (n, t) in enumerate(types.items())]
-        return df.select(*cells)
+        return df.selectExpr(
+            *[f"{_as(quoted(n), t, key_types.get(n, t))} AS {mark}{i}" for i, (n, t) in enumerate(types.items())]
+        )
 
     a, b = prepared(left, left_types, "l"), prepared(right, right_types, "r")
     at_left = {n: f"l{i}" for i, n in enumerate(left_types)}
@@ -78,20 +80,20 @@ def full_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     for name, dtype in left_types.items():
         if name == ORD:
             continue
-        c = F.col(at_left[name])
+        x = at_left[name]
         if name in keys:
-            c = F.coalesce(c, F.col(at_right[name]))
+            x = f"coalesce({x}, {at_right[name]})"
         elif name in right_types:
             want = _alike(dtype, right_types[name])
-            c = F.coalesce(_as(c, dtype, want), _as(F.col(at_right[name]), right_types[name], want))
-        out.append(c.alias(name))
-    out += [F.col(at_right[n]).alias(n) for n in right_types if n not in left_types]
+            x = f"coalesce({_as(x, dtype, want)}, {_as(at_right[name], right_types[name], want)})"
+        out.append(f"{x} AS {quoted(name)}")
+    out += [f"{at_right[n]} AS {quoted(n)}" for n in right_types if n not in left_types]
     parts = []
     for i, k in enumerate(keys):
-        key = F.coalesce(F.col(at_left[k]), F.col(at_right[k]))
-        parts += [key.isNull().alias(f"n{i}"), key.alias(f"k{i}")]
-    position = F.struct(*parts, F.col(at_left[ORD]).alias("l"), F.col(at_right[ORD]).alias("r"))
-    return rows.select(*out, position.alias(ORD))
+        key = f"coalesce({at_left[k]}, {at_right[k]})"
+        parts.append(f"'n{i}', {key} IS NULL, 'k{i}', {key}")
+    position = f"named_struct({', '.join(parts)}, 'l', {at_left[ORD]}, 'r', {at_right[ORD]})"
+    return rows.selectExpr(*out, f"{position} AS {ORD}")
 
 
 def append(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def append(left: DataFrame, right: DataFrame) -> DataFrame:
     def lined_up(df: DataFrame, position: Column) -> DataFrame:
         have = {f.name: f.dataType for f in df.schema.fields}
         cells = [
-            (_as(col(n), have[n], t) if n in have else F.lit(None).cast(t)).alias(n) for n, t in types.items()
+            (F.expr(_as(quoted(n), have[n], t)) if n in have else F.lit(None).cast(t)).alias(n) for n, t in types.items()
         ]
         return df.select(*cells, position.alias(ORD))
 
@@ -159,7 +161,10 @@ def linked_keys(tables: list[DataFrame]) -> DataFrame:
     for number, df in enumerate(tables):
         have = {f.name: f.dataType for f in df.schema.fields}
         cells = [
-            F.struct(F.lit(k).alias("key_column"), value_text(_as(col(k), have[k], types[k]), types[k]).alias("value"))
+            F.struct(
+                F.lit(k).alias("key_column"),
+                F.expr(text_sql(_as(quoted(k), have[k], types[k]), types[k])).alias("value"),
+            )
             for k in keys
             if k in have
         ]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.functions.cells import col, float_text, is_missing, round_even, text_of, to_number, type_of
+from recordloom.functions.cells import col, is_floating, is_missing, quoted, round_even, text_of, text_sql, to_number, type_of
 from recordloom.functions.rows import ORD, side_by_side
 
 # Descriptions of well-known columns.
@@ -51,13 +51,12 @@ COMPARED_LENGTH = 64
 
 def comparison_key(df: DataFrame, name: str) -> Column:
     """What values are compared by. Long texts are not shuffled, their digests are."""
-    dtype, c = type_of(df, name), col(name)
+    dtype, x = type_of(df, name), quoted(name)
     if isinstance(dtype, T.StringType):
-        short = F.length(c) <= COMPARED_LENGTH
-        return F.when(short, F.concat(F.lit("t"), c)).when(~short, F.concat(F.lit("h"), F.sha2(c, 256)))
+        return F.expr(f"if(length({x}) <= {COMPARED_LENGTH}, concat('t', {x}), concat('h', sha2({x}, 256)))")
     if isinstance(dtype, (T.MapType, T.VariantType)):
-        return F.sha2(F.to_json(c), 256)
-    return F.when(~is_missing(df, name), c)
+        return F.expr(f"sha2(to_json({x}), 256)")
+    return F.expr(f"nanvl({x}, NULL)") if is_floating(dtype) else col(name)
 
 
 def _type_name(dtype: T.DataType, has_nulls: Column) -> Column:
@@ -162,8 +161,7 @@ def most_common_place(df: DataFrame, order: str = ORD) -> DataFrame:
     counted = df.filter(~is_missing(df, name)).groupBy(col(name).alias("v")).agg(
         F.count("*").alias("n"), F.min(col(order)).alias("at")
     )
-    dtype = type_of(df, name)
-    text = float_text(F.col("v")) if isinstance(dtype, (T.DoubleType, T.FloatType)) else F.col("v").cast("string")
+    text = F.expr(text_sql("v", type_of(df, name)))
     return (
         counted.orderBy(F.desc("n"), F.asc("at")).limit(1).select(F.lit(name).alias("column_name"), text.alias("value"), "n")
     )

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.functions.cells import is_blank
+from recordloom.functions.cells import blank_sql, quoted, type_of
 from recordloom.functions.rows import ORD, side_by_side
 
 
@@ -20,8 +18,8 @@ def missing_fields(df: DataFrame, cells: str = "present") -> DataFrame:
     if cells not in ("present", "all"):
         raise ValueError("cells must be 'present' or 'all'")
     names = [n for n in df.columns if n not in (ORD, "entity_id", "entity_no")]
-    blanks = reduce(lambda a, b: a + b, [F.when(is_blank(df, n), 1).otherwise(0) for n in names], F.lit(0))
-    per_row = df.select(blanks.alias("blanks"))
+    blanks = " + ".join(f"int{blank_sql(quoted(n), type_of(df, n))}" for n in names) or "0"
+    per_row = df.selectExpr(f"{blanks} AS blanks")
     total, missing = F.count("*") * len(names), F.coalesce(F.sum("blanks"), F.lit(0))
     if cells == "present":
         return per_row.agg((total - missing).alias("total_fields"), F.lit(0).cast("long").alias("missing_values"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.durable import materialise
-from recordloom.functions.cells import col, is_blank, is_truthy, same_text, type_of
+from recordloom.functions.cells import blank_sql, col, is_truthy, quoted, same_text, type_of
 from recordloom.functions.rows import ORD, number_rows, side_by_side
 
 ENTITY_KEYS = ("customer_id", "phone_number", "customer_name")
@@ -184,12 +184,11 @@ def merge_records(df: DataFrame, assignments: DataFrame, positions: bool = False
     """
     names = data_columns(df)
     joined = df.join(assignments, ORD)
-    kept = [
-        F.min_by(F.struct(F.col(ORD).alias("at"), col(n).alias("v")), F.when(~is_blank(df, n), F.col(ORD))).alias(f"c{i}")
-        if positions
-        else F.min_by(col(n), F.when(~is_blank(df, n), F.col(ORD))).alias(f"c{i}")
-        for i, n in enumerate(names)
-    ]
+    kept = []
+    for i, n in enumerate(names):
+        x = quoted(n)
+        value = f"named_struct('at', {ORD}, 'v', {x})" if positions else x
+        kept.append(F.expr(f"min_by({value}, if(NOT {blank_sql(x, type_of(df, n))}, {ORD}, NULL)) AS c{i}"))
     grouped = joined.groupBy("entity_no").agg(*kept)
     if not positions:
         values = [F.col(f"c{i}").alias(n) for i, n in enumerate(names)]
@@ -202,11 +201,11 @@ def merge_records(df: DataFrame, assignments: DataFrame, positions: bool = False
 def _conflicts_per_row(df: DataFrame, assignments: DataFrame, records: DataFrame) -> DataFrame:
     names = data_columns(df)
     kept = records.select("entity_no", *[col(n).alias(f"_kept{i}") for i, n in enumerate(names)])
-    differs = [
-        F.when(~is_blank(df, n) & ~same_text(col(n), F.col(f"_kept{i}"), type_of(df, n)), 1).otherwise(0)
-        for i, n in enumerate(names)
-    ]
-    total = reduce(lambda a, b: a + b, differs, F.lit(0))
+    differs = []
+    for i, n in enumerate(names):
+        x, dtype = quoted(n), type_of(df, n)
+        differs.append(f"if(NOT {blank_sql(x, dtype)} AND NOT {same_text(x, f'_kept{i}', dtype)}, 1, 0)")
+    total = F.expr(" + ".join(differs) or "0")
     return df.join(assignments, ORD).join(kept, "entity_no").select("entity_no", total.alias("conflicts"))
 
 

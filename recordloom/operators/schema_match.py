@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.functions.cells import col, value_text
+from recordloom.functions.cells import col, quoted, text_sql
 from recordloom.functions.rows import ORD
 
 # Known spellings of a column name, without spaces and underscores.
@@ -219,7 +219,7 @@ def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
         if len({types[n].simpleString() for n in names}) == 1:
             cells = [col(n) for n in names]
         else:
-            cells = [value_text(col(n), types[n]) for n in names]
+            cells = [F.expr(text_sql(quoted(n), types[n])) for n in names]
         out.append((cells[0] if len(cells) == 1 else F.coalesce(*cells)).alias(target))
     return df.select(*out)
 

@@ -30,6 +30,8 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
         .appName("recordloom")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # Recording the call site of every column expression makes large plans slow to build.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )

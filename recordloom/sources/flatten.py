@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.functions.cells import col, is_floating, iso_text
+from recordloom.functions.cells import col, is_floating, iso_sql, quoted
 
 
 def _leaves(c: Column, dtype: T.DataType, name: str) -> list[tuple[str, Column]]:
@@ -34,13 +33,12 @@ def normalise(df: DataFrame, decimals: int = 10) -> DataFrame:
     """
     out = []
     for field in df.schema.fields:
-        c = col(field.name)
+        x = quoted(field.name)
         if is_floating(field.dataType):
-            finite = ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
-            c = F.when(finite, F.round(c, decimals))
+            x = f"CASE WHEN NOT isnan({x}) AND abs({x}) < double('inf') THEN round({x}, {decimals}) END"
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = iso_text(c)
+            x = iso_sql(x)
         elif isinstance(field.dataType, T.DateType):
-            c = F.concat(c.cast("string"), F.lit("T00:00:00.000"))
-        out.append(c.alias(field.name))
-    return df.select(*out)
+            x = f"concat(cast({x} AS string), 'T00:00:00.000')"
+        out.append(f"{x} AS {quoted(field.name)}")
+    return df.selectExpr(*out)

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.functions.cells import float_text, safe_file_name, to_number
+from recordloom.functions.cells import float_sql, safe_file_name, to_number
 from recordloom.operators import explore, profile, quality
 
 SCHEMA = "_ord long, customer_id long, city string, revenue string, phone_number string, flag boolean, score double"
@@ -179,7 +179,7 @@ def test_float_text(spark, seed):
     values = [rng.choice([1, -1]) * rng.random() * 10 ** rng.randrange(-8, 22) for _ in range(300)]
     values = [float(f"{v:.6g}") for v in values] + [0.0, -0.0, 1e16, 1e15, 123456789.0, 0.0001, 0.001, float("inf")]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
-    got = [r[0] for r in df.orderBy("i").select(float_text(F.col("v"))).collect()]
+    got = [r[0] for r in df.orderBy("i").select(F.expr(float_sql("v"))).collect()]
     assert got == [repr(v) for v in values]
 
 

@@ -142,6 +142,15 @@ def round_even(c: Column, places: int) -> Column:
     return F.rint(c * scale) / scale
 
 
+def fill(template: str, *cells: Column) -> Column:
+    """Text with a cell in place of each ``{}``; null if a cell is."""
+    pieces = template.split("{}")
+    parts = [F.lit(pieces[0])]
+    for cell, piece in zip(cells, pieces[1:], strict=True):
+        parts += [cell.cast("string"), F.lit(piece)]
+    return F.concat(*parts)
+
+
 def display_name(name: str) -> str:
     return name.replace("_", " ").title()
 

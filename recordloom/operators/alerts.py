@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.operators.stored import COUNTS, first_known, parsed
+from recordloom.operators.stored import resolution_count
 
 # The trigger types a rule can name.
 PROCESSING_COMPLETE = "processing_complete"
@@ -16,14 +16,13 @@ QUALITY_THRESHOLD = 70
 
 def finished_jobs(projects: DataFrame) -> DataFrame:
     """What the alert conditions need of stored project rows."""
-    merged = first_known("entity_resolution_report.duplicates_merged").try_cast("long")
-    return parsed(projects, COUNTS).select(
+    return projects.select(
         "project_id",
         "project_name",
         "user_id",
         "quality_score",
         F.col("total_records").alias("records_processed"),
-        F.coalesce(merged, F.lit(0)).alias("duplicates_merged"),
+        resolution_count("duplicates_merged").alias("duplicates_merged"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.functions.cells import col, display_name, is_blank, is_truthy, text_of
+from recordloom.functions.cells import display_name, is_blank, is_truthy, text_of
 from recordloom.functions.rows import ORD
 
 NOT_CHILDREN = (ORD, "_first", "entity_id", "entity_no", "customer_name", "customer_id", "phone_number")

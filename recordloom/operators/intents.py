@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.functions.cells import float_sql, strip
+from recordloom.functions.cells import fill, float_sql, strip
 from recordloom.operators.stored import first_known, parsed
 
 UNKNOWN_VALUE = "N/A"
@@ -33,6 +33,32 @@ SUGGESTED_QUESTIONS = (
 )
 
 
+# The wording of the answers.
+INSIGHTS = "**Key Insights (Quality Score: {}):**\n{}\n**Recommendations:**\n{}"
+NO_INSIGHTS = "No specific insights were generated for this dataset."
+DUPLICATES = "**Duplicate Analysis:**\n- Duplicates Merged: {}\n- Duplicate Score: {}/100\n"
+DUPLICATE_ROWS = "\nFound {} duplicate rows in raw data."
+QUALITY = "**Data Quality Report:**\n- Completeness Score: {}\n- Consistency Score: {}\n- Conflicts Detected: {}"
+REVENUE = "**Revenue Summary:**\n- Total {}: {}"
+NO_REVENUE_COLUMN = "Could not find a clear revenue column in the dataset."
+NO_RAW_DATA = (
+    "Revenue analysis requires the raw dataset to be loaded into memory. "
+    "However, the data appears to be processed successfully."
+)
+RELATIONSHIP = "**Relationship Intelligence:**\nFound {} connected entities and {} relationships."
+NO_RELATIONSHIP = "No relationship graphs were generated for this dataset."
+MULTI_FILE = (
+    "**Multi-File Intelligence:**\n- Linked Entities: {}\n- Unmatched Entities: {}\n- Cross-file Matches: {}"
+)
+NO_MULTI_FILE = "No multi-file intelligence statistics were found. This may be a single file upload."
+SUMMARY = (
+    "**Project Summary:**\nThis dataset contains {} total records. Processing achieved a Quality Score of {}. "
+    "During entity resolution, {} duplicates were merged. "
+    "Please ask me specific questions about insights, quality, or duplicates!"
+)
+NOT_FOUND = "Data not found. Project may have expired or does not exist."
+
+
 def intent(question: Column) -> Column:
     """The first intent of which a word occurs anywhere in the question."""
     lowered = F.lower(question)
@@ -106,67 +132,23 @@ def answers(questions: DataFrame, projects: DataFrame, facts: DataFrame | None =
         )
     has_facts = F.col("duplicate_rows").isNotNull()
 
-    def text(*pieces: str | Column) -> Column:
-        return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in pieces])
-
-    insights = F.when(
-        (F.col("_insights") == "") & (F.col("_advice") == ""), "No specific insights were generated for this dataset."
-    ).otherwise(
-        text(
-            "**Key Insights (Quality Score: ", F.col("_score"), "):**\n", F.col("_insights"),
-            "\n**Recommendations:**\n", F.col("_advice"),
-        )
+    insights = F.when((F.col("_insights") == "") & (F.col("_advice") == ""), NO_INSIGHTS).otherwise(
+        fill(INSIGHTS, F.col("_score"), F.col("_insights"), F.col("_advice"))
     )
-    raw = F.when(
-        F.col("duplicate_rows") > 0,
-        text("\nFound ", F.col("duplicate_rows").cast("string"), " duplicate rows in raw data."),
-    ).otherwise("")
-    duplicates = text(
-        "**Duplicate Analysis:**\n- Duplicates Merged: ", F.col("_merged"),
-        "\n- Duplicate Score: ", F.col("_duplicate_score"), "/100\n", raw,
+    raw = F.when(F.col("duplicate_rows") > 0, fill(DUPLICATE_ROWS, F.col("duplicate_rows"))).otherwise("")
+    duplicates = F.concat(fill(DUPLICATES, F.col("_merged"), F.col("_duplicate_score")), raw)
+    quality = fill(QUALITY, F.col("_completeness"), F.col("_consistency"), F.col("_conflicts"))
+    total = fill(REVENUE, F.col("revenue_column"), F.expr(float_sql("revenue_total")))
+    revenue = F.when(F.col("revenue_column").isNotNull(), total).when(has_facts, NO_REVENUE_COLUMN).otherwise(NO_RAW_DATA)
+    relationship = F.when(F.col("_nodes") > 0, fill(RELATIONSHIP, F.col("_nodes"), F.col("_edges"))).otherwise(
+        NO_RELATIONSHIP
     )
-    quality = text(
-        "**Data Quality Report:**\n- Completeness Score: ", F.col("_completeness"),
-        "\n- Consistency Score: ", F.col("_consistency"), "\n- Conflicts Detected: ", F.col("_conflicts"),
-    )
-    revenue = (
-        F.when(
-            F.col("revenue_column").isNotNull(),
-            text(
-                "**Revenue Summary:**\n- Total ", F.col("revenue_column"), ": ", F.expr(float_sql("revenue_total"))
-            ),
-        )
-        .when(has_facts, "Could not find a clear revenue column in the dataset.")
-        .otherwise(
-            "Revenue analysis requires the raw dataset to be loaded into memory. "
-            "However, the data appears to be processed successfully."
-        )
-    )
-    relationship = F.when(
-        F.col("_nodes") > 0,
-        text(
-            "**Relationship Intelligence:**\nFound ", F.col("_nodes").cast("string"), " connected entities and ",
-            F.col("_edges").cast("string"), " relationships.",
-        ),
-    ).otherwise("No relationship graphs were generated for this dataset.")
     multi_file = F.when(
-        F.col("_linked").isNotNull(),
-        text(
-            "**Multi-File Intelligence:**\n- Linked Entities: ", F.col("_linked"),
-            "\n- Unmatched Entities: ", F.col("_unmatched"), "\n- Cross-file Matches: ", F.col("_matches"),
-        ),
-    ).otherwise("No multi-file intelligence statistics were found. This may be a single file upload.")
-    summary = text(
-        "**Project Summary:**\nThis dataset contains ", F.col("_total"),
-        " total records. Processing achieved a Quality Score of ", F.col("_score"),
-        ". During entity resolution, ", F.col("_merged"),
-        " duplicates were merged. Please ask me specific questions about insights, quality, or duplicates!",
-    )
+        F.col("_linked").isNotNull(), fill(MULTI_FILE, F.col("_linked"), F.col("_unmatched"), F.col("_matches"))
+    ).otherwise(NO_MULTI_FILE)
+    summary = fill(SUMMARY, F.col("_total"), F.col("_score"), F.col("_merged"))
     by_intent = (
-        F.when(
-            ~F.coalesce("_stored", F.lit(False)) & ~has_facts,
-            "Data not found. Project may have expired or does not exist.",
-        )
+        F.when(~F.coalesce("_stored", F.lit(False)) & ~has_facts, NOT_FOUND)
         .when(F.col("intent") == "INSIGHTS", insights)
         .when(F.col("intent") == "DUPLICATES", duplicates)
         .when(F.col("intent") == "QUALITY", quality)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.functions.cells import col, is_floating, is_missing, quoted, round_even, text_of, text_sql, to_number, type_of
+from recordloom.functions.cells import col, fill, is_floating, is_missing, quoted, round_even, text_of, text_sql, to_number, type_of
 from recordloom.functions.rows import ORD, side_by_side
 
 # Descriptions of well-known columns.
@@ -26,6 +26,22 @@ DESCRIPTIONS = {
     "account_balance": "Current balance in the account",
 }
 
+# The wording of insights and recommendations.
+UNIQUE_RECORDS = "✓ {} unique records identified"
+DUPLICATES_MERGED = "✓ {} duplicate records merged"
+MISSING_VALUES = "✓ Missing values detected: {}"
+LINKED_ENTITIES = "✓ Number of linked entities: {}"
+CROSS_FILE = "✓ Number of cross-file relationships: {}"
+UNMATCHED_ENTITIES = "✓ Number of unmatched entities: {}"
+REVENUE_AVAILABLE = "✓ Revenue column available"
+AVERAGE_REVENUE = "✓ Average revenue: {}"
+MOST_COMMON = "✓ Most common {}: {}"
+PHONE_IS_KEY = "Phone number is a strong entity key"
+ID_IS_KEY = "Customer ID should be primary key"
+REVENUE_SUITABLE = "Revenue column suitable for analytics"
+STANDARDIZE_CITIES = "Consider standardizing city names"
+ALL_CLEAN = "Data is clean and ready for analysis"
+
 PLACE_COLUMNS = ("city", "location", "address")
 SAMPLES = 3
 NOT_PROFILED = (ORD, "entity_id", "entity_no")
@@ -191,15 +207,15 @@ def insights(
         facts.append(most_common_place(df, order).select(F.col("value").alias("place")))
         place = F.col("place")
     lines = [
-        F.concat(F.lit("✓ "), F.col("unique_records").cast("string"), F.lit(" unique records identified")),
-        F.concat(F.lit("✓ "), F.col("duplicates_merged").cast("string"), F.lit(" duplicate records merged")),
-        F.concat(F.lit("✓ Missing values detected: "), F.col("missing_values").cast("string")),
-        F.concat(F.lit("✓ Number of linked entities: "), links),
-        F.concat(F.lit("✓ Number of cross-file relationships: "), links),
-        F.concat(F.lit("✓ Number of unmatched entities: "), unmatched),
-        F.lit("✓ Revenue column available") if has_revenue else none,
-        F.concat(F.lit("✓ Average revenue: "), average),
-        F.concat(F.lit(f"✓ Most common {place_name}: "), place),
+        fill(UNIQUE_RECORDS, F.col("unique_records")),
+        fill(DUPLICATES_MERGED, F.col("duplicates_merged")),
+        fill(MISSING_VALUES, F.col("missing_values")),
+        fill(LINKED_ENTITIES, links),
+        fill(CROSS_FILE, links),
+        fill(UNMATCHED_ENTITIES, unmatched),
+        F.lit(REVENUE_AVAILABLE) if has_revenue else none,
+        fill(AVERAGE_REVENUE, average),
+        fill(MOST_COMMON, F.lit(place_name), place),
     ]
     return _numbered(side_by_side(*facts), lines, "insight")
 
@@ -218,12 +234,12 @@ def recommendations(df: DataFrame) -> DataFrame:
         aggregates.append(F.count_distinct(F.when(~is_missing(df, "phone_number"), col("phone_number"))).alias("phones"))
     none = F.lit(None).cast("string")
     lines = [
-        F.when(F.col("phones") > F.col("rows") * 0.8, "Phone number is a strong entity key") if has_phone else none,
-        F.lit("Customer ID should be primary key") if "customer_id" in df.columns else none,
-        F.lit("Revenue column suitable for analytics") if "revenue" in df.columns else none,
-        F.lit("Consider standardizing city names") if "city" in df.columns else none,
+        F.when(F.col("phones") > F.col("rows") * 0.8, PHONE_IS_KEY) if has_phone else none,
+        F.lit(ID_IS_KEY) if "customer_id" in df.columns else none,
+        F.lit(REVENUE_SUITABLE) if "revenue" in df.columns else none,
+        F.lit(STANDARDIZE_CITIES) if "city" in df.columns else none,
     ]
-    clean = F.when(F.coalesce(*lines).isNull(), "Data is clean and ready for analysis")
+    clean = F.when(F.coalesce(*lines).isNull(), ALL_CLEAN)
     return _numbered(df.agg(*aggregates), [*lines, clean], "recommendation")
 
 

@@ -10,20 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.cells import round_even
-from recordloom.operators.stored import COUNTS, first_known, parsed
+from recordloom.operators.stored import resolution_count
 
 
 def _known(projects: DataFrame) -> DataFrame:
-    def count(field: str) -> Column:
-        return F.coalesce(first_known(f"entity_resolution_report.{field}").try_cast("long"), F.lit(0))
-
-    return parsed(projects, COUNTS).withColumns(
+    return projects.withColumns(
         {
             "_name": F.coalesce("project_name", F.lit("Unknown")),
             "_records": F.coalesce(F.col("total_records").cast("long"), F.lit(0)),
             "_score": F.coalesce(F.col("quality_score").cast("long"), F.lit(0)),
-            "_duplicates": count("duplicates_merged"),
-            "_conflicts": count("conflicts_detected"),
+            "_duplicates": resolution_count("duplicates_merged"),
+            "_conflicts": resolution_count("conflicts_detected"),
         }
     )
 

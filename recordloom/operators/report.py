@@ -10,6 +10,17 @@ from recordloom.operators.stored import first_known, parsed
 
 DESCRIPTION_LENGTH = 80
 
+# Section titles, row labels and the sentences for empty sections.
+SECTIONS = ("Executive Summary", "Trust Report", "Schema Intelligence", "Data Catalog", "Insights", "Recommendations")
+SUMMARY_ROWS = ("Total Records", "Records After Merge", "Duplicates Merged", "Conflicts Detected", "Processing Time")
+SCORE_ROWS = ("Final Score", "Completeness Score", "Consistency Score", "Duplicate Score")
+EMPTY_SECTIONS = (
+    "No mappings applied.",
+    "No data catalog available.",
+    "No insights available.",
+    "No recommendations available.",
+)
+
 
 def _row(key: Column | str, value: Column | str, detail: Column | str = "", note: Column | str = "") -> Column:
     cells = [c if isinstance(c, Column) else F.lit(c) for c in (key, value, detail, note)]
@@ -44,19 +55,13 @@ def report_sections(projects: DataFrame) -> DataFrame:
         first_known("trust_report.score_breakdown.final_score", "trust_report.quality_score"),
         F.col("quality_score").cast("string"),
     )
-    executive = F.array(
-        _row("Total Records", F.col("total_records").cast("string")),
-        _row("Records After Merge", after),
-        _row("Duplicates Merged", merged),
-        _row("Conflicts Detected", found),
-        _row("Processing Time", first_known("trust_report.processing_time", default="N/A")),
-    )
-    trust = F.array(
-        _row("Final Score", final),
-        _row("Completeness Score", part("completeness_score")),
-        _row("Consistency Score", part("consistency_score")),
-        _row("Duplicate Score", part("duplicate_score")),
+    values = (
+        F.col("total_records").cast("string"), after, merged, found,
+        first_known("trust_report.processing_time", default="N/A"),
     )
+    executive = F.array(*[_row(label, value) for label, value in zip(SUMMARY_ROWS, values)])
+    scores = (final, part("completeness_score"), part("consistency_score"), part("duplicate_score"))
+    trust = F.array(*[_row(label, value) for label, value in zip(SCORE_ROWS, scores)])
     mapping = F.transform(
         first_known("mappings_applied"),
         lambda m: _row(m["original_column"], m["canonical_column"], m["confidence_score"], m["match_type"]),
@@ -69,18 +74,17 @@ def report_sections(projects: DataFrame) -> DataFrame:
     def lines(path: str) -> Column:
         return F.transform(first_known(path), lambda s: _row("•", s))
 
-    def or_else(rows: Column, sentence: str) -> Column:
-        return F.when(F.coalesce(F.size(rows), F.lit(0)) > 0, rows).otherwise(F.array(_row(sentence, "")))
-
-    sections = {
-        "Executive Summary": executive,
-        "Trust Report": trust,
-        "Schema Intelligence": or_else(mapping, "No mappings applied."),
-        "Data Catalog": or_else(catalog, "No data catalog available."),
-        "Insights": or_else(lines("data_insights"), "No insights available."),
-        "Recommendations": or_else(lines("recommendations"), "No recommendations available."),
-    }
-    tables = F.array(*[F.struct(F.lit(n).alias("section"), rows.alias("rows")) for n, rows in sections.items()])
+    listed = [mapping, catalog, lines("data_insights"), lines("recommendations")]
+    filled = [
+        F.when(F.coalesce(F.size(rows), F.lit(0)) > 0, rows).otherwise(F.array(_row(sentence, "")))
+        for rows, sentence in zip(listed, EMPTY_SECTIONS)
+    ]
+    tables = F.array(
+        *[
+            F.struct(F.lit(title).alias("section"), rows.alias("rows"))
+            for title, rows in zip(SECTIONS, [executive, trust, *filled])
+        ]
+    )
     return (
         parsed(projects)
         .select("project_id", F.explode(tables).alias("t"))

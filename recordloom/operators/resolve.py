@@ -234,7 +234,8 @@ def resolve(df: DataFrame, positions: bool = False) -> Resolution:
     if "entity_id" in df.columns:
         df = df.withColumnRenamed("entity_id", "source_entity_id")
     assignments = assign_entities(df)
-    records = merge_records(df, assignments, positions)
+    # Written, as both the conflicts and all later steps read them.
+    records = materialise(merge_records(df, assignments, positions), "records")
     # Summed without grouping, so that Spark may split the rows of a hot entity in the join.
     report = resolution_report(assignments, _conflicts_per_row(df, assignments, records))
     return Resolution(assignments, records, report)

@@ -28,13 +28,15 @@ RESULTS = f"""
 """
 
 
-# All that the summaries of many projects need; the rest of the text is skipped.
-COUNTS = "entity_resolution_report struct<duplicates_merged string, conflicts_detected string>"
+def parsed(projects: DataFrame, column: str = "_results") -> DataFrame:
+    """Add the parsed results; null if the text is no JSON object."""
+    return projects.withColumn(column, F.from_json("processing_results", RESULTS))
 
 
-def parsed(projects: DataFrame, layout: str = RESULTS, column: str = "_results") -> DataFrame:
-    """Add the parsed results; null if the text is no JSON object."""
-    return projects.withColumn(column, F.from_json("processing_results", layout))
+def resolution_count(field: str) -> Column:
+    """A count of the resolution report, 0 if unknown; quicker than parsing everything for one or two of them."""
+    text = F.get_json_object("processing_results", f"$.entity_resolution_report.{field}")
+    return F.coalesce(text.try_cast("long"), F.lit(0))
 
 
 def first_known(*paths: str, default: str | None = None, column: str = "_results") -> Column:

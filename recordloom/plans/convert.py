@@ -45,7 +45,8 @@ def convert(
 
     Column names are mapped automatically, or by ``mapping`` if given. The
     merged table is written once in its final order, and the resolved records
-    once; all other results are read from those two.
+    once; all other results are read from those two. ``least`` is the smallest
+    number of tables taken.
     """
     tune(spark)
     if len(tables) < least:
@@ -58,7 +59,7 @@ def convert(
     merged = merge.settle_order(merge.merge(parts).transform(_clean), [F.col(ORD)], "merged")
     stats = materialise(merge.multi_file_stats(parts, merged), "stats")
     found = resolve.resolve(merged, positions=True)
-    records = materialise(found.records, "records")
+    records = found.records
     report = materialise(found.report, "report")
     ordered = records.drop("_first").withColumn(ORD, F.col("entity_no"))
     trust = materialise(quality.trust_report(ordered, report, cells), "trust")

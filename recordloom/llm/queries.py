@@ -4,25 +4,120 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import near_duplicates, packing, token_files
-from recordloom.llm.common import table
+from recordloom.llm import chat, language, line_quality, main_text, mixing, near_duplicates, packing, quality_rules, token_files
+from recordloom.llm.common import fold_of, table
+
+
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP1 = """
+    WITH d AS (
+        SELECT doc_id, source, length(text) AS chars, length(regexp_replace(text, '[^\\p{L}]+', '', 'g')) AS letters,
+               coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size
+        FROM documents
+    ),
+    s AS (
+        SELECT source, sum(size)::BIGINT AS source_size,
+               [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
+        FROM d GROUP BY source
+    ),
+    l AS (
+        SELECT *, (3 * source_size)::DOUBLE AS fill,
+               ((sum(source_size) OVER ())::DOUBLE - coalesce(sum((3 * source_size)::DOUBLE) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+               / sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+        FROM s
+    ),
+    w AS (SELECT arg_min(level, fill / weight) AS water FROM l WHERE level * weight < fill),
+    t AS (SELECT source, source_size, CASE WHEN water * weight < fill THEN water * weight ELSE fill END AS target FROM l, w),
+    r AS (
+        SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t
+    ),
+    k AS (
+        SELECT d.doc_id, d.size, r.source_size, r.target, r.epochs, d.source,
+               greatest(round(r.target)::BIGINT - r.epochs * r.source_size, 0) AS rest,
+               -ln((('0x' || substr(md5('0:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.size), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+               / coalesce(0.25 + 0.75 * (letters / chars) * (letters / chars), 0.25) AS key
+        FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+    ),
+    o AS (
+        SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES), 0) - size AS ahead,
+               count(*) OVER (PARTITION BY source, key, size) AS n
+        FROM k
+    )
+    SELECT doc_id, size, source_size, target,
+           (epochs * size + CASE WHEN rest >= ahead + n * size THEN size WHEN rest > ahead THEN (rest - ahead) // n ELSE 0 END)::BIGINT AS taken
+    FROM o
+"""
 
 
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents"), ["doc_id"])
+
+
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.identify(docs.withColumn("held_out", fold_of(docs["doc_id"], 4) == 2), ["doc_id", "held_out"])
+
+
+def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
+    log = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema.fields)
+    probe = spark.sql(f"SELECT * FROM VALUES (-1, 0, 'user', '{chat.PROBE}'), (-1, 1, 'assistant', '{chat.PROBE}') AS t(conv_id, turn, role, text)")
+    probe = probe.to(log.schema) if kinds else probe
+    return chat.digests(chat.render(chat.fold(chat.events_of(log.unionByName(probe)))))
+
+
+OP5 = r"""
+    WITH c AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+    ),
+    e AS (
+        SELECT *, regexp_replace(role, '([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\2\\\3', 'g') AS safe_role,
+               regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\2\\\3', 'g') AS safe_text
+        FROM c
+    )
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(length(safe_role) + length(safe_text) + 24)::BIGINT AS formatted_chars
+    FROM e GROUP BY conv_id
+"""
+
+
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.main_text(table(spark, folder, "pages"), ["page_id", "url"])
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op9_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return line_quality.classify(docs.withColumn("held_out", fold_of(docs["doc_id"], 5) == 0), table(spark, folder, "labels"), ["doc_id", "held_out"])
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(table(spark, folder, "documents"))
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_language": op4_language,
+    "op5_chat": op5_chat,
+    "op7_main_text": op7_main_text,
     "op8_packing": op8_packing,
+    "op9_line_quality": op9_line_quality,
     "op10_token_files": op10_token_files,
 }
-SQL: dict[str, str] = {}
+SQL = {"op1_mixing": OP1, "op5_chat": OP5}

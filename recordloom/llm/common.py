@@ -46,9 +46,12 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], dict[str, object]], added: T.StructType, keep: list[str]) -> DataFrame:
     """Run ``step`` over Arrow batches: the columns ``keep`` pass through, ``step`` returns the added ones.
 
-    Columns that are neither kept nor needed should be dropped before.
+    Columns that are neither kept nor needed should be dropped before. A kept
+    column with the name of an added one is replaced by it.
     """
     short_batches(df.sparkSession)
+    taken = {name.lower() for name in added.fieldNames()}
+    keep = [name for name in keep if name.lower() not in taken]
     schema = T.StructType([df.schema[name] for name in keep] + added.fields)
     names = added.fieldNames()
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import fold_of, map_batches, texts
+from recordloom.llm.common import fold_of, free_name, map_batches, texts
 from recordloom.llm.crf import Adam, marginals
 
 BUCKETS = 1 << 16
@@ -38,6 +38,7 @@ LINES = 3000
 LINE_WORDS = 100
 ROUNDS = 40
 UNKNOWN = "und"
+LEAST_SCORE = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -144,12 +145,11 @@ def fit(docs: DataFrame, lang: Column, per_language: int = PER_LANGUAGE, lines:
     return train([(r["_lang"], words_of(" ".join(r["line"]))) for r in rows])
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], with_words: bool = False) -> DataFrame:
-    """The columns ``keep``, lang_pred and score of every row; on demand its words with their languages."""
-    names = ["lang_pred", "score"] + ["word_langs"] * with_words
-    taken = {name.lower() for name in keep}
-    if taken & set(names):
-        raise ValueError(f"columns {sorted(taken & set(names))} are there already")
+def predict(docs: DataFrame, model: Model, keep: list[str], with_words: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep``, language and score of every row; on demand its words with their languages.
+
+    A kept column that has one of ``names`` is replaced.
+    """
 
     def step(batch: pa.RecordBatch) -> dict[str, object]:
         found = [words_of(t) if model.langs else [] for t in texts(batch)]
@@ -167,9 +167,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str], with_words: bool = F
             score.append(min(1.0, float(share[best])))
             if with_words:
                 labels.append([{"word": w, "lang": model.langs[k]} for w, k in zip(words, out.argmax(axis=1).tolist(), strict=True)])
-        return {"lang_pred": lang, "score": score, "word_langs": labels if with_words else None}
+        return {names[0]: lang, names[1]: score, "word_langs": labels if with_words else None}
 
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    fields = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
     if with_words:
         word = T.StructType([T.StructField("word", T.StringType()), T.StructField("lang", T.StringType())])
         fields.append(T.StructField("word_langs", T.ArrayType(word)))
@@ -177,6 +177,14 @@ def predict(docs: DataFrame, model: Model, keep: list[str], with_words: bool = F
     return map_batches(docs.select(*columns), step, T.StructType(fields), keep)
 
 
-def identify(docs: DataFrame, keep: list[str], folds: int = 4, held: int = 2) -> DataFrame:
+def identify(docs: DataFrame, keep: list[str], folds: int = 4, held: int = 2, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Train on the documents outside the held-out fold, then label all of them."""
-    return predict(docs, fit(docs.where(fold_of(F.col("doc_id"), folds) != held), F.col("lang")), keep)
+    model = fit(docs.where(fold_of(F.col("doc_id"), folds) != held), F.col("lang"))
+    return predict(docs, model, keep, names=names)
+
+
+def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of at least ``least``."""
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    found = identify(docs, docs.columns, names=(lang, score))
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import fold_of, map_batches, texts
+from recordloom.llm.common import fold_of, free_name, map_batches, texts
 from recordloom.llm.crf import Adam, marginals
 
 THRESHOLD = 0.3
@@ -180,21 +180,25 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, run_line
     return train([(np.array(r["_lines"]).reshape(-1, MEASURES), r["_quality"]) for r in rows])
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """The columns ``keep``, score and predicted of every row."""
-    taken = {name.lower() for name in keep}
-    if taken & {"score", "predicted"}:
-        raise ValueError("columns score and predicted must not be there already")
+def predict(docs: DataFrame, model: Model, keep: list[str], threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns ``keep``, score and prediction of every row; a kept column that has one of ``names`` is replaced."""
 
     def step(batch: pa.RecordBatch) -> dict[str, object]:
         scores = model.scores([measures(t) for t in texts(batch)])
-        return {"score": scores, "predicted": [int(s >= threshold) for s in scores]}
+        return {names[0]: scores, names[1]: [int(s >= threshold) for s in scores]}
 
-    added = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    added = T.StructType([T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), step, added, keep)
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: list[str], folds: int = 5, held: int = 0) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, keep: list[str], folds: int = 5, held: int = 0, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Train on labelled documents outside the held-out fold, then score all of them."""
     known = labels.where(fold_of(F.col("doc_id"), folds) != held)
-    return predict(docs, fit(docs, known), keep)
+    return predict(docs, fit(docs, known), keep, names=names)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are predicted good."""
+    score, predicted = free_name(docs, "score"), free_name(docs, "predicted")
+    found = classify(docs, labels, docs.columns, names=(score, predicted))
+    return found.where(F.col(predicted) == 1).select(*docs.columns)

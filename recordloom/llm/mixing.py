@@ -21,7 +21,8 @@ broadcasts it if it is small and splits hot sources if not.
 
 Edge cases: a null text has size 0, a null source is a source like any other and
 comes last; sources without words get target 0; null doc_ids draw by size; an
-empty table gives an empty result. Clashing columns are an error.
+empty table gives an empty result. A column that has the name of an
+added one is replaced by it.
 """
 
 from __future__ import annotations
@@ -73,10 +74,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """All rows and columns of ``docs`` (doc_id, text, source, ...) with size, source_size, target and taken."""
-    clash = {name.lower() for name in docs.columns} & {*_ADDED, "_key"}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are there already")
-    sized = docs.withColumn("size", size_of(F.col("text")))
+    # The row travels as one struct, so its column names cannot clash.
+    sized = docs.select("doc_id", "source", "text", size_of(F.col("text")).alias("size"), F.struct(*docs.columns).alias("_row"))
     sized = sized.withColumn("_key", key_of(F.col("doc_id"), F.col("size"), quality_of(F.col("text")), seed))
     slim = materialise(sized.select("source", "size", "_key"), "mixing")
     place = F.lit(1.0) - F.exp(-F.col("_key"))
@@ -113,11 +112,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     border = F.struct("_cut_key", "_cut_size")
     part = F.when(F.col("_cut_key").isNull(), 0).when(mine < border, F.col("size")).when(mine == border, F.col("_cut_words")).otherwise(0)
     taken = (F.col("_epochs") * F.col("size") + part).cast("long")
-    return sized.join(plan, same).select(*docs.columns, "size", "source_size", "target", taken.alias("taken"))
+    names = [name for name in docs.columns if name.lower() not in _ADDED]
+    return sized.join(plan, same).select("_row", "size", "source_size", "target", taken.alias("taken")).select(*[f"_row.`{name}`" for name in names], *_ADDED)
 
 
 def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
     """The mix as rows of ``docs``: each document as often as it is taken, the one at the border rounded."""
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    mixed = mix(docs, weights, most, seed).withColumn("_times", times).where("_times > 0")
-    return mixed.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("whole_row"))
+    mixed = mix(rows, weights, most, seed).select("whole_row", times.alias("times")).where("times > 0")
+    return mixed.select("whole_row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("whole_row.*")

@@ -194,6 +194,7 @@ def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     prints = fingerprints(docs, shingle)
     chosen = groups(prints, radius).select("best").distinct()
     chosen = chosen.select(F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash"))
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    # The row travels as one struct, so its column names cannot clash.
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("_row"))
     same = hashed["doc_id"].eqNullSafe(chosen["_id"]) & (hashed["_hash"] == chosen["_hash"])
-    return hashed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return hashed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).select("_row.*")

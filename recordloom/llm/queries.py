@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recordloom.llm import chat, language, line_quality, main_text, mixing, near_duplicates, packing, quality_rules, token_files
+from recordloom.llm import chat, language, line_quality, main_text, mixing, near_duplicates, neighbours, packing, quality_rules, token_files
 from recordloom.llm.common import fold_of, table
 
 
@@ -92,6 +93,10 @@ OP5 = r"""
 """
 
 
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text.main_text(table(spark, folder, "pages"), ["page_id", "url"])
 
@@ -115,6 +120,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_language": op4_language,
     "op5_chat": op5_chat,
+    "op6_neighbours": op6_neighbours,
     "op7_main_text": op7_main_text,
     "op8_packing": op8_packing,
     "op9_line_quality": op9_line_quality,

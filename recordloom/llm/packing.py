@@ -76,16 +76,17 @@ class _Lengths:
         return None
 
     def best_pair_sum(self, room: int, used: int) -> int:
-        best, low, high = 0, 0, bisect_right(self.keys, room) - 1
+        """Largest sum of two pieces within ``room`` once one piece of length ``used`` is gone."""
+        left = [(k, self.count[k] - (k == used)) for k in self.keys[: bisect_right(self.keys, room)]]
+        left = [(k, n) for k, n in left if n]
+        best, low, high = 0, 0, len(left) - 1
         while low <= high:
-            a, b = self.keys[low], self.keys[high]
-            need = {a: 1}
-            need[b] = need.get(b, 0) + 1
-            if a + b > room:
+            total = left[low][0] + left[high][0]
+            if total > room:
                 high -= 1
             else:
-                if all(self.count[k] - (k == used) >= n for k, n in need.items()):
-                    best = max(best, a + b)
+                if low < high or left[low][1] > 1:
+                    best = max(best, total)
                 low += 1
         return best
 

@@ -2,8 +2,8 @@
 
 A page becomes a tree: block elements, and the runs of text between block
 boundaries as leaves. Every node is content or not. Unary potentials come from
-the node's tag, class, id and role words, those of its parent, text length, link
-share and punctuation; edges have parent-child potentials, one table for
+the node's tag, class, id and role words, those of its parent, its link share and,
+for elements, the length of their text; edges have parent-child potentials, one table for
 elements and one for text. Sum-product messages go from the leaves up and back
 down, for all pages of a batch level by level, and give each node its content
 marginal; text leaves of at least ``KEEP`` are the main text.
@@ -177,23 +177,22 @@ def parse(source: str | None) -> Page:
 def features(page: Page) -> list[list[str]]:
     """Names of the features of every node."""
     n = len(page.tags)
-    size, linked, sentences = [0] * n, [0] * n, [0] * n
+    size, linked = [0] * n, [0] * n
     for i in range(n - 1, -1, -1):
         text = page.texts[i]
         if text is not None:
             size[i], linked[i] = len(text), page.links[i]
-            sentences[i] = sum(text.count(c) for c in ".!?,")
         if page.parents[i] >= 0:
             up = page.parents[i]
             size[up] += size[i]
             linked[up] += linked[i]
-            sentences[up] += sentences[i]
     out = []
     for i in range(n):
         up = page.parents[i]
         kind = "t" if page.texts[i] is not None else "e"
-        own = [f"{kind}:bias", f"{kind}:size{min(size[i].bit_length(), 12) // 2}", f"{kind}:link{round(4 * linked[i] / size[i]) if size[i] else 9}", f"{kind}:stop{min(sentences[i].bit_length(), 6)}"]
+        own = [f"{kind}:bias", f"{kind}:link{round(4 * linked[i] / size[i]) if size[i] else 9}"]
         if kind == "e":
+            own.append(f"size{min(size[i].bit_length(), 12) // 2}")
             own.append(f"tag:{page.tags[i]}")
             own += [f"name:{w}" for w in page.names[i]]
         if up >= 0:
@@ -346,7 +345,9 @@ def labelled(sources: list[str], seed: int = 0, variants: int = 3) -> list[str]:
         good = labels(page)
         articles.append([t for t, g in zip(page.texts, good, strict=True) if t and g])
         others += [t for t, g in zip(page.texts, good, strict=True) if t and not g]
-    articles = articles or [["A title", "First words of a text, and some more of them.", "Short.", "The end of the text is here."]] * 40
+    articles = articles or [["A title", "First words of a text, and some more of them.", "Short.", "The end of the text is here."]] * 60
+    # What people write around an article is text like any other: the words are no sign.
+    others += [draw.choice(draw.choice(articles) or ["Words."]) for _ in range(len(others))]
     return out + [_variant(blocks, others, draw) for blocks in articles for _ in range(variants)]
 
 

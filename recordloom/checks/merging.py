@@ -71,6 +71,27 @@ def merge_coalesce(spark: SparkSession, folder: str) -> DataFrame:
     return merge.merge([left, right]).drop(ORD)
 
 
+def _wide(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """The same long numbers as whole numbers, decimals and doubles; many differ in the last digit only."""
+    base = table(spark, folder, "orders")
+    number = F.lit(9007199254740992).cast("long") + F.col("o_orderkey")
+    longs = base.select(number.alias("id"), F.col("o_orderpriority").alias("priority"), F.col("o_orderkey").alias(ORD))
+    decimals = base.filter("o_orderstatus <> 'O'").select(
+        (number.cast("decimal(24,2)")).alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias(ORD)
+    )
+    doubles = base.select(number.cast("double").alias("id"), F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias(ORD))
+    return [longs, decimals, doubles.filter("id = 9007199254740992D + 2 * floor(owner / 2)")]
+
+
+def merge_wide_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole numbers of 16 digits joined with decimals and with doubles."""
+    return merge.merge(_wide(spark, folder)).drop(ORD)
+
+
+def linked_wide_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return merge.linked_keys(_wide(spark, folder)[:2])
+
+
 def merge_union(spark: SparkSession, folder: str) -> DataFrame:
     """Without a shared key the rows are appended."""
     left = customers(spark, folder).select("customer_name", "revenue", "city", ORD)
@@ -114,6 +135,8 @@ QUERIES = {
     "merge_outer": merge_outer,
     "merge_two_keys": merge_two_keys,
     "merge_coalesce": merge_coalesce,
+    "merge_wide_keys": merge_wide_keys,
+    "linked_wide_keys": linked_wide_keys,
     "merge_union": merge_union,
     "merge_fold": merge_fold,
     "merge_order": merge_order,
@@ -133,6 +156,7 @@ _FOLD = """
         FULL JOIN orders ON o_custkey = c_custkey
     ) m FULL JOIN supplier ON s_suppkey = m.customer_id
 """
+_WIDE = "9007199254740992 + o_orderkey"
 _LINKED = """
     (SELECT count(*) FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders))
     + (SELECT count(*) FROM (
@@ -161,6 +185,19 @@ SQL = {
                    CASE WHEN c_acctbal > 0 THEN c_acctbal END AS revenue FROM customer
         ) a FULL JOIN (SELECT s_suppkey AS id, 'SUPPLIER' AS kind, s_acctbal AS revenue FROM supplier) b ON a.id = b.id
     """,
+    "merge_wide_keys": f"""
+        WITH a AS (SELECT CAST({_WIDE} AS VARCHAR) AS id, o_orderpriority AS priority FROM orders),
+        b AS (SELECT CAST({_WIDE} AS VARCHAR) AS id, o_orderstatus AS status FROM orders WHERE o_orderstatus <> 'O'),
+        c AS (
+            SELECT CAST(CAST(CAST({_WIDE} AS DOUBLE) AS HUGEINT) AS VARCHAR) AS id, o_custkey AS owner FROM orders
+            WHERE CAST({_WIDE} AS DOUBLE) = 9007199254740992 + 2 * CAST(floor(o_custkey / 2) AS BIGINT)
+        ),
+        ab AS (SELECT coalesce(a.id, b.id) AS id, priority, status FROM a FULL JOIN b ON a.id = b.id)
+        SELECT coalesce(ab.id, c.id) AS id, priority, status, owner FROM ab FULL JOIN c ON ab.id = c.id
+    """,
+    "linked_wide_keys": """
+        SELECT 'id' AS key_column, count(DISTINCT o_orderkey) AS linked FROM orders WHERE o_orderstatus <> 'O'
+    """,
     "merge_union": """
         SELECT c_name AS customer_name, c_acctbal AS revenue, n_name AS city, CAST(NULL AS INTEGER) AS nation
         FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey

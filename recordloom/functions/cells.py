@@ -111,6 +111,21 @@ def text_sql(x: str, dtype: T.DataType) -> str:
     return f"cast({x} AS string)"
 
 
+def number_sql(x: str, dtype: T.DataType) -> str:
+    """Text of a number that is the same in every numeric type: plain digits, no empty decimals.
+
+    Whole numbers keep all their digits; doubles go through their shortest
+    decimal form, so neighbouring long numbers never meet.
+    """
+    if isinstance(dtype, T.IntegralType):
+        return f"cast({x} AS string)"
+    if isinstance(dtype, T.DecimalType):
+        plain = f"cast({x} AS string)"
+        return f"CASE WHEN contains({plain}, '.') THEN regexp_replace({plain}, r'\\.?0+$', '') ELSE {plain} END"
+    whole = f"{x} = floor({x}) AND abs({x}) < 1e38D"
+    return f"CASE WHEN {whole} THEN cast(try_cast(cast({x} AS double) AS decimal(38,0)) AS string) ELSE {float_sql(x)} END"
+
+
 def text_of(df: DataFrame, name: str) -> Column:
     return F.expr(text_sql(quoted(name), type_of(df, name)))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.durable import materialise
-from recordloom.functions.cells import col, quoted, text_sql
+from recordloom.functions.cells import col, number_sql, quoted, text_sql
 from recordloom.functions.rows import ORD, settle_order, side_by_side, with_order
 
 # The columns that link tables.
@@ -39,6 +39,27 @@ def _alike(a: T.DataType, b: T.DataType) -> T.DataType:
     return T.StringType()
 
 
+def _key_alike(a: T.DataType, b: T.DataType) -> T.DataType:
+    """A type in which keys of both types can be compared without losing a digit.
+
+    Whole numbers meet as long, decimals in one wide enough, any other mix of
+    numbers as their plain text.
+    """
+    if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
+        scale = max(a.scale, b.scale)
+        digits = max(a.precision - a.scale, b.precision - b.scale)
+        return T.DecimalType(digits + scale, scale) if digits + scale <= 38 else T.StringType()
+    shared = _alike(a, b)
+    return T.StringType() if isinstance(shared, T.DoubleType) and a != b else shared
+
+
+def _key_as(x: str, have: T.DataType, want: T.DataType) -> str:
+    """SQL for a key brought to the type it is compared in."""
+    if isinstance(want, T.StringType) and isinstance(have, T.NumericType):
+        return number_sql(x, have)
+    return _as(x, have, want)
+
+
 def _as(x: str, have: T.DataType, want: T.DataType) -> str:
     """SQL for a value brought to another type."""
     if have == want:
@@ -55,11 +76,11 @@ def full_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """
     left_types = {f.name: f.dataType for f in left.schema.fields}
     right_types = {f.name: f.dataType for f in right.schema.fields}
-    key_types = {k: _alike(left_types[k], right_types[k]) for k in keys}
+    key_types = {k: _key_alike(left_types[k], right_types[k]) for k in keys}
 
     def prepared(df: DataFrame, types: dict[str, T.DataType], mark: str) -> DataFrame:
         return df.selectExpr(
-            *[f"{_as(quoted(n), t, key_types.get(n, t))} AS {mark}{i}" for i, (n, t) in enumerate(types.items())]
+            *[f"{_key_as(quoted(n), t, key_types.get(n, t))} AS {mark}{i}" for i, (n, t) in enumerate(types.items())]
         )
 
     a, b = prepared(left, left_types, "l"), prepared(right, right_types, "r")
@@ -91,7 +112,10 @@ def full_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     parts = []
     for i, k in enumerate(keys):
         key = f"coalesce({at_left[k]}, {at_right[k]})"
-        parts.append(f"'n{i}', {key} IS NULL, 'k{i}', {key}")
+        parts.append(f"'n{i}', {key} IS NULL")
+        if isinstance(key_types[k], T.StringType) and isinstance(left_types[k], T.NumericType):
+            parts.append(f"'d{i}', try_cast({key} AS double)")  # numbers as text still sort as numbers
+        parts.append(f"'k{i}', {key}")
     position = f"named_struct({', '.join(parts)}, 'l', {at_left[ORD]}, 'r', {at_right[ORD]})"
     return rows.selectExpr(*out, f"{position} AS {ORD}")
 
@@ -151,7 +175,7 @@ def linked_keys(tables: list[DataFrame]) -> DataFrame:
     for df in tables:
         for f in df.schema.fields:
             if f.name in LINK_KEYS:
-                types[f.name] = _alike(types.get(f.name, f.dataType), f.dataType)
+                types[f.name] = _key_alike(types.get(f.name, f.dataType), f.dataType)
                 holders[f.name] = holders.get(f.name, 0) + 1
     keys = [k for k in LINK_KEYS if holders.get(k, 0) > 1]
     spark = tables[0].sparkSession
@@ -163,7 +187,7 @@ def linked_keys(tables: list[DataFrame]) -> DataFrame:
         cells = [
             F.struct(
                 F.lit(k).alias("key_column"),
-                F.expr(text_sql(_as(quoted(k), have[k], types[k]), types[k])).alias("value"),
+                F.expr(text_sql(_key_as(quoted(k), have[k], types[k]), types[k])).alias("value"),
             )
             for k in keys
             if k in have

@@ -53,6 +53,59 @@ def roundtrip_xml(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _typed_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with days, and with markers in place of some cells."""
+    return table(spark, folder, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_custkey") % 7 == 0, "N/A").otherwise(F.col("o_custkey").cast("string")).alias("owner"),
+        F.when(F.col("o_orderkey") % 5 == 0, "NULL").otherwise(F.col("o_totalprice").cast("string")).alias("price"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        (F.col("o_orderstatus") == "F").alias("final"),
+        "o_orderpriority",
+    )
+
+
+def read_csv_inferred(spark: SparkSession, folder: str) -> DataFrame:
+    """Markers become missing values, days stay text, types fit whole columns."""
+    path = _fresh(spark, "orders") + ".csv"
+    sinks.write_csv(_typed_orders(spark, folder), path)
+    return readers.read_table(spark, path)
+
+
+def json_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """One document for each customer's orders and one for each supplier, with lists of different names."""
+    path = _fresh(spark, "documents") + ".json"
+    bought = table(spark, folder, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_totalprice")).alias("bought"))
+    made = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("no"), F.array(F.struct("s_suppkey", "s_name"), F.struct("s_suppkey", F.lower("s_name").alias("s_name"))).alias("names")
+    )
+    wanted = bought.select(F.to_json(F.struct("o_custkey", "bought")).alias("value")).unionByName(made.select(F.to_json(F.struct("no", "names")).alias("value")))
+    wanted.write.text(path)
+    return readers.read_documents(spark.read.text(path), spark.read.json(path).schema)
+
+
+def xml_detected(spark: SparkSession, folder: str) -> DataFrame:
+    path = _fresh(spark, "orders") + ".xml"
+    rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("@key"), F.col("o_orderpriority").alias("priority"))
+    rows.coalesce(4).write.format("xml").option("rowTag", "order").option("attributePrefix", "@").save(path)
+    return readers.read_table(spark, path).select(F.col("`@key`").alias("order_key"), "priority")
+
+
+def input_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What reading says to files of given endings and to an empty one."""
+    base = _fresh(spark, "checks")
+    rows = table(spark, folder, "region")
+    sinks.write_csv(rows, f"{base}/full.csv")
+    sinks.write_csv(rows.limit(0), f"{base}/empty.csv")
+    said = []
+    for name in ("full.csv", "empty.csv", "other.xls", "other.txt"):
+        try:
+            said.append((name, f"{readers.read_table(spark, f'{base}/{name}').count()} rows"))
+        except ValueError as error:
+            said.append((name, str(error).replace(f"{base}/", "")))
+    return spark.createDataFrame(said, "file string, said string")
+
+
 def json_flatten(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("event_id", "ts", F.from_json("props", "k bigint").alias("props"))
     return normalise(flatten(events))
@@ -95,6 +148,10 @@ QUERIES = {
     "roundtrip_csv": roundtrip_csv,
     "roundtrip_json": roundtrip_json,
     "roundtrip_xml": roundtrip_xml,
+    "read_csv_inferred": read_csv_inferred,
+    "json_documents": json_documents,
+    "xml_detected": xml_detected,
+    "input_checks": input_checks,
     "json_flatten": json_flatten,
     "value_normalise": value_normalise,
     "registry_append": registry_append,
@@ -110,6 +167,23 @@ SQL = {
         SELECT CAST(o_orderkey AS VARCHAR) AS order_key, CAST(o_custkey AS VARCHAR) AS customer_no,
                o_orderstatus AS status, o_orderpriority AS priority FROM orders
     """,
+    "read_csv_inferred": """
+        SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN CAST(o_custkey AS DOUBLE) END AS owner,
+               CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price, strftime(o_orderdate, '%Y-%m-%d') AS day,
+               o_orderstatus = 'F' AS final, o_orderpriority
+        FROM orders
+    """,
+    "json_documents": """
+        SELECT o_orderkey, o_totalprice, NULL::BIGINT AS s_suppkey, NULL::VARCHAR AS s_name FROM orders
+        UNION ALL SELECT NULL, NULL, s_suppkey, s_name FROM supplier
+        UNION ALL SELECT NULL, NULL, s_suppkey, lower(s_name) FROM supplier
+    """,
+    "xml_detected": "SELECT CAST(o_orderkey AS VARCHAR) AS order_key, o_orderpriority AS priority FROM orders",
+    "input_checks": """
+        SELECT 'full.csv' AS file, CAST(count(*) AS VARCHAR) || ' rows' AS said FROM region
+        UNION ALL VALUES ('empty.csv', 'The file empty.csv contains no data rows'),
+        ('other.xls', 'Unsupported file format: other.xls'), ('other.txt', 'Unsupported file format: other.txt')
+    """,
     "json_flatten": """
         SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') AS ts, CAST(props->>'k' AS BIGINT) AS "props.k" FROM events
     """,

@@ -1,70 +1,220 @@
-"""Read CSV, JSON, XML and Excel tables."""
+"""Read CSV, JSON and XML tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.functions.cells import col
+from recordloom.functions.cells import INFINITY_PATTERN, NUMBER_PATTERN, col, quoted, text_sql
 from recordloom.sources.flatten import flatten
-from recordloom.sources.workbook import read_xlsx
 
-FORMATS = ("csv", "json", "xml", "xlsx")
+FORMATS = ("csv", "json", "xml")
+
+# Cells of a CSV file that stand for a missing value.
+NULL_MARKERS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+_WHOLE = r"^\s*[+-]?\d+\s*$"
+_TRUTH = ("True", "TRUE", "true", "False", "FALSE", "false")
+_TAG = re.compile(
+    r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^>]*>|<(?P<close>/?)(?P<name>[^\s/>!?]+)(?:\"[^\"]*\"|'[^']*'|[^>\"'/]|/(?!>))*(?P<empty>/?)>", re.DOTALL
+)
+# Whole numbers up to here are exact as doubles.
+_EXACT = 1 << 53
+
+
+def _unique_names(header: list[str | None]) -> list[str]:
+    """Header names; empty ones numbered by column, repeated ones as ``x``, ``x.1``, ``x.2``."""
+    names: list[str] = []
+    for i, name in enumerate(header):
+        name = name if name not in (None, "") else f"Unnamed: {i}"
+        copy, unique = 0, name
+        while unique in names:
+            copy += 1
+            unique = f"{name}.{copy}"
+        names.append(unique)
+    return names
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    """Text columns as the narrowest of boolean, whole number, number, text that fits all their values.
+
+    One aggregate looks at every column. Whole numbers with gaps become doubles
+    if all of them are exact as doubles; dates stay the text they are.
+    """
+    checks = []
+    for i, name in enumerate(rows.columns):
+        x = col(name)
+        number = F.trim(x).rlike(NUMBER_PATTERN) | F.trim(x).rlike(INFINITY_PATTERN)
+        long = F.when(x.rlike(_WHOLE), F.expr(f"try_cast(trim({quoted(name)}) AS bigint)"))
+        checks += [
+            F.count(x).alias(f"n{i}"),
+            F.count_if(x.isin(*_TRUTH)).alias(f"b{i}"),
+            F.count(long).alias(f"w{i}"),
+            F.coalesce(F.max(F.abs(long)), F.lit(0)).alias(f"m{i}"),
+            F.count_if(number).alias(f"f{i}"),
+            F.count_if(x.rlike(_WHOLE)).alias(f"d{i}"),
+        ]
+    found = rows.agg(F.count("*").alias("rows"), *checks).first()
+    cells = []
+    for i, name in enumerate(rows.columns):
+        n, x = found[f"n{i}"], quoted(name)
+        whole = found[f"w{i}"]
+        if not n:
+            kind = None
+        elif found[f"b{i}"] == n == found["rows"]:
+            kind = "boolean"
+        elif whole == n:
+            kind = "double" if n < found["rows"] and found[f"m{i}"] <= _EXACT else "bigint"
+        elif found[f"f{i}"] == n and found[f"d{i}"] == whole:  # no whole number is too long for its type
+            kind = "double"
+        else:
+            kind = None
+        cells.append(f"try_cast(trim({x}) AS {kind}) AS {x}" if kind else x)
+    return rows.selectExpr(*cells)
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, line_breaks: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, line_breaks: bool = False
 ) -> DataFrame:
-    """Header row and inferred types; a given schema saves the inference pass.
+    """Header row, missing-value markers, and types that fit whole columns.
 
-    A file in which quoted cells may hold line breaks is read by one task. State
-    ``line_breaks=False`` where there are none, and large files are split.
+    Large files are split over tasks. State ``line_breaks=True`` where quoted
+    cells may hold line breaks; such a file is read by one task. The files of a
+    folder must have the same header. With a schema nothing is looked up first.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", line_breaks)
-    return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
+    reader = spark.read.option("escape", '"').option("multiLine", line_breaks)
+    if schema is not None:
+        return reader.option("header", True).schema(schema).csv(path)
+    head = reader.option("header", False).csv(path).head(1)
+    if not head:
+        return spark.createDataFrame([], T.StructType([]))
+    names = _unique_names(list(head[0]))
+    text = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    # Names made here are not in the file, so only a header without them can be checked against it.
+    reader = reader.option("header", True).option("enforceSchema", names != list(head[0]))
+    rows = reader.schema(text).csv(path)
+    marks = ", ".join(f"'{m}'" for m in NULL_MARKERS)
+    return _typed(rows.selectExpr(*[f"if({quoted(n)} IN ({marks}), NULL, {quoted(n)}) AS {quoted(n)}" for n in names]))
 
 
 def read_json(spark: SparkSession, path: str, lines: bool = False, schema: T.StructType | str | None = None) -> DataFrame:
-    """Rows of a JSON document.
+    """Rows of JSON documents.
 
     A top-level array gives its elements; an object gives the elements of its
-    first list, or itself if it has none. ``lines`` reads one record per line,
-    as the JSON sink writes them, and such files can be split over tasks.
+    first list, or itself if it has none. Every document of a folder is looked
+    at by itself. ``lines`` reads one record per line, as the JSON sink writes
+    them, and such files can be split over tasks.
     """
-    reader = spark.read.option("multiLine", not lines)
-    rows = (reader.schema(schema) if schema is not None else reader).json(path)
     if lines:
-        return flatten(rows)
-    key = _first_list(spark, path, rows)
-    if key is not None:
-        element = rows.schema[key].dataType.elementType
-        rows = rows.select(F.explode(col(key)).alias("value"))
-        if isinstance(element, T.StructType):
-            rows = rows.select("value.*")
-    return flatten(rows)
-
-
-def _first_list(spark: SparkSession, path: str, rows: DataFrame) -> str | None:
-    """The first list-valued key of a top-level object, in document order.
-
-    Inferred fields are sorted by name, so the order is asked from the text.
-    Only the key names come back.
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return flatten(reader.json(path))
+    if schema is None:
+        schema = spark.read.option("multiLine", True).json(path).schema
+    return read_documents(spark.read.text(path, wholetext=True), schema)
+
+
+def read_documents(texts: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """Rows of JSON documents, one in each row of the column ``value``; see ``read_json``."""
+    spark = texts.sparkSession
+    fields = spark.createDataFrame([], schema).schema
+    if not fields.fields:
+        return spark.createDataFrame([], fields)
+    lists = [f for f in fields.fields if isinstance(f.dataType, T.ArrayType)]
+    documents = texts.select(
+        F.from_json("value", T.ArrayType(fields)).alias("rows"),
+        F.when(F.ltrim("value").startswith("{"), F.json_object_keys("value")).alias("keys"),
+    )
+    item = F.element_at("rows", 1)
+    held = F.array_compact(F.array(*[F.when(item[f.name].isNotNull(), F.lit(f.name)) for f in lists]))
+    first = F.try_element_at(F.array_intersect("keys", held), F.lit(1)) if lists else F.lit(None).cast("string")
+    documents = documents.withColumn("first", first)
+    parts = [documents.where("first IS NULL").select(F.explode("rows").alias("row")).select("row.*")]
+    for f in lists:
+        own = documents.where(F.col("first") == f.name).select(F.explode(item[f.name]).alias("value"))
+        parts.append(own.select("value.*") if isinstance(f.dataType.elementType, T.StructType) else own)
+    used = {r["first"] for r in documents.select("first").distinct().collect()}  # names of columns
+    chosen = [part for part, name in zip(parts, [None, *[f.name for f in lists]], strict=True) if name in used]
+    if not chosen:
+        return spark.createDataFrame([], fields)
+    return reduce(_stacked, [flatten(part) for part in chosen])
+
+
+def _stacked(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of both; a column of different types becomes text."""
+    kinds = {f.name: f.dataType for f in a.schema.fields}
+    differ = {f.name for f in b.schema.fields if kinds.get(f.name, f.dataType) != f.dataType}
+
+    def as_text(df: DataFrame) -> DataFrame:
+        cells: list[Column] = []
+        for f in df.schema.fields:
+            x = F.expr(text_sql(quoted(f.name), f.dataType)) if f.name in differ else col(f.name)
+            cells.append(x.alias(f.name))
+        return df.select(*cells)
+
+    return as_text(a).unionByName(as_text(b), allowMissingColumns=True)
+
+
+def first_repeated(text: str) -> str | None:
+    """Name of the first element, depth first, that stands more than once under one parent; else the root's name."""
+    root, level = None, [({}, None)]  # for each open element: children in order with [count, found below]
+    names: list[str] = []
+
+    def found(children: dict[str, list]) -> str | None:
+        return next((name if n > 1 else below for name, (n, below) in children.items() if n > 1 or below), None)
+
+    for tag in _TAG.finditer(text):
+        name = tag["name"]
+        if name is None:
+            continue
+        if not tag["close"]:
+            root = root or name
+            children = level[-1][0]
+            children.setdefault(name, [0, None])[0] += 1
+            if not tag["empty"]:
+                level.append(({}, name))
+                names.append(name)
+        elif names and names[-1] == name:
+            names.pop()
+            own = level.pop()[0]
+            entry = level[-1][0][name]
+            entry[1] = entry[1] or found(own)
+    while len(level) > 1:  # elements that were never closed
+        own, name = level.pop()
+        entry = level[-1][0][name]
+        entry[1] = entry[1] or found(own)
+    return found(level[0][0]) or root
+
+
+def row_element(spark: SparkSession, path: str) -> str:
+    """The element that is a row, see ``first_repeated``; one look at the tags of each file, only names come back."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [first_repeated(text.as_py() or "") for text in batch.column("value")]
+            yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string())})
+
+    names = spark.read.text(path, wholetext=True).mapInArrow(look, "name string").where("name IS NOT NULL").distinct().collect()
+    if len(names) != 1:
+        raise ValueError(f"{path}: rows are named {sorted(r['name'] for r in names)}; state row_tag")
+    return names[0]["name"]
+
+
+def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
+    """Elements named ``row_tag`` as rows of text; attributes ``@x``, mixed text ``#text``.
+
+    Without ``row_tag`` the first repeated element is the row, see ``row_element``.
     """
-    lists = {f.name for f in rows.schema.fields if isinstance(f.dataType, T.ArrayType)}
-    if not lists:
-        return None
-    text = spark.read.text(path, wholetext=True)
-    keys = F.when(F.ltrim(F.col("value")).startswith("{"), F.json_object_keys("value"))
-    found = text.select(keys.alias("keys")).filter("keys is not null").limit(1).collect()
-    return next((k for k in found[0]["keys"] if k in lists), None) if found else None
-
-
-def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
-    """Elements named ``row_tag`` as rows of text; attributes ``@x``, mixed text ``#text``."""
     rows = (
         spark.read.format("xml")
-        .option("rowTag", row_tag)
+        .option("rowTag", row_tag or row_element(spark, path))
         .option("attributePrefix", "@")
         .option("valueTag", "#text")
         .option("inferSchema", False)
@@ -85,11 +235,7 @@ def read_table(
     elif ending == "json":
         df = read_json(spark, path, **options)
     elif ending == "xml":
-        if row_tag is None:
-            raise ValueError("XML needs row_tag, the name of the element that is a row")
         df = read_xml(spark, path, row_tag)
-    elif ending == "xlsx":
-        df = read_xlsx(spark, path)
     else:
         raise ValueError(f"Unsupported file format: {path}")
     if not df.columns or df.isEmpty():

@@ -1,10 +1,8 @@
 """Readers, sinks and flattening on small files."""
 
 import json
-import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from recordloom.sources import readers, sinks
 from recordloom.sources.flatten import normalise
@@ -56,38 +54,49 @@ def test_xml(spark, tmp_path):
     ]
 
 
-MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-REL = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+def test_xml_finds_its_row_element(spark, tmp_path):
+    text = '<!-- <x/><x/> --><all kind="a>b"><head><made>now</made></head><rows><row no="1"><tag>a</tag><tag>b</tag></row><row no="2"/></rows></all>'
+    assert readers.first_repeated(text) == "row"
+    assert readers.first_repeated("<one><a/><b>c</b></one>") == "one"
+    got = readers.read_table(spark, write(tmp_path / "d.xml", text))
+    assert [r["@no"] for r in got.collect()] == ["1", "2"]
 
 
-def workbook(path, sheet, shared=(), formats="<xf numFmtId='0'/><xf numFmtId='14'/>"):
-    strings = "".join(f"<si><t>{s}</t></si>" for s in shared)
-    with zipfile.ZipFile(path, "w") as book:
-        book.writestr("xl/workbook.xml", f"<workbook {MAIN} {REL}><sheets><sheet name='S' sheetId='1' r:id='rId7'/></sheets></workbook>")
-        book.writestr("xl/_rels/workbook.xml.rels", "<Relationships><Relationship Id='rId7' Target='worksheets/first.xml'/></Relationships>")
-        book.writestr("xl/worksheets/first.xml", f"<worksheet {MAIN}><sheetData>{sheet}</sheetData></worksheet>")
-        book.writestr("xl/sharedStrings.xml", f"<sst {MAIN}>{strings}</sst>")
-        book.writestr("xl/styles.xml", f"<styleSheet {MAIN}><cellXfs>{formats}</cellXfs></styleSheet>")
-    return str(path)
+def test_csv_markers_dates_and_repeated_names(spark, tmp_path):
+    text = (
+        "id,phone,phone,born,flag,amount,count,long,mixed\n1,NA,5,1990-01-05,True,1.5,3,12345678901234567890,1\n"
+        "2,n/a,6,2024-01-05 10:00:00,False,NULL,,2,x\n"
+    )
+    df = readers.read_table(spark, write(tmp_path / "m.csv", text))
+    assert [(f.name, f.dataType.simpleString()) for f in df.schema] == [
+        ("id", "bigint"), ("phone", "string"), ("phone.1", "bigint"), ("born", "string"), ("flag", "boolean"),
+        ("amount", "double"), ("count", "double"), ("long", "string"), ("mixed", "string"),
+    ]
+    assert [tuple(r) for r in df.collect()] == [
+        (1, None, 5, "1990-01-05", True, 1.5, 3.0, "12345678901234567890", "1"),
+        (2, None, 6, "2024-01-05 10:00:00", False, None, None, "2", "x"),
+    ]
+
+
+def test_csv_files_of_a_folder_must_agree(spark, tmp_path):
+    write(tmp_path / "a.csv", "id,name\n1,x\n")
+    write(tmp_path / "b.csv", "id,place\n2,y\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_csv(spark, str(tmp_path)).collect()
 
 
-def test_xlsx(spark, tmp_path):
-    sheet = """
-        <row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="C1" t="inlineStr"><is><t>day</t></is></c>
-             <c r="D1" t="s"><v>2</v></c><c r="E1" t="s"><v>3</v></c></row>
-        <row><c r="A2"><v>1</v></c><c r="B2" t="s"><v>4</v></c><c r="C2" s="1"><v>45292.5</v></c><c r="D2"><v>1.5</v></c>
-             <c r="E2" t="b"><v>1</v></c></row>
-        <row><c r="A3"><v>2</v></c><c r="C3" s="1"><v>45293</v></c><c r="D3"><v>2</v></c></row>
-    """
-    path = workbook(tmp_path / "b.xlsx", sheet, ["id", "name", "amount", "ok", "Al"])
-    df = readers.read_table(spark, path)
-    assert [f.dataType.simpleString() for f in df.schema] == ["bigint", "string", "timestamp_ntz", "double", "boolean"]
-    got = [tuple(r) for r in df.withColumn("day", F.col("day").cast("string")).orderBy("id").collect()]
-    assert got == [(1, "Al", "2024-01-01 12:00:00", 1.5, True), (2, None, "2024-01-02 00:00:00", 2.0, None)]
+def test_json_documents_of_a_folder_are_taken_apart_each_by_itself(spark, tmp_path):
+    write(tmp_path / "a.json", '{"people": [{"n": 1}, {"n": 2}], "z": [3]}')
+    write(tmp_path / "b.json", '{"z": [{"m": "x"}], "people": []}')
+    write(tmp_path / "c.json", '[{"n": 5}]')
+    write(tmp_path / "d.json", '{"n": 6}')
+    df = readers.read_json(spark, str(tmp_path))
+    assert sorted(r["n"] for r in df.where("n IS NOT NULL").collect()) == [1, 2, 5, 6]
+    assert df.count() == 5
 
 
 def test_unknown_formats_are_refused(spark, tmp_path):
-    for name in ("a.txt", "a.xls", "nothing"):
+    for name in ("a.txt", "a.xls", "a.xlsx", "nothing"):
         with pytest.raises(ValueError, match="Unsupported"):
             readers.read_table(spark, str(tmp_path / name))
 
@@ -120,7 +129,7 @@ def test_json_sink_is_sparse_and_keeps_letters(spark, tmp_path):
 def test_csv_sink(spark, tmp_path):
     df = spark.createDataFrame([("a,\"b\"\nc", [1, 2])], "t string, l array<int>")
     sinks.write_csv(df, str(tmp_path / "out.csv"))
-    assert rows(readers.read_csv(spark, str(tmp_path / "out.csv"))) == [{"t": 'a,"b"\nc', "l": "[1,2]"}]
+    assert rows(readers.read_csv(spark, str(tmp_path / "out.csv"), line_breaks=True)) == [{"t": 'a,"b"\nc', "l": "[1,2]"}]
 
 
 def test_registry(spark, tmp_path):

@@ -26,6 +26,13 @@ def explore_sort_page(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def explore_deep_page(spark: SparkSession, folder: str) -> DataFrame:
+    """A page far back in the largest table, sorted by a column with many equal values, downwards."""
+    lines = table(spark, folder, "lineitem")
+    ties = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return explore.page(lines, 91, 500, "l_quantity", "desc", ties=ties).select("l_quantity", *ties)
+
+
 def explore_page_count(spark: SparkSession, folder: str) -> DataFrame:
     return explore.page_count(explore.search(table(spark, folder, "orders"), "urgent"), 100)
 
@@ -78,6 +85,7 @@ QUERIES = {
     "explore_search": explore_search,
     "explore_search_text": explore_search_text,
     "explore_sort_page": explore_sort_page,
+    "explore_deep_page": explore_deep_page,
     "explore_page_count": explore_page_count,
     "filter_revenue_gt": filter_revenue_gt,
     "filter_value": filter_value,
@@ -111,6 +119,10 @@ SQL = {
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders
         ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 100 OFFSET 200
     """,
+    "explore_deep_page": """
+        SELECT l_quantity, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem
+        ORDER BY l_quantity DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT 500 OFFSET 45000
+    """,
     "explore_page_count": """
         SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 100) AS BIGINT)) AS pages
         FROM orders WHERE lower(o_orderpriority) LIKE '%urgent%'

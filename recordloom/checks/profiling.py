@@ -24,10 +24,7 @@ def null_pct(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def distinct_counts(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag", "l_shipdate"
-    )
-    return profile.column_stats(lines).select("column_name", "unique_values")
+    return profile.column_stats(table(spark, folder, "lineitem")).select("column_name", "unique_values")
 
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,13 +161,16 @@ SQL = {
     "null_pct": _null_sql(),
     "distinct_counts": " UNION ALL ".join(
         f"SELECT '{n}' AS column_name, count(DISTINCT {n}) AS unique_values FROM lineitem"
-        for n in ("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag", "l_shipdate")
+        for n in (
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+            "l_returnflag", "l_linestatus", "l_shipdate",
+        )
     ),
     "samples": " UNION ALL ".join(
         f"""SELECT '{name}' AS column_name, (SELECT string_agg(CAST(v AS VARCHAR), '|' ORDER BY event_id) FROM (
                 SELECT event_id, {cell} AS v FROM events WHERE {cell} IS NOT NULL ORDER BY event_id LIMIT 3)) AS sample_values"""
         for name, cell in (
-            ("event_type", "nullif(event_type, 'error')"), ("user_id", "nullif(user_id, 8)"), ("value", "value"), ("props", "props"),
+            ("event_type", "nullif(event_type, 'error')"), ("user_id", "CAST(nullif(user_id, 8) AS DOUBLE)"), ("value", "value"), ("props", "props"),
         )
     ),
     "quality_score": f"""

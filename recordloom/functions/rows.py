@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.durable import materialise
+from recordloom.functions.cells import quoted
 
 ORD = "_ord"
 # monotonically_increasing_id() keeps the row within its partition in the low 33 bits.
@@ -15,8 +16,25 @@ ROW_BITS = 33
 
 
 def with_order(df: DataFrame) -> DataFrame:
-    """Add ``_ord``, the position of the row in scan order."""
-    return df.withColumn(ORD, F.monotonically_increasing_id())
+    """Add ``_ord``, the position of the row in its source, and write the table once.
+
+    Tables read from files keep the order of the files: by path, then by place
+    in the file, however Spark deals files and parts of files out to tasks. Any
+    other table has the order in which Spark hands over its rows at that moment;
+    give such tables an ``_ord`` of their own where that is not enough.
+    """
+    place = {"_place": F.monotonically_increasing_id()}
+    if "_metadata" not in df._jdf.queryExecution().analyzed().metadataOutput().mkString(","):
+        return materialise(df.withColumns(place), "ordered").withColumnRenamed("_place", ORD)
+    path = F.col("_metadata.file_path")
+    tagged = df.withColumns({"_file": F.xxhash64(path), "_path": path, "_block": F.col("_metadata.file_block_start"), **place})
+    written = materialise(tagged, "ordered")
+    # One row for each part of a file that a task has read.
+    blocks = written.groupBy("_file", "_path", "_block").agg(F.min("_place").alias("_first_place"))
+    number = F.row_number().over(Window.orderBy("_path", "_block")).cast("long") - 1
+    blocks = blocks.select("_file", "_block", "_first_place", number.alias("_number"))
+    position = F.shiftleft("_number", ROW_BITS) + F.col("_place") - F.col("_first_place")
+    return written.join(blocks, ["_file", "_block"]).select(*[F.col(quoted(n)) for n in df.columns], position.alias(ORD))
 
 
 def settle_order(df: DataFrame, order: list[Column], label: str = "ordered") -> DataFrame:

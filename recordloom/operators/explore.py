@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.functions.cells import col, is_blank, text_of, to_number, type_of
-from recordloom.functions.rows import ORD, number_rows
+from recordloom.functions.rows import ORD
 
 
-# Pages that end within this many rows are taken from the top of each partition.
-DEEPEST_TOP = 100_000
+# A page is cut out of at most about this many rows in one task.
+SLICE_ROWS = 4096
+# Bounds between which rows are counted in one pass, and keys drawn to find them.
+BOUNDS = 64
+DRAWN = 2000
 
 REGEX_CHARACTERS = set("\\.^$*+?{}[]|()")
 NUMBER_CHARACTERS = set("0123456789+-.einfa")
@@ -83,18 +86,76 @@ def page(
     order: str = "asc",
     ties: list[str] | None = None,
 ) -> DataFrame:
-    """One page of the sorted rows.
+    """One page of the sorted rows, at any depth.
 
-    Near the front every task keeps only the rows up to the end of the page.
-    Far back that would be many, so there the rows are sorted across the
-    cluster, numbered, and picked by number.
+    Rows are put into one total order: by the sort column, then by ``ties``
+    (the row position, or all columns where there is none). A drawn set of keys
+    cuts the order into ranges, rows are counted per range, and only the range
+    that holds the page is looked at further, until it is short enough to sort.
+    Counting moves a few numbers; the whole table is never sorted or moved.
     """
-    first, last = (number - 1) * limit, number * limit
+    first = (number - 1) * limit
+    if not by or by not in df.columns:
+        if not ties and ORD not in df.columns:
+            return df.offset(first).limit(limit)
+        by = None
+    if not ties and ORD not in df.columns:
+        ties = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     keys = sort_keys(df, by, order, ties)
-    if last <= DEEPEST_TOP or not keys:
-        return sort_rows(df, by, order, ties).offset(first).limit(limit)
-    placed = number_rows(df, keys, "_no")
-    return placed.filter((F.col("_no") > first) & (F.col("_no") <= last)).orderBy("_no").drop("_no")
+    tie_names = ties or [ORD]
+    place = F.struct(
+        (col(by).isNull() if by else F.lit(False)).alias("n"),
+        (col(by) if by else F.lit(0)).alias("k"),
+        F.struct(*[c.alias(f"t{i}") for i, c in enumerate(x for name in tie_names for x in (col(name).isNull(), col(name)))]).alias("t"),
+    )
+    smaller = "<" if order == "asc" else ">"
+    # True if the place b stands strictly before the place p.
+    before = (
+        f"(b.n < p.n OR (b.n = p.n AND (coalesce(b.k {smaller} p.k, false) OR ((b.k = p.k OR b.n) AND b.t < p.t))))"
+    )
+    rows, skipped = df, first
+    while True:
+        total = rows.count()
+        if skipped + limit <= SLICE_ROWS or total <= SLICE_ROWS:
+            return rows.orderBy(*keys).offset(skipped).limit(limit)
+        drawn = rows.select(place.alias("p")).where(F.rand(17) < DRAWN / total).limit(2 * DRAWN).sort(*_place_order(order)).collect()
+        bounds = [r["p"] for r in drawn[:: max(1, len(drawn) // BOUNDS)]][1:]
+        if not bounds:
+            return rows.orderBy(*keys).offset(skipped).limit(limit)
+        listed = F.array(*[_literal(b, place_type(rows, place)) for b in bounds])
+        ranged = rows.withColumns({"_p": place, "_bounds": listed})
+        ranged = ranged.withColumn("_range", F.expr(f"size(filter(_bounds, b -> coalesce({before.replace('p.', '_p.')}, false)))"))
+        counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}  # at most BOUNDS + 1
+        low, at = 0, 0
+        while low + counts.get(at, 0) <= skipped and at < len(bounds):
+            low += counts.get(at, 0)
+            at += 1
+        high, end = low + counts.get(at, 0), at
+        while high < skipped + limit and end < len(bounds):
+            end += 1
+            high += counts.get(end, 0)
+        if high - low == total:
+            return rows.orderBy(*keys).offset(skipped).limit(limit)
+        rows = ranged.where(F.col("_range").between(at, end)).drop("_p", "_bounds", "_range")
+        skipped -= low
+
+
+def _place_order(order: str) -> list[Column]:
+    key = F.col("p.k").asc() if order == "asc" else F.col("p.k").desc()
+    return [F.col("p.n").asc(), key, F.col("p.t").asc()]
+
+
+def place_type(df: DataFrame, place: Column) -> T.DataType:
+    return df.select(place.alias("p")).schema["p"].dataType
+
+
+def _literal(value: object, dtype: T.DataType) -> Column:
+    """A collected value as a literal of its type."""
+    if isinstance(dtype, T.StructType):
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in dtype.fields])
+    if isinstance(dtype, T.ArrayType):
+        return F.array(*[_literal(v, dtype.elementType) for v in value]).cast(dtype) if value is not None else F.lit(None).cast(dtype)
+    return F.lit(value).cast(dtype)
 
 
 def page_count(df: DataFrame, limit: int = 100) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.functions.cells import col, fill, is_floating, is_missing, quoted, round_even, text_of, text_sql, to_number, type_of
+from recordloom.durable import materialise
+from recordloom.functions.cells import col, fill, float_sql, is_floating, is_missing, quoted, round_even, text_of, text_sql, to_number, type_of
 from recordloom.functions.rows import ORD, side_by_side
 
 # Descriptions of well-known columns.
@@ -44,6 +45,8 @@ ALL_CLEAN = "Data is clean and ready for analysis"
 
 PLACE_COLUMNS = ("city", "location", "address")
 SAMPLES = 3
+# Rows in which samples are looked for first.
+FRONT_ROWS = 1000
 NOT_PROFILED = (ORD, "entity_id", "entity_no")
 
 
@@ -89,17 +92,18 @@ def _type_name(dtype: T.DataType, has_nulls: Column) -> Column:
 def column_stats(df: DataFrame, distinct: str | None = "exact") -> DataFrame:
     """One row per column: rows, nulls, null percentage, distinct values.
 
-    One pass over the table. Exact distinct counting is done by Spark in two
-    aggregations over (column, value); ``distinct="approximate"`` needs one, and
+    One pass over the table. Exact distinct counting turns rows into narrow
+    (column, value) pairs, counts equal pairs where they are read, and then pairs
+    per column; ``distinct="approximate"`` needs one aggregate of one row, and
     ``None`` counts no distinct values.
     """
     names = profiled_columns(df)
+    if distinct == "exact":
+        return _exact_stats(df, names)
     aggregates = [F.count("*").alias("rows")]
     for i, name in enumerate(names):
         aggregates.append(F.count_if(~is_missing(df, name)).alias(f"n{i}"))
-        if distinct == "exact":
-            aggregates.append(F.count_distinct(comparison_key(df, name)).alias(f"d{i}"))
-        elif distinct == "approximate":
+        if distinct == "approximate":
             aggregates.append(F.approx_count_distinct(comparison_key(df, name)).alias(f"d{i}"))
     cells = []
     for i, name in enumerate(names):
@@ -118,26 +122,83 @@ def column_stats(df: DataFrame, distinct: str | None = "exact") -> DataFrame:
     return df.agg(*aggregates).select(F.inline(F.array(*cells)))
 
 
-def samples(df: DataFrame, order: str = ORD, n: int = SAMPLES) -> DataFrame:
-    """Per column the text of its first ``n`` values.
+def _pair_text(df: DataFrame, name: str) -> Column:
+    """The comparison key of a value as text; null if the value is missing."""
+    dtype, key = type_of(df, name), comparison_key(df, name)
+    if is_floating(dtype):
+        key = key + F.lit(0.0)  # no negative zero
+    if isinstance(dtype, (T.ArrayType, T.StructType)):
+        key = F.to_json(col(name))
+    return key.cast("string")
+
+
+def _exact_stats(df: DataFrame, names: list[str]) -> DataFrame:
+    spark = df.sparkSession
+    row = F.struct(F.lit(-1).alias("no"), F.lit("").alias("key"))
+    pairs = [F.struct(F.lit(i).alias("no"), _pair_text(df, name).alias("key")) for i, name in enumerate(names)]
+    equal = df.select(F.explode(F.array(row, *pairs)).alias("p")).where("p.key IS NOT NULL").groupBy("p.no", "p.key").agg(F.count("*").alias("n"))
+    found = equal.groupBy("no").agg(F.sum("n").alias("present"), F.count("*").alias("distinct"))
+    known = spark.createDataFrame([(-1, "", ""), *[(i, name, _kind(type_of(df, name))) for i, name in enumerate(names)]], "no int, column_name string, kind string")
+    # One row for each column from here on.
+    rows = F.coalesce(F.max(F.when(F.col("no") == -1, F.col("present"))).over(Window.partitionBy()), F.lit(0))
+    counted = known.join(F.broadcast(found), "no", "left").withColumns({"rows": rows, "present": F.coalesce("present", F.lit(0))})
+    nulls = F.col("rows") - F.col("present")
+    gaps = nulls > 0
+    name_of = F.when(F.col("kind") == "whole", F.when(gaps, "float64").otherwise("int64")).when(F.col("kind") == "truth", F.when(gaps, "object").otherwise("bool"))
+    return counted.where("no >= 0").select(
+        F.col("no").alias("column_no"),
+        "column_name",
+        F.coalesce(name_of, F.col("kind")).alias("data_type"),
+        "rows",
+        nulls.alias("nulls"),
+        round_even(nulls / F.col("rows") * 100, 2).alias("null_percentage"),
+        F.coalesce("distinct", F.lit(0)).alias("unique_values"),
+    )
+
+
+def _kind(dtype: T.DataType) -> str:
+    if isinstance(dtype, T.IntegralType):
+        return "whole"
+    if isinstance(dtype, T.BooleanType):
+        return "truth"
+    return "float64" if isinstance(dtype, T.NumericType) else "object"
 
-    Each column is read on its own, and every task keeps ``n`` rows of it.
+
+def _first_values(df: DataFrame, names: list[str], order: str, n: int) -> DataFrame:
+    """column_name, at, value, as_float of the first ``n`` values of the columns."""
+    cells = []
+    for name in names:
+        dtype = type_of(df, name)
+        text = text_of(df, name)
+        as_float = F.expr(float_sql(quoted(name))) if isinstance(dtype, T.IntegralType) else text
+        here = F.struct(F.lit(name).alias("column_name"), col(order).alias("at"), text.alias("value"), as_float.alias("as_float"))
+        cells.append(F.when(~is_missing(df, name), here))
+    rows = df.select(F.explode(F.array(*cells)).alias("c")).where("c IS NOT NULL").select("c.*")
+    # Spark keeps n rows of each column in every task before they are dealt out.
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("column_name").orderBy("at"))).where(F.col("_n") <= n).drop("_n")
+
+
+def samples(df: DataFrame, order: str = ORD, n: int = SAMPLES, stats: DataFrame | None = None) -> DataFrame:
+    """Per column the text of its first ``n`` values; whole numbers with gaps as the floats they count as.
+
+    Most columns have their first values within the first rows, which one pass
+    finds. Only the columns that do not are looked for in the whole table.
     """
-    parts = [
-        df.filter(~is_missing(df, name))
-        .select(F.lit(i).alias("column_no"), col(order).alias("at"), text_of(df, name).alias("value"))
-        .orderBy("at")
-        .limit(n)
-        for i, name in enumerate(n_ for n_ in profiled_columns(df) if n_ != order)
-    ]
     names = [n_ for n_ in profiled_columns(df) if n_ != order]
-    known = F.array(*[F.lit(n_) for n_ in names])
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_name string, sample_values array<string>")
+    front = materialise(_first_values(df.orderBy(col(order)).limit(FRONT_ROWS), names, order, n), "samples")
+    full = {r["column_name"] for r in front.groupBy("column_name").count().where(F.col("count") >= n).collect()}
+    short = [name for name in names if name not in full]
+    found = front.where(F.col("column_name").isin(*full)) if full else front.limit(0)
+    if short:
+        found = found.unionByName(_first_values(df, short, order, n))
+    stats = column_stats(df, None) if stats is None else stats
     # At most n rows per column get here.
-    return (
-        reduce(DataFrame.unionByName, parts)
-        .groupBy("column_no")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda s: s["value"]).alias("sample_values"))
-        .select(F.get(known, F.col("column_no")).alias("column_name"), "sample_values")
+    lists = found.groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("at", "value", "as_float"))).alias("first"))
+    return lists.join(F.broadcast(stats.select("column_name", "nulls")), "column_name").select(
+        "column_name",
+        F.when(F.col("nulls") > 0, F.transform("first", lambda s: s["as_float"])).otherwise(F.transform("first", lambda s: s["value"])).alias("sample_values"),
     )
 
 
@@ -146,10 +207,10 @@ def data_catalog(df: DataFrame, order: str = ORD, distinct: str = "exact", drop_
 
     ``drop_empty`` leaves out columns without any value, which resolved records do not have.
     """
-    stats = column_stats(df if order == ORD else df.drop(order), distinct)
+    stats = materialise(column_stats(df if order == ORD else df.drop(order), distinct), "column_stats")
     if drop_empty:
         stats = stats.filter(F.col("nulls") < F.col("rows"))
-    return stats.join(F.broadcast(samples(df, order)), "column_name", "left").select(
+    return stats.join(F.broadcast(samples(df, order, stats=stats)), "column_name", "left").select(
         "column_no",
         "column_name",
         "data_type",
@@ -252,7 +313,11 @@ def revenue_total(df: DataFrame) -> DataFrame:
     name = revenue_column(df)
     if name is None:
         return df.sparkSession.createDataFrame([], "column_name string, total double")
-    total = F.coalesce(F.sum(to_number(df, name)), F.lit(0.0))
+    number = to_number(df, name)
+    exact = F.when(~F.isnan(number), number.try_cast("decimal(28,8)"))
+    # Decimals sum to the same total in any order of rows; doubles are the way out for very large values.
+    total = F.when(F.count(exact) == F.count(number), F.sum(exact).cast("double")).otherwise(F.sum(number))
+    total = F.coalesce(total, F.lit(0.0))
     return df.agg(round_even(total, 2).alias("total")).select(F.lit(name).alias("column_name"), "total")
 
 

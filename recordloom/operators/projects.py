@@ -69,7 +69,8 @@ def dashboard_kpis(projects: DataFrame) -> DataFrame:
         .groupBy("user_id")
         .agg(
             F.sum("_records").alias("records_processed"),
-            round_even(F.sum("_score") / F.count("*"), 1).alias("average_score"),
+            # Rounded on the exact value of the mean, ties to even.
+            F.regexp_replace(F.format_number(F.sum("_score") / F.count("*"), 1), ",", "").cast("double").alias("average_score"),
         )
     )
 

@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.operators.stored import first_known, parsed
+from recordloom.operators.stored import field, first_known, is_object, parsed
 
 DESCRIPTION_LENGTH = 80
 
 # Section titles, row labels and the sentences for empty sections.
-SECTIONS = ("Executive Summary", "Trust Report", "Schema Intelligence", "Data Catalog", "Insights", "Recommendations")
+SECTIONS = ("Cover", "Executive Summary", "Trust Report", "Schema Intelligence", "Data Catalog", "Insights", "Recommendations")
+COVER_ROWS = ("Project Name", "Records Processed", "Quality Score")
 SUMMARY_ROWS = ("Total Records", "Records After Merge", "Duplicates Merged", "Conflicts Detected", "Processing Time")
 SCORE_ROWS = ("Final Score", "Completeness Score", "Consistency Score", "Duplicate Score")
 EMPTY_SECTIONS = (
@@ -41,7 +42,8 @@ def report_sections(projects: DataFrame) -> DataFrame:
     """
     merged = first_known("entity_resolution_report.duplicates_merged", "trust_report.duplicates_merged", default="0")
     found = first_known("entity_resolution_report.conflicts_detected", "trust_report.conflicts_detected", default="0")
-    before = first_known("entity_resolution_report.records_before_merge", "records_processed")
+    processed = F.coalesce(first_known("records_processed", "processed_records"), F.col("total_records").cast("string"))
+    before = first_known("entity_resolution_report.records_before_merge", "records_processed", "processed_records")
     after = F.coalesce(
         first_known("entity_resolution_report.records_after_merge"),
         (before.try_cast("long") - merged.try_cast("long")).cast("string"),
@@ -59,22 +61,35 @@ def report_sections(projects: DataFrame) -> DataFrame:
         F.col("total_records").cast("string"), after, merged, found,
         first_known("trust_report.processing_time", default="N/A"),
     )
+    score = F.concat(F.col("quality_score").cast("string"), F.lit("/100"))
+    cover = F.array(*[_row(label, value) for label, value in zip(COVER_ROWS, (F.col("project_name"), processed, score))])
     executive = F.array(*[_row(label, value) for label, value in zip(SUMMARY_ROWS, values)])
     scores = (final, part("completeness_score"), part("consistency_score"), part("duplicate_score"))
     trust = F.array(*[_row(label, value) for label, value in zip(SCORE_ROWS, scores)])
     mapping = F.transform(
-        first_known("mappings_applied"),
-        lambda m: _row(m["original_column"], m["canonical_column"], m["confidence_score"], m["match_type"]),
+        F.filter(first_known("mappings_applied"), is_object),
+        lambda m: _row(
+            field(m, "original_column", "source"), field(m, "canonical_column", "target"),
+            field(m, "confidence_score", "confidence"), field(m, "match_type"),
+        ),
     )
     catalog = F.transform(
         first_known("data_catalog"),
-        lambda c: _row(c["column_name"], c["data_type"], c["null_percentage"], cut_description(c["description"])),
+        lambda c: F.when(
+            is_object(c),
+            _row(
+                field(c, "column_name", "field", "name"), field(c, "data_type", "type"),
+                field(c, "null_percentage", "missing_percentage", default="0%"), cut_description(field(c, "description")),
+            ),
+        ).otherwise(_row(c, "")),
     )
 
-    def lines(path: str) -> Column:
-        return F.transform(first_known(path), lambda s: _row("•", s))
+    def lines(name: str, *paths: str) -> Column:
+        return F.transform(
+            first_known(*paths), lambda s: _row("•", F.when(is_object(s), F.coalesce(F.get_json_object(s, f"$.{name}"), s)).otherwise(s))
+        )
 
-    listed = [mapping, catalog, lines("data_insights"), lines("recommendations")]
+    listed = [mapping, catalog, lines("insight", "data_insights", "insights"), lines("recommendation", "recommendations")]
     filled = [
         F.when(F.coalesce(F.size(rows), F.lit(0)) > 0, rows).otherwise(F.array(_row(sentence, "")))
         for rows, sentence in zip(listed, EMPTY_SECTIONS)
@@ -82,7 +97,7 @@ def report_sections(projects: DataFrame) -> DataFrame:
     tables = F.array(
         *[
             F.struct(F.lit(title).alias("section"), rows.alias("rows"))
-            for title, rows in zip(SECTIONS, [executive, trust, *filled])
+            for title, rows in zip(SECTIONS, [cover, executive, trust, *filled])
         ]
     )
     return (

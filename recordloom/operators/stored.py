@@ -19,12 +19,13 @@ RESULTS = f"""
         score_breakdown struct<
             completeness_score string, consistency_score string, duplicate_score string, final_score string>>,
     relationship_graphs struct<nodes array<string>, edges array<string>>,
-    mappings_applied array<struct<
-        original_column string, canonical_column string, confidence_score string, match_type string>>,
-    data_catalog array<struct<column_name string, data_type string, null_percentage string, description string>>,
+    mappings_applied array<string>,
+    data_catalog array<string>,
     data_insights array<string>,
+    insights array<string>,
     recommendations array<string>,
-    records_processed string
+    records_processed string,
+    processed_records string
 """
 
 
@@ -33,6 +34,17 @@ def parsed(projects: DataFrame, column: str = "_results") -> DataFrame:
     return projects.withColumn(column, F.from_json("processing_results", RESULTS))
 
 
+def is_object(item: Column) -> Column:
+    """Whether an item of a list is an object; others are plain text."""
+    return F.ltrim(item).startswith("{")
+
+
+def field(item: Column, *names: str, default: str = "") -> Column:
+    """The first of several fields that an object in a list has."""
+    cells = [F.get_json_object(item, f"$.{name}") for name in names]
+    return F.coalesce(*cells, F.lit(default))
+
+
 def resolution_count(field: str) -> Column:
     """A count of the resolution report, 0 if unknown; quicker than parsing everything for one or two of them."""
     text = F.get_json_object("processing_results", f"$.entity_resolution_report.{field}")

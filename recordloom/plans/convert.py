@@ -7,8 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordloom.durable import materialise
+from recordloom.functions.cells import col
 from recordloom.functions.rows import ORD, side_by_side, with_order
 from recordloom.operators import graph, merge, profile, quality, resolve, schema_match
 from recordloom.session import tune
@@ -40,13 +42,14 @@ def convert(
     mapping: Mapping[str, str] | None = None,
     least: int = 2,
     cells: str = "present",
+    decimals: int = 10,
 ) -> Conversion:
     """Rename, merge, resolve, score and profile.
 
     Column names are mapped automatically, or by ``mapping`` if given. The
     merged table is written once in its final order, and the resolved records
     once; all other results are read from those two. ``least`` is the smallest
-    number of tables taken.
+    number of tables taken, ``decimals`` the decimals that doubles keep.
     """
     tune(spark)
     if len(tables) < least:
@@ -56,7 +59,8 @@ def convert(
     else:
         renamed, mappings = schema_match.rename_manual(spark, tables, mapping)
     parts = [df if ORD in df.columns else with_order(df) for df in renamed.values()]
-    merged = merge.settle_order(merge.merge(parts).transform(_clean), [F.col(ORD)], "merged")
+    merged = merge.settle_order(merge.merge(parts).transform(lambda df: normalise(df, decimals)), [F.col(ORD)], "merged")
+    merged = gaps_as_floats(merged)
     stats = materialise(merge.multi_file_stats(parts, merged), "stats")
     found = resolve.resolve(merged, positions=True)
     records = found.records
@@ -80,9 +84,17 @@ def convert(
     )
 
 
-def _clean(merged: DataFrame) -> DataFrame:
-    """Normalise all columns but the position, which is a struct here."""
-    return normalise(merged)
+def gaps_as_floats(df: DataFrame) -> DataFrame:
+    """Whole-number columns with missing values as doubles, if all their values are exact as doubles."""
+    names = [f.name for f in df.schema.fields if f.name != ORD and isinstance(f.dataType, T.IntegralType)]
+    if not names:
+        return df
+    checks = []
+    for i, n in enumerate(names):
+        checks += [F.count_if(col(n).isNull()).alias(f"n{i}"), F.coalesce(F.max(F.abs(col(n).cast("decimal(20,0)"))), F.lit(0)).alias(f"m{i}")]
+    found = df.agg(*checks).first()
+    gaps = [n for i, n in enumerate(names) if found[f"n{i}"] and found[f"m{i}"] <= 1 << 53]
+    return df.withColumns({n: col(n).cast("double") for n in gaps}) if gaps else df
 
 
 def project_row(conversion: Conversion, project_id: str, user_id: str, project_name: str) -> DataFrame:

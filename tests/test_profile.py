@@ -168,11 +168,21 @@ def test_sorting_and_pages(spark):
 def test_deep_pages_hold_the_same_rows(spark, monkeypatch):
     df = spark.range(0, 5000, 1, 8).select("id", (F.col("id") * 37 % 101).alias("n"))
     front = [tuple(r) for r in explore.page(df, 30, 50, "n", "desc", ties=["id"]).collect()]
-    monkeypatch.setattr(explore, "DEEPEST_TOP", 100)
+    monkeypatch.setattr(explore, "SLICE_ROWS", 100)
     assert [tuple(r) for r in explore.page(df, 30, 50, "n", "desc", ties=["id"]).collect()] == front
     assert len(front) == 50
 
 
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_pages_partition_all_rows(spark, monkeypatch, order):
+    rows = [(i, None if i % 11 == 0 else i % 7) for i in range(400)] * 2
+    df = spark.createDataFrame(rows, "id int, n int").repartition(4)
+    monkeypatch.setattr(explore, "SLICE_ROWS", 50)
+    monkeypatch.setattr(explore, "BOUNDS", 8)
+    seen = [tuple(r) for number in range(1, 10) for r in explore.page(df, number, 100, "n", order).collect()]
+    assert seen == sorted(rows, key=lambda r: (r[1] is None, (r[1] or 0) * (1 if order == "asc" else -1), r[0]))
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_float_text(spark, seed):
     rng = random.Random(seed)

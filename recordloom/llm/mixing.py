@@ -45,7 +45,7 @@ def size_of(text: Column) -> Column:
 
 def quality_of(text: Column) -> Column:
     """Quality weight from 0.25 to 1: the share of letters among the characters, squared."""
-    letters = F.length(F.regexp_replace(text, "[^\\p{L}]+", "")) / F.length(text)
+    letters = F.try_divide(F.length(F.regexp_replace(text, "[^\\p{L}]+", "")), F.length(text))
     return F.coalesce(F.lit(0.25) + F.lit(0.75) * letters * letters, F.lit(0.25))
 
 

@@ -174,6 +174,8 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL)
     vectors = usable(df)
     classes = materialise(vectors.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("n")), "classes")
     total = classes.count()
+    if not total:
+        return spark.createDataFrame([], f"query_id {classes.schema['rep'].dataType.simpleString()}, rank int, vec_id {classes.schema['rep'].dataType.simpleString()}, score double")
     repeated = classes.where("n > 1").select("embedding", "rep")
     # Of a class at most k + 1 members can be among k neighbours.
     smallest = Window.partitionBy("rep").orderBy("vec_id")
@@ -182,8 +184,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL)
     asked = materialise(asked, "asked")
     queries = classes.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "embedding")
 
-    width = classes.select(F.size("embedding").alias("n")).head(1)
-    rows = min(SAMPLE, SAMPLE_VALUES // max(1, width[0]["n"] if width else 1))
+    rows = min(SAMPLE, max(1, SAMPLE_VALUES // classes.select(F.size("embedding").alias("n")).head()["n"]))
     drawn = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < F.lit(int(min(1.0, 1.1 * rows / max(1, total)) * (1 << 30))))
     sample = np.array([r["embedding"] for r in drawn.select("embedding", F.xxhash64("rep").alias("_d")).orderBy("_d").limit(rows).collect()], float)
     sample = sample.reshape(len(sample), -1)

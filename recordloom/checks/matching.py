@@ -63,8 +63,7 @@ def rename_auto(spark: SparkSession, folder: str) -> DataFrame:
 
 def rename_manual(spark: SparkSession, folder: str) -> DataFrame:
     mapping = {"o_custkey": "customer_id", "o_totalprice": "revenue", "o_orderdate": "ignore", "o_orderstatus": ""}
-    source = table(spark, folder, "orders").drop("o_orderdate")
-    renamed, _ = schema_match.rename_manual(spark, {"orders": source}, mapping)
+    renamed, _ = schema_match.rename_manual(spark, {"orders": table(spark, folder, "orders")}, mapping)
     return renamed["orders"]
 
 
@@ -108,7 +107,7 @@ QUERIES = {
 }
 
 _SNAKE = r"""
-    trim(lower(regexp_replace(regexp_replace(original_column, '([a-z])([A-Z])', '\1_\2', 'g'), '[\s\W]+', '_', 'g')), '_')
+    trim(lower(regexp_replace(regexp_replace(original_column, '([a-z])([A-Z])', '\1_\2', 'g'), '[^\p{L}\p{N}_]+', '_', 'g')), '_')
 """
 _SYNONYM_CASE = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in schema_match.SYNONYMS.items())
 _TEMPLATE_SCORE = """
@@ -120,11 +119,11 @@ _TARGETS = ", ".join(f"'{t}'" for t in sorted(set(schema_match.ALIASES.values())
 _CANONICAL = ", ".join(f"({i}, '{t}')" for i, t in enumerate(schema_match.CANONICAL))
 
 # The matching blocks of two names: the longest common piece, then the same to its left and right.
-_REPORT = f"""
+_ANSWERS = f"""
     WITH RECURSIVE tokens AS (
         SELECT original_column, snake, regexp_replace(lower(original_column), '[\\s_]+', '', 'g') AS key,
                list_transform(string_split(snake, '_'), lambda t: CASE t {_SYNONYM_CASE} ELSE t END) AS words
-        FROM (SELECT original_column, {_SNAKE} AS snake FROM ({_NAMES}))
+        FROM (SELECT original_column, {_SNAKE} AS snake FROM (NAMES))
     ), named AS (
         SELECT *, array_to_string(words, '_') AS name,
                coalesce(CASE key {_ALIAS_CASE} END, CASE WHEN snake IN ({_TARGETS}) OR key IN ({_TARGETS}) THEN snake END) AS known
@@ -167,13 +166,22 @@ _REPORT = f"""
         FROM best
         UNION ALL SELECT original_column, known, 1.0, 'Dictionary Match' FROM named WHERE known IS NOT NULL
     )
+"""
+_REPORT = _ANSWERS.replace("NAMES", _NAMES) + """
     SELECT original_column, suggested, round(CAST(confidence AS DOUBLE), 6) AS confidence, match_type,
            CASE WHEN confidence >= 0.8 THEN 'success' WHEN confidence >= 0.5 THEN 'warning' ELSE 'danger' END AS badge
     FROM answers
 """
 
+_WORDS = "SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS original_column FROM documents"
+
 SQL = {
     "schema_report": _REPORT,
+    "match_words": _ANSWERS.replace("NAMES", _WORDS) + """
+        SELECT match_type, CASE WHEN match_type <> 'Unmapped' THEN suggested END AS target, count(*) AS n,
+               round(CAST(max(confidence) AS DOUBLE), 6) AS highest
+        FROM answers GROUP BY ALL
+    """,
     "name_tokens": f"""
         SELECT original_column, replace(snake, '_', '|') AS tokens,
                array_to_string(list_transform(string_split(snake, '_'), lambda t: CASE t {_SYNONYM_CASE} ELSE t END), '|') AS expanded
@@ -183,7 +191,7 @@ SQL = {
         SELECT c_custkey AS customer_id, c_name AS customer_name, c_nationkey, c_acctbal AS revenue, c_mktsegment FROM customer
     """,
     "rename_manual": """
-        SELECT o_orderkey, o_custkey AS customer_id, o_orderstatus, o_totalprice AS revenue, o_orderpriority FROM orders
+        SELECT o_orderkey, o_custkey AS customer_id, o_orderstatus, o_totalprice AS revenue, o_orderdate, o_orderpriority FROM orders
     """,
     "template_match": f"""
         SELECT user_id, template_id, template_name, match_score FROM (

@@ -33,8 +33,6 @@ ENTITY_KEYS = ("customer_id", "phone_number", "customer_name")
 GROUP_ROWS = 1 << 20
 # Rows of a split value go together if their positions share the upper bits.
 CHUNK_BITS = 20
-# Values above this share of all rows are looked for; it bounds their number.
-HOT_SHARE = 1e-4
 
 
 @dataclass
@@ -47,38 +45,39 @@ class Resolution:
     """One row: records before and after, merged duplicates, conflicts."""
 
 
-def hot_values(df: DataFrame, names: list[str], group_rows: int = GROUP_ROWS) -> dict[str, list]:
-    """Values that may fill more than ``group_rows`` rows, at most 1 / share per column.
+def hot_values(df: DataFrame, names: list[str], group_rows: int = GROUP_ROWS) -> dict[str, DataFrame | None]:
+    """Per column the table of values that fill more than ``group_rows`` rows, None if there are none.
 
-    Frequent-item counting finds every value above the share and maybe a few
-    more. Splitting a value that was not hot only costs a little.
+    Such a table has at most rows / ``group_rows`` values; it stays a table.
     """
-    rows = df.count()
-    if rows <= group_rows:
-        return {name: [] for name in names}
-    share = max(HOT_SHARE, group_rows / rows)
-    found = df.select(*names).freqItems(names, share).first()
-    return {name: [v for v in found[f"{name}_freqItems"] if v is not None] for name in names}
+    out: dict[str, DataFrame | None] = dict.fromkeys(names)
+    if df.count() > group_rows:
+        for name in names:
+            counts = df.where(col(name).isNotNull()).groupBy(name).count().where(F.col("count") > group_rows)
+            table = materialise(counts.select(name, F.lit(True).alias("_hot")), "hot-values")
+            out[name] = None if table.isEmpty() else table
+    return out
 
 
-def _scan(df: DataFrame, key: str, hot: list, chunk_bits: int) -> DataFrame:
+def _scan(df: DataFrame, key: str, hot: DataFrame | None, chunk_bits: int) -> DataFrame:
     """Per row: ``_first``, the first position with the same key value, and
     ``_carry``, the last target known in that group at or before the row.
 
     A hot value is worked on in chunks of positions. The chunk totals, few per
     value, are then put in order to give each chunk what came before it.
     """
-    split = col(key).isNull() | (col(key).isin(hot) if hot else F.lit(False))
-    chunked = df.withColumn("_chunk", F.when(split, F.shiftright(ORD, chunk_bits)).otherwise(F.lit(-1).cast("long")))
+    marked = df.withColumn("_hot", F.lit(None).cast("boolean")) if hot is None else df.join(hot, key, "left")
+    split = col(key).isNull() | F.col("_hot").isNotNull()
+    chunked = marked.withColumn("_chunk", F.when(split, F.shiftright(ORD, chunk_bits)).otherwise(F.lit(-1).cast("long")))
     window = Window.partitionBy(key, "_chunk").orderBy(ORD)
     scanned = chunked.withColumns(
         {"_first": F.first(ORD).over(window), "_carry": F.last("target", ignorenulls=True).over(window)}
     )
-    if not hot:
-        return scanned.drop("_chunk")
+    if hot is None:
+        return scanned.drop("_chunk", "_hot")
     known = F.when(F.col("target").isNotNull(), F.col(ORD))
     totals = (
-        chunked.filter(col(key).isin(hot))
+        chunked.filter("_hot")
         .groupBy(key, "_chunk")
         .agg(F.min(ORD).alias("f"), F.max_by("target", known).alias("t"))
     )
@@ -94,7 +93,7 @@ def _scan(df: DataFrame, key: str, hot: list, chunk_bits: int) -> DataFrame:
                 "_carry": F.coalesce("_carry", "_t"),
             }
         )
-        .drop("_chunk", "_f", "_t")
+        .drop("_chunk", "_hot", "_f", "_t")
     )
 
 
@@ -116,7 +115,7 @@ def _pointers(df: DataFrame, keys: list[str], group_rows: int, chunk_bits: int)
             # No target is known yet here, so this is the first row of the value.
             cells["leading"] = found.isNotNull()
         rows = scanned.withColumns(cells).drop("_first", "_carry", name)
-        if any(hot[n] for n in names[i + 1 : i + 2]):
+        if any(hot[n] is not None for n in names[i + 1 : i + 2]):
             rows = materialise(rows, "entity-pointers")
     return rows
 
@@ -177,13 +176,17 @@ def data_columns(df: DataFrame) -> list[str]:
     return [name for name in df.columns if name not in (ORD, "entity_no", "entity_id")]
 
 
+def _assigned(df: DataFrame, assignments: DataFrame) -> DataFrame:
+    return df if "entity_no" in df.columns else df.join(assignments, ORD)
+
+
 def merge_records(df: DataFrame, assignments: DataFrame, positions: bool = False) -> DataFrame:
     """One row per entity: in each column the first value that is not blank.
 
     ``positions`` adds a struct ``_first`` with the row position of each value.
     """
     names = data_columns(df)
-    joined = df.join(assignments, ORD)
+    joined = _assigned(df, assignments)
     kept = []
     for i, n in enumerate(names):
         x = quoted(n)
@@ -206,7 +209,7 @@ def _conflicts_per_row(df: DataFrame, assignments: DataFrame, records: DataFrame
         x, dtype = quoted(n), type_of(df, n)
         differs.append(f"if(NOT {blank_sql(x, dtype)} AND NOT {same_text(x, f'_kept{i}', dtype)}, 1, 0)")
     total = F.expr(" + ".join(differs) or "0")
-    return df.join(assignments, ORD).join(kept, "entity_no").select("entity_no", total.alias("conflicts"))
+    return _assigned(df, assignments).join(kept, "entity_no").select("entity_no", total.alias("conflicts"))
 
 
 def conflicts(df: DataFrame, assignments: DataFrame, records: DataFrame) -> DataFrame:
@@ -234,6 +237,8 @@ def resolve(df: DataFrame, positions: bool = False) -> Resolution:
     if "entity_id" in df.columns:
         df = df.withColumnRenamed("entity_id", "source_entity_id")
     assignments = assign_entities(df)
+    # Written once with its entities, so that the wide table is not joined to them again for the conflicts.
+    df = materialise(df.join(assignments, ORD), "assigned")
     # Written, as both the conflicts and all later steps read them.
     records = materialise(merge_records(df, assignments, positions), "records")
     # Summed without grouping, so that Spark may split the rows of a hot entity in the join.

@@ -47,9 +47,9 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
-        docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
-        .repartitionByRange(parts, "doc_id", "_hash")
-        .sortWithinPartitions("doc_id", "_hash")
+        docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+        .repartitionByRange(parts, "doc_id", "_hash", "_row")  # the row number splits repeated rows, however many
+        .sortWithinPartitions("doc_id", "_hash", "_row")
         .select("doc_id", "text")
     )
 

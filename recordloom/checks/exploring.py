@@ -133,7 +133,7 @@ SQL = {
     "filter_value": f"SELECT * FROM ({CUSTOMERS}) WHERE lower(city) = 'nation_7'",
     "rows_missing": f"""
         SELECT * FROM ({JUDGED})
-        WHERE quality IS NULL OR toxic IS NULL OR lang IS NULL OR trim(lang) = '' OR source IS NULL
+        WHERE text IS NULL OR trim(text) = '' OR quality IS NULL OR toxic IS NULL OR lang IS NULL OR trim(lang) = '' OR source IS NULL
            OR trim(source) = '' OR n_chars IS NULL OR doc_id IS NULL
     """,
     "filter_owner": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 42 AND o_orderstatus = 'F'",

@@ -131,7 +131,7 @@ def _catalog_sql() -> str:
 
 
 def _null_sql() -> str:
-    kinds = {"doc_id": "int64", "lang": "object", "source": "object", "n_chars": "int64", "quality": "int64", "toxic": "int64"}
+    kinds = {"doc_id": "int64", "text": "object", "lang": "object", "source": "object", "n_chars": "int64", "quality": "int64", "toxic": "int64"}
     parts = []
     for name, kind in kinds.items():
         shown = f"CASE WHEN count(*) > count({name}) THEN 'float64' ELSE 'int64' END" if kind == "int64" else "'object'"
@@ -143,8 +143,9 @@ def _null_sql() -> str:
 
 
 _MISSING = f"""
-    SELECT count(*) * 6 AS total_fields,
+    SELECT count(*) * 7 AS total_fields,
            CAST(sum((quality IS NULL)::INT + (toxic IS NULL)::INT + (coalesce(trim(lang), '') = '')::INT
+               + (coalesce(trim(text), '') = '')::INT
                + (coalesce(trim(source), '') = '')::INT + (n_chars IS NULL)::INT) AS BIGINT) AS missing_values
     FROM ({JUDGED})
 """

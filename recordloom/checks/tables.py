@@ -49,11 +49,11 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
 
 def judged_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with their labels, where they have any."""
-    documents = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     return documents.join(table(spark, folder, "labels"), "doc_id", "left")
 
 
 JUDGED = """
-    SELECT d.doc_id, lang, source, n_chars, quality, toxic
+    SELECT d.doc_id, text, lang, source, n_chars, quality, toxic
     FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 """

@@ -111,7 +111,7 @@ def _pointers(df: DataFrame, keys: list[str], group_rows: int, chunk_bits: int)
         found = F.coalesce("_carry", "_first")
         found = F.when(F.col(name).isNotNull() & (found != F.col(ORD)), found)
         cells = {"target": F.coalesce("target", found)}
-        if keys[i] == ENTITY_KEYS[0]:
+        if i == 0:
             # No target is known yet here, so this is the first row of the value.
             cells["leading"] = found.isNotNull()
         rows = scanned.withColumns(cells).drop("_first", "_carry", name)

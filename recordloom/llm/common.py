@@ -20,11 +20,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def _size(text: str) -> int:
+    """A setting such as 512, 64m or 67108864b as a number."""
+    text = text.strip().lower().removesuffix("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(text[-1:])
+    return int(text[:-1]) << unit if unit else int(text)
+
+
 def short_batches(spark: SparkSession) -> None:
     """Keep the batches that Python workers hold small, as single texts may be long."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        now = int(spark.conf.get(key).rstrip("b"))
+        now = _size(spark.conf.get(key))
         if now <= 0 or now > most:
             spark.conf.set(key, str(most))
 

@@ -160,7 +160,6 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     count = np.where(new, 1 << 16, np.minimum(1 << size, seen + 1 - (1 << size)))
     model, out, all_lanes = _Model(lanes), _Writer(lanes, 3 * block + 4), np.arange(lanes)
     top = np.maximum.reduceat(ids, np.arange(0, len(ids), block)) >> 16
-    full = len(ids) // block * block
     for t in range(min(block, len(ids))):
         n = lanes if (lanes - 1) * block + t < len(ids) else lanes - 1
         own, at = all_lanes[:n], all_lanes[:n] * block + t
@@ -178,7 +177,6 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         if len(rest):
             out.put(rest, value[at][rest], np.ones(len(rest), np.int64), count[at][rest])
         model.learn(n, now, symbol)
-    assert full <= len(ids)
     blocks = out.finish()
     for i, body in enumerate(blocks):
         own = ids[i * block : (i + 1) * block]

@@ -267,8 +267,10 @@ def test_main_text_of_held_out_variants(page_model):
     assert right >= 54
 
 
-def test_crc_of_ids():
-    from recordloom.llm.common import crc_of
+def test_crc_of_ids_and_sizes():
+    from recordloom.llm.common import _size, crc_of
+
+    assert [_size(x) for x in ("512", "64m", "67108864b", "2kb")] == [512, 64 << 20, 64 << 20, 2048]
 
     assert crc_of(np.array([1, 70000])) == zlib.crc32(b"\1\0\0\0" + (70000).to_bytes(4, "little"))
     assert html.unescape("&am") == "&am"

@@ -39,9 +39,13 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        # For lower-case ASCII pieces normalising and splitting change nothing, and are left out.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         with open(path, encoding="utf-8") as file:
             ending = json.load(file)["model"].get("end_of_word_suffix") or ""
         size = self.whole.get_vocab_size()
@@ -50,10 +54,16 @@ class Encoder:
         self.pieces: dict[bytes, bytes] = {}
 
     def _learn_pieces(self, pieces: list[bytes]) -> None:
+        ascii_only = [p for p in pieces if p.isascii()]
+        self._learn_joined(self.bare, ascii_only)
+        if len(ascii_only) < len(pieces):
+            self._learn_joined(self.whole, [p for p in pieces if not p.isascii()])
+
+    def _learn_joined(self, tokenizer: object, pieces: list[bytes]) -> None:
         for at in range(0, len(pieces), 20_000):
             part = pieces[at : at + 20_000]
             lines = [b" ".join(part[i : i + 50]).decode() for i in range(0, len(part), 50)]
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(lines, add_special_tokens=False)])
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):  # a vocabulary without word ends
                 for piece, e in zip(part, self.whole.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
@@ -65,17 +75,26 @@ class Encoder:
                 before = cut
 
     def _learn(self, runs: list[bytes]) -> None:
-        plain, odd = {}, []
+        one, marked, plain, odd = {}, {}, {}, []
         for run in runs:
-            if _ALL_PLAIN.fullmatch(low := run.lower()):
+            if run.isalpha():  # of bytes: ASCII letters only
+                one[run] = run.lower()
+            elif run[-1] in b".," and run[:-1].isalpha():
+                marked[run] = run[:-1].lower()
+            elif _ALL_PLAIN.fullmatch(low := run.lower()):
                 plain[run] = _PLAIN.findall(low)
             elif _LETTERS.fullmatch(text := run.decode("utf-8", "replace").lower()):
-                plain[run] = [text.encode()]
+                one[run] = text.encode()
             else:
                 odd.append(run)
-        self._learn_pieces(list({p for found in plain.values() for p in found if p not in self.pieces}))
+        pieces = {b".", b","}.union(one.values(), marked.values(), *plain.values())
+        self._learn_pieces(list(pieces.difference(self.pieces)))
+        known = self.pieces
+        self.runs.update(zip(one, map(known.__getitem__, one.values()), strict=True))
+        for run, low in marked.items():
+            self.runs[run] = known[low] + known[run[-1:]]
         for run, found in plain.items():
-            self.runs[run] = b"".join([self.pieces[p] for p in found])
+            self.runs[run] = b"".join(map(known.__getitem__, found))
         for at in range(0, len(odd), 1000):
             part = odd[at : at + 1000]
             for run, e in zip(part, self.whole.encode_batch_fast([r.decode("utf-8", "replace") for r in part], add_special_tokens=False), strict=True):
@@ -87,10 +106,10 @@ class Encoder:
             self.runs, self.pieces = {}, {}
         split = [word_bytes(text or b"") for text in texts]
         known = self.runs
-        new = {run for found in split for run in found if run not in known}
+        new = set().union(*split).difference(known)
         if new:
             self._learn(list(new))
-        return [b"".join([known[run] for run in found]) for found in split]
+        return [b"".join(map(known.__getitem__, found)) for found in split]
 
 
 def encoder(path: str) -> Encoder:

@@ -88,6 +88,16 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
 
 
+def lowest(df: DataFrame, draw: Column, most: int, rows: int) -> DataFrame:
+    """The ``most`` rows of ``df`` with the smallest hash ``draw``, given that it has ``rows`` rows.
+
+    Only rows below a bound that about four times as many pass are looked at, so
+    that tasks do not each send ``most`` rows; few rows are never cut.
+    """
+    bound = -(1 << 63) + min((1 << 64) - 1, (4 * most << 64) // max(1, rows))
+    return df.withColumn("_draw", draw).where(F.col("_draw") <= F.lit(bound)).orderBy("_draw").limit(most).drop("_draw")
+
+
 def crc_of(ids: np.ndarray) -> int:
     """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())

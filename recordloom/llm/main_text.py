@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import map_batches, texts
+from recordloom.llm.common import lowest, map_batches, texts
 from recordloom.llm.crf import Adam
 
 KEEP = 0.5
@@ -353,8 +353,8 @@ def labelled(sources: list[str], seed: int = 0, variants: int = 3) -> list[str]:
 
 def fit(pages: DataFrame, most: int = PAGES, page_chars: int = PAGE_CHARS) -> Model:
     """Train on a sample of ``pages`` bounded by the parameters."""
-    short = pages.where(F.length("html").between(1, page_chars)).select("html", F.xxhash64("html").alias("_draw"))
-    rows = short.orderBy("_draw", "html").limit(most).collect()
+    short = pages.where(F.length("html").between(1, page_chars)).select("html")
+    rows = lowest(short, F.xxhash64("html"), most, pages.count()).collect()
     return train(labelled([r["html"] for r in rows]))
 
 

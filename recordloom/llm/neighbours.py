@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.durable import materialise
+from recordloom.llm.common import lowest
 
 BRANCHES = 16
 LEAF_ROWS = 256
@@ -185,8 +186,8 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL)
     queries = classes.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "embedding")
 
     rows = min(SAMPLE, max(1, SAMPLE_VALUES // classes.select(F.size("embedding").alias("n")).head()["n"]))
-    drawn = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < F.lit(int(min(1.0, 1.1 * rows / max(1, total)) * (1 << 30))))
-    sample = np.array([r["embedding"] for r in drawn.select("embedding", F.xxhash64("rep").alias("_d")).orderBy("_d").limit(rows).collect()], float)
+    drawn = lowest(classes.select("embedding", "rep"), F.xxhash64("rep"), rows, total)
+    sample = np.array([r["embedding"] for r in drawn.collect()], float)
     sample = sample.reshape(len(sample), -1)
     tree = Tree(sample, max(4, LEAF_ROWS * len(sample) // max(1, total)))
 
@@ -201,7 +202,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL)
     for r in placed.groupBy("leaf").count().collect():  # one row for each leaf of the sample's tree
         held[r["leaf"]] = r["count"]
 
-    trial = [(r["rep"], r["embedding"]) for r in queries.orderBy(F.xxhash64("rep"), "rep").limit(CALIBRATION).collect()]
+    trial = [(r["rep"], r["embedding"]) for r in lowest(queries, F.xxhash64("rep"), CALIBRATION, asked.select("rep").distinct().count()).collect()]
     visits = calibrate(tree, held, trial, _truth(classes, trial, k + 1), classes, recall) if trial else 1
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

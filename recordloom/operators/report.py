@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.operators.stored import field, first_known, is_object, parsed
+from recordloom.operators.stored import field, first_known, is_object, items, parsed
 
 DESCRIPTION_LENGTH = 80
 
@@ -66,22 +66,24 @@ def report_sections(projects: DataFrame) -> DataFrame:
     executive = F.array(*[_row(label, value) for label, value in zip(SUMMARY_ROWS, values)])
     scores = (final, part("completeness_score"), part("consistency_score"), part("duplicate_score"))
     trust = F.array(*[_row(label, value) for label, value in zip(SCORE_ROWS, scores)])
+    mapped = ("original_column", "source", "canonical_column", "target", "confidence_score", "confidence", "match_type")
     mapping = F.transform(
-        F.filter(first_known("mappings_applied"), is_object),
+        items(F.filter(first_known("mappings_applied"), is_object), *mapped),
         lambda m: _row(
             field(m, "original_column", "source"), field(m, "canonical_column", "target"),
             field(m, "confidence_score", "confidence"), field(m, "match_type"),
         ),
     )
+    described = ("column_name", "field", "name", "data_type", "type", "null_percentage", "missing_percentage", "description")
     catalog = F.transform(
-        first_known("data_catalog"),
+        items(first_known("data_catalog"), *described),
         lambda c: F.when(
-            is_object(c),
+            c["o"].isNotNull(),
             _row(
                 field(c, "column_name", "field", "name"), field(c, "data_type", "type"),
                 field(c, "null_percentage", "missing_percentage", default="0%"), cut_description(field(c, "description")),
             ),
-        ).otherwise(_row(c, "")),
+        ).otherwise(_row(c["raw"], "")),
     )
 
     def lines(name: str, *paths: str) -> Column:

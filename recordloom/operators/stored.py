@@ -39,10 +39,15 @@ def is_object(item: Column) -> Column:
     return F.ltrim(item).startswith("{")
 
 
+def items(listed: Column, *names: str) -> Column:
+    """Items of a list as ``raw`` text and ``o``, the named fields of those that are objects; each is parsed once."""
+    fields = ", ".join(f"{name} string" for name in names)
+    return F.transform(listed, lambda x: F.struct(x.alias("raw"), F.when(is_object(x), F.from_json(x, fields)).alias("o")))
+
+
 def field(item: Column, *names: str, default: str = "") -> Column:
-    """The first of several fields that an object in a list has."""
-    cells = [F.get_json_object(item, f"$.{name}") for name in names]
-    return F.coalesce(*cells, F.lit(default))
+    """The first of several fields that a parsed item has."""
+    return F.coalesce(*[item["o"][name] for name in names], F.lit(default))
 
 
 def resolution_count(field: str) -> Column:

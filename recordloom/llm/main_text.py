@@ -21,7 +21,10 @@ trimmed, empty ones dropped, the others joined by one line break in page order.
 
 Edge cases: null or empty html and pages without content give an empty text;
 unclosed and stray tags are closed or ignored as browsers do; an unclosed
-comment or script ends the page; very long pages are read whole; repeated rows
+comment or script ends the page; other elements that are not read end where
+browsers end them (a head at the first tag or text that cannot stand in it, an
+option at the next one, any of them with the element around it), and those whose
+end tag never comes also at the next block; very long pages are read whole; repeated rows
 get equal results; an empty table trains on the built-in variants alone.
 """
 
@@ -30,7 +33,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +52,20 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-SKIPPED = frozenset("script style noscript template head title textarea select option button iframe svg math object audio video canvas".split())
+SKIPPED = frozenset("script style noscript template head title textarea select option button iframe svg object audio video canvas".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+# What may stand in a head without ending it.
+HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+# Elements that keep end tags inside from reaching what is around them.
+WALLS = frozenset("template object select".split())
+CELLS = frozenset("caption tbody td tfoot th thead tr".split())
+# Of the skipped elements, those that implied ends of p, li, dt and dd pass through.
+THIN = frozenset("option svg audio video canvas".split())
+# Start tags that end an unclosed svg around them.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small "
+    "span strong strike sub sup table tt u ul var".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # A block that opens closes these open ones of its level.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -81,12 +96,95 @@ class Page:
         return len(self.tags) - 1
 
 
+class Skipped:
+    """The open elements from the outermost one whose text is not read; nothing is skipped while there are none.
+
+    Each is held if its own end tag comes.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.open: list[tuple[str, bool]] = []
+        self.ends: dict[str, set[int]] = {}  # of each name the start tags that have an end tag
+
+    def _held(self, tag: str, at: int) -> bool:
+        if tag not in self.ends:
+            waiting, ended = [], set()
+            for found in re.finditer(f"<(/?){tag}(?=[\\s/>])", self.source, re.IGNORECASE):
+                if not found[1]:
+                    if tag in ("button", "option", "select"):
+                        waiting.clear()  # these end at the next of them
+                    waiting.append(found.start())
+                elif waiting:
+                    ended.add(waiting.pop())
+            self.ends[tag] = ended
+        return at in self.ends[tag]
+
+    def push(self, tag: str, at: int) -> None:
+        self.open.append((tag, tag not in SKIPPED or self._held(tag, at)))
+
+    def inside(self, *tags: str) -> bool:
+        """Whether one of ``tags`` is open, with no wall after it."""
+        for name, held in reversed(self.open):
+            if name in tags:
+                return True
+            if held and name in WALLS:
+                return False
+        return False
+
+    def close(self, tag: str) -> bool:
+        """Apply an end tag; whether it is one of an element around the skipped ones."""
+        for i in range(len(self.open) - 1, -1, -1):
+            name, held = self.open[i]
+            if name == tag:
+                del self.open[i:]
+                return False
+            if held and (name in WALLS or (name == "button" and tag == "p")):
+                return False
+            if name == "head":
+                return tag in ("body", "html")
+            if tag not in BLOCKS and tag not in SKIPPED and (name in BLOCKS or name == "button"):
+                return False
+        return tag not in SKIPPED
+
+    def start(self, tag: str, around: str, item: bool, cell: bool) -> None:
+        """End what a start tag ends; ``around`` is the block around, which ends if it is an ``item`` or a ``cell``."""
+        rows = self.open
+        if tag == "body":
+            rows.clear()  # a head that was never closed
+        if rows and rows[-1][0] == "head" and tag not in HEAD:
+            rows.pop()
+        if rows and tag in ("option", "optgroup"):
+            for name in ("option", "optgroup")[: 1 if tag == "option" else 2]:
+                if rows and rows[-1][0] == name:
+                    rows.pop()
+        if tag in ("select", "input", "textarea") and any(name == "select" for name, _ in rows):
+            self._through("select")
+        if tag == "button" and self.inside("button"):
+            self._through("button")
+        if tag in BREAKOUT:
+            while rows and next((name for name, _ in reversed(rows) if name in SKIPPED or name in ("foreignobject", "desc")), "") == "svg":
+                self._through("svg")
+        if tag in BLOCKS:
+            while (last := next((i for i in range(len(rows) - 1, -1, -1) if rows[i][0] in SKIPPED), -1)) >= 0 and not rows[last][1] and rows[last][0] != "head":
+                del rows[last:]
+            if (around == "p" or item) and all(name in THIN or (name not in SKIPPED and name not in BLOCKS) for name, _ in rows):
+                rows.clear()
+            if cell and tag in CELLS and not self.inside("table", "template"):
+                rows.clear()
+
+    def _through(self, tag: str) -> None:
+        while self.open.pop()[0] != tag:
+            pass
+
+
 def parse(source: str | None) -> Page:
     source, page = source or "", Page()
     stack = [page.add("#root", (), -1)]
     run: list[str] = []
-    links = link_depth = skip = 0
-    skipping: list[str] = []
+    links = link_depth = 0
+    skipped = Skipped(source)
+    inline: Counter[tuple[int, str]] = Counter()  # open elements that are no blocks, by the block around
 
     def close_run() -> None:
         nonlocal links
@@ -98,12 +196,25 @@ def parse(source: str | None) -> Page:
 
     def said(raw: str) -> None:
         nonlocal links
-        if raw and not skipping:
+        if skipped.open and skipped.open[-1][0] == "head" and raw.strip():
+            skipped.open.pop()  # text ends a head
+        if raw and not skipped.open:
             text = html.unescape(raw) if "&" in raw else raw
             run.append(text)
             if link_depth:
                 links += len(text)
 
+    def implied(tag: str) -> int:
+        """Place in the stack of the open element that a start tag closes, 0 for none."""
+        closes = CLOSES.get(tag, ())
+        top = len(stack) - (page.tags[stack[-1]] == "p")
+        for i in range(top - 1, 0, -1):
+            if page.tags[stack[i]] in closes:
+                return i
+            if page.tags[stack[i]] in SCOPES:
+                break
+        return 0
+
     at, size = 0, len(source)
     while at < size:
         start = source.find("<", at)
@@ -123,28 +234,42 @@ def parse(source: str | None) -> Page:
             continue
         if found["odd"]:
             continue
-        tag, closing = found["name"].lower(), found["end"] == "/"
+        tag, closing, empty = found["name"].lower(), found["end"] == "/", found["rest"].endswith("/")
+        if skipped.open:
+            if closing:
+                if not skipped.close(tag):
+                    continue
+                if tag in BLOCKS and any(page.tags[node] == tag for node in stack) or inline[stack[-1], tag] or tag in ("body", "html"):
+                    skipped.open.clear()
+            else:
+                had = tag == "select" and skipped.inside("select")
+                in_cell = tag in CELLS and any(page.tags[node] in ("td", "th", "caption") for node in stack)
+                skipped.start(tag, page.tags[stack[-1]], bool(implied(tag)), in_cell)
+                if had:
+                    continue
         if not closing and tag in RAW:
+            if empty and skipped.inside("svg"):
+                continue
             end = re.compile(f"</{tag}", re.IGNORECASE).search(source, at)
             at = size if not end else source.find(">", end.end()) + 1 or size
             continue
         if tag in SKIPPED:
-            if closing:
-                if tag in skipping:
-                    while skipping.pop() != tag:
-                        pass
-            elif not found["rest"].endswith("/"):
-                skipping.append(tag)
+            if not closing and not empty and (tag != "head" or not skipped.open):
+                skipped.push(tag, start)
             continue
-        if skipping and tag == "body" and not closing:
-            skipping.clear()  # a head that was never closed
-        if skipping:
+        if skipped.open:
+            if not closing and not empty and tag not in VOID:
+                skipped.push(tag, start)
             continue
         if tag == "a":
             link_depth = 0 if closing else 1
         elif tag == "br":
             said(" ")
         if tag not in BLOCKS:
+            if closing:
+                inline[stack[-1], tag] = max(0, inline[stack[-1], tag] - 1)
+            elif not empty and tag not in VOID:
+                inline[stack[-1], tag] += 1
             continue
         close_run()
         link_depth = 0
@@ -153,14 +278,11 @@ def parse(source: str | None) -> Page:
             if depth:
                 del stack[depth:]
             continue
+        depth = implied(tag)
         if page.tags[stack[-1]] == "p":
             stack.pop()
-        for i in range(len(stack) - 1, 0, -1):
-            if page.tags[stack[i]] in CLOSES.get(tag, ()):
-                del stack[i:]
-                break
-            if page.tags[stack[i]] in SCOPES:
-                break
+        if depth:
+            del stack[depth:]
         names, mark = [], 0
         for key, a, b, c in _ATTRIBUTE.findall(found["rest"]):
             if key.startswith("data-"):

@@ -256,6 +256,44 @@ def test_main_text_of_unseen_markup(page_model):
     assert page_model.extract([source, None, ""]) == ["\n".join(want), "", ""]
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<html><body><datalist><option value=a><option value=b></datalist>",
+        "<html><head><meta charset=utf-8><title>t</title>",
+        "<html><head><title>t</title><script>x</script><link rel=x>",
+        "<body><button>x",
+        "<body><div><button>x</div>",
+        "<body><button>x<button>y</button>",
+        "<body><div><select><option>x<option>y</div>",
+        "<body><select><option>x<select><p>",
+        "<body><div><object><param name=x></div>",
+        "<body><div><video src=x><source src=y></div>",
+        "<body><p><video src=x>",
+        "<body><svg><path d=x>",
+        "<body><div><svg><style/><path/></svg></div>",
+        "<body><div><template>x</div>",
+        "<body><table><tr><td><button>x<td><option>y</table>",
+        "<body><ul><li><option>x<li></ul>",
+        "<body><label><option>x</label>",
+    ],
+)
+def test_omitted_end_tags_lose_no_text(before):
+    page = main_text.parse(f"{before}<article><h1>One</h1><p>Two <b>three</b>.</p></article><p>Four</p>")
+    assert [t for t in page.texts if t] == ["One", "Two three.", "Four"]
+
+
+def test_what_is_skipped_stays_skipped():
+    source = (
+        "<html><head> <title>a</title> </head><body><p>One<button>a<div>b</div>c</button> two</p><select><optgroup><option>a<option>b</select>"
+        "<template><p>a</div></p></template><svg><foreignObject><div>a</div></foreignObject><text>b</text></svg>"
+        "<object><object><p>a</p></object>b</object><video><p>a</p></video><p>Three"
+    )
+    assert [t for t in main_text.parse(f"<div>{source}").texts if t] == ["One two", "Three"]
+    assert [t for t in main_text.parse("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.").texts if t] == ["Let x=1 hold."]
+    assert [t for t in main_text.parse("<head>Some text <b>here</b>").texts if t] == ["Some text here"]
+
+
 def test_main_text_of_held_out_variants(page_model):
     draw = random.Random(99)
     right = 0

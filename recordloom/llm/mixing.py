@@ -6,8 +6,8 @@ others until no source is above. That fixed point is a water level: sources
 sorted by the level at which they are full are full up to one of them, and the
 rest divide what is left by weight.
 
-Choice: a source with target T and size S is taken floor(T / S) times whole
-(complete epochs); the remaining words are drawn without replacement. Every
+Choice: a source with target T, rounded to words, and size S is taken
+floor(T / S) times whole (complete epochs); the remaining words are drawn without replacement. Every
 document draws u from its id and size and gets the key -ln(u) / w with its
 quality weight w; documents are taken in order of the key until the budget is
 used up, and the document at the border gives only as many words as are left.
@@ -83,10 +83,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     goals = targets(sources.select("source", "source_size"), weights, most)
     goals = goals.join(sources.select(F.col("source").alias("_s"), "_rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    ratio = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    goals = goals.withColumn("_epochs", ratio.cast("long"))
-    rest = F.round(F.col("target")).cast("long") - F.col("_epochs") * F.col("source_size")
-    goals = goals.withColumn("_rest", F.greatest(rest, F.lit(0).cast("long")))
+    # Of the rounded target, so that the rest is less than the source.
+    goals = goals.withColumn("_goal", F.round(F.col("target")).cast("long"))
+    goals = goals.withColumn("_epochs", F.when(F.col("source_size") > 0, F.expr("_goal div source_size")).otherwise(F.lit(0).cast("long")))
+    goals = goals.withColumn("_rest", F.col("_goal") - F.col("_epochs") * F.col("source_size"))
     goals = goals.withColumn("_buckets", F.ceil(F.col("_rows") / F.lit(bucket_rows)).cast("long"))
     goals = materialise(goals, "targets").withColumnRenamed("source", "_source")
     same = F.col("source").eqNullSafe(F.col("_source"))

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -131,6 +132,23 @@ def test_mix_meets_its_targets(docs):
     assert mixing.repeat(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("weights, total", [((97, 203), 10), ((197, 103), 20), ((103, 197), 10)])
+def test_mix_takes_the_epoch_just_above_its_target(spark, weights, total):
+    rows = [(i, "a b", "a") for i in range(5)] + [(10 + i, "a b c d", "b") for i in range(5)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights).where("source = 'a'").collect()
+    assert sum(r["taken"] for r in found) == total
+
+
+def test_mix_equals_its_sql_just_below_a_whole_source(spark):
+    rows = [(1, "a b", "a"), (2, "c", "a"), (3, "d", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    found = mixing.mix(docs).select("doc_id", "taken").collect()
+    assert sorted(map(tuple, found)) == sorted((r[0], r[-1]) for r in con.execute(queries.OP1).fetchall()) == [(1, 2), (2, 1), (3, 1)]
+
+
 def test_quality_rules(docs):
     found = quality_rules.judge(docs, ["doc_id", "text"]).collect()
     assert len(found) == docs.count()

@@ -9,9 +9,11 @@ language of a text is the one with the largest sum of word marginals, weighted
 by letters; the score is its share.
 
 Training: a bounded sample of lines of labelled training documents, balanced
-over languages (``PER_LANGUAGE`` documents and ``LINES`` lines of at most
-``LINE_WORDS`` words). Lines are strung together in threes, so that changes of
-language are seen.
+over languages: of each language about ``PER_LANGUAGE`` different documents, at
+least one, and at most ``LINES`` lines, evenly from its documents. A line is what
+follows its first letter, at most ``LINE_WORDS`` words and ``LINE_CHARS``
+characters; lines without a letter are left out. Lines are strung together in
+threes, so that changes of language are seen.
 
 Edge cases: null texts and texts without a letter get ``und`` with score 0; an
 empty training set makes every text ``und``; very long texts are one chain of
@@ -36,6 +38,7 @@ BUCKETS = 1 << 16
 PER_LANGUAGE = 500
 LINES = 3000
 LINE_WORDS = 100
+LINE_CHARS = 2000
 ROUNDS = 40
 UNKNOWN = "und"
 LEAST_SCORE = 0.3
@@ -132,17 +135,39 @@ def train(lines: list[tuple[str, list[str]]], rounds: int = ROUNDS, decay: float
     return model
 
 
-def fit(docs: DataFrame, lang: Column, per_language: int = PER_LANGUAGE, lines: int = LINES) -> Model:
-    """Train on a sample of ``docs`` with text and ``lang``; its size is bounded by the parameters."""
-    labelled = docs.select("doc_id", "text", lang.alias("_lang")).where("text IS NOT NULL AND _lang IS NOT NULL")
-    counts = labelled.groupBy("_lang").agg(F.count("*").alias("_n"))
-    draw = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) / 1_000_000
-    drawn = labelled.join(F.broadcast(counts), "_lang").where(draw < F.lit(float(per_language)) / F.col("_n"))
-    cut = drawn.select("_lang", "doc_id", F.posexplode(F.split("text", "\n"))).select(
-        "_lang", F.xxhash64("doc_id", "pos").alias("_draw"), F.slice(F.split("col", "[ \\t]+"), 1, LINE_WORDS).alias("line")
+def sample(docs: DataFrame, lang: Column, per_language: int = PER_LANGUAGE, lines: int = LINES) -> list[tuple[str, list[str]]]:
+    """Language and words of drawn lines of ``docs`` with text and ``lang``, at most ``lines`` of each language."""
+    labelled = docs.select("text", lang.alias("_lang"), F.xxhash64("doc_id", "text").alias("_hash")).where("_lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
+    # Copies count once; the lowest hash is always drawn, so that every language has a document.
+    counts = labelled.groupBy("_lang").agg(F.approx_count_distinct("_hash").alias("_n"), F.min(_share("_hash")).alias("_least"))
+    drawn = labelled.join(F.broadcast(counts), "_lang").where(_share("_hash") <= F.greatest(F.lit(float(per_language)) / F.col("_n"), F.col("_least")))
+    drawn = drawn.groupBy("_lang", "_hash").agg(F.first("text").alias("text"), F.first("_n").alias("_n"))
+    # Of a document only as many lines are sent as its language may need of it: all of them if it is alone.
+    each = F.ceil(F.lit(2.0 * lines) / F.least(F.col("_n"), F.lit(per_language))).cast("int")
+    cut = F.transform(
+        F.split("text", "\n"),
+        lambda line, i: F.struct(F.xxhash64("_hash", i).alias("_draw"), F.substring(F.regexp_replace(line, "^\\P{L}+", ""), 1, LINE_CHARS).alias("line")),
     )
-    rows = cut.where("size(line) > 2").orderBy("_draw", "_lang", "line").limit(lines).collect()
-    return train([(r["_lang"], words_of(" ".join(r["line"]))) for r in rows])
+    cut = F.slice(F.array_sort(F.filter(cut, lambda x: x["line"] != "")), 1, F.least(each, F.lit(lines)))
+    rows = drawn.select("_lang", F.posexplode(cut)).select("_lang", F.col("pos").alias("_rank"), "col._draw", F.slice(F.split("col.line", "[ \\t]+"), 1, LINE_WORDS).alias("line")).collect()
+    left: Counter[str] = Counter()
+    chosen = []
+    for r in sorted(rows, key=lambda r: (r["_rank"], r["_draw"], r["_lang"], r["line"])):
+        words = words_of(" ".join(r["line"]))
+        if words and left[r["_lang"]] < lines:
+            left[r["_lang"]] += 1
+            chosen.append((r["_draw"], r["_lang"], words))
+    return [(name, words) for _, name, words in sorted(chosen)]
+
+
+def _share(hashed: str) -> Column:
+    """A hash as a number from 0 to 1."""
+    return F.pmod(F.col(hashed), F.lit(1 << 40)) / float(1 << 40)
+
+
+def fit(docs: DataFrame, lang: Column, per_language: int = PER_LANGUAGE, lines: int = LINES) -> Model:
+    """Train on a sample of ``docs`` with text and ``lang``; its size is bounded by the parameters for each language."""
+    return train(sample(docs, lang, per_language, lines))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], with_words: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -173,6 +173,25 @@ def test_language_is_right_on_held_out_documents(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.97 * len(found)
 
 
+def test_every_language_is_learned(spark):
+    draw = random.Random(0)
+    say = lambda words, n: " ".join(draw.choice(words) for _ in range(n))
+    english, latin = "the house near water and stone of light".split(), "aqua et lapis prope domum lucis".split()
+    rows = [(1, "\n".join(say(english, 12) for _ in range(20_000)), "en")]  # one document with many lines
+    rows += [(10, say(latin, 8), "la")] * 30  # copies
+    rows += [(20 + i, "今日は天気がいいですね\n明日もいいでしょう", "ja") for i in range(3)]  # no blanks
+    rows += [(30 + i, "Talo\nVesi", "fi") for i in range(3)] + [(40, "1 2 3 4\n!", "none"), (41, None, "none")]  # single words; no letters
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lines = language.sample(frame, F.col("lang"), lines=100)
+    counts = {name: sum(1 for other, _ in lines if other == name) for name, _ in lines}
+    assert counts == {"en": 100, "la": 1, "ja": 6, "fi": 6}
+    model = language.fit(frame, F.col("lang"), lines=100)
+    found = language.predict(frame, model, ["lang"]).where("lang <> 'none'").distinct().collect()
+    assert {r["lang"]: r["lang_pred"] for r in found} == {name: name for name in counts}
+    few = language.sample(frame.where("lang = 'fi'"), F.col("lang"), per_language=1, lines=1)
+    assert [name for name, _ in few] == ["fi"]
+
+
 def test_line_quality(docs, labels, spark):
     found = line_quality.classify(docs, labels, docs.columns)
     assert found.count() == docs.count() and {"score", "predicted"} <= set(found.columns)

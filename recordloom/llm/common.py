@@ -94,8 +94,12 @@ def lowest(df: DataFrame, draw: Column, most: int, rows: int) -> DataFrame:
     Only rows below a bound that about four times as many pass are looked at, so
     that tasks do not each send ``most`` rows; few rows are never cut.
     """
-    bound = -(1 << 63) + min((1 << 64) - 1, (4 * most << 64) // max(1, rows))
-    return df.withColumn("_draw", draw).where(F.col("_draw") <= F.lit(bound)).orderBy("_draw").limit(most).drop("_draw")
+    return df.withColumn("_draw", draw).where(F.col("_draw") <= F.lit(hash_bound(most, rows))).orderBy("_draw").limit(most).drop("_draw")
+
+
+def hash_bound(most: int, rows: int) -> int:
+    """A bound of 64-bit hashes that about four times ``most`` of ``rows`` pass, all of few rows."""
+    return -(1 << 63) + min((1 << 64) - 1, (4 * most << 64) // max(1, rows))
 
 
 def crc_of(ids: np.ndarray) -> int:

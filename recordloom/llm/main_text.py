@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import lowest, map_batches, texts
+from recordloom.llm.common import hash_bound, map_batches, texts
 from recordloom.llm.crf import Adam
 
 KEEP = 0.5
@@ -475,9 +475,15 @@ def labelled(sources: list[str], seed: int = 0, variants: int = 3) -> list[str]:
 
 def fit(pages: DataFrame, most: int = PAGES, page_chars: int = PAGE_CHARS) -> Model:
     """Train on a sample of ``pages`` bounded by the parameters."""
-    short = pages.where(F.length("html").between(1, page_chars)).select("html")
-    rows = lowest(short, F.xxhash64("html"), most, pages.count()).collect()
-    return train(labelled([r["html"] for r in rows]))
+    return train(labelled(sample(pages, most, page_chars)))
+
+
+def sample(pages: DataFrame, most: int = PAGES, page_chars: int = PAGE_CHARS) -> list[str]:
+    """The ``most`` different pages of at most ``page_chars`` characters with the lowest hashes; copies count once."""
+    short = pages.where(F.length("html").between(1, page_chars)).select("html", F.xxhash64("html").alias("_draw"))
+    bound = hash_bound(most, short.agg(F.approx_count_distinct("_draw")).first()[0])
+    rows = short.where(F.col("_draw") <= F.lit(bound)).groupBy("_draw").agg(F.first("html").alias("html")).orderBy("_draw").limit(most)
+    return [r["html"] for r in rows.collect()]
 
 
 def extract(pages: DataFrame, model: Model, keep: list[str]) -> DataFrame:

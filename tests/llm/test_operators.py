@@ -312,6 +312,15 @@ def test_main_text(spark):
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in found) == [(1, "One & two", 9), (2, "", 0), (2, "", 0), (3, "", 0)]
 
 
+def test_copies_of_pages_train_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(main_text, "train", seen.extend)
+    monkeypatch.setattr(main_text, "labelled", list)
+    pages = spark.range(40_000).select(F.when(F.col("id") < 20, F.concat(F.lit("<p>one "), F.col("id"))).otherwise(F.concat(F.lit("<p>"), F.col("id") % 10)).alias("html"))
+    main_text.fit(pages)
+    assert sorted(seen) == sorted([f"<p>{i}" for i in range(10)] + [f"<p>one {i}" for i in range(20)])
+
+
 def test_main_text_of_given_pages(spark):
     import html
     import re

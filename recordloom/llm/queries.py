@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import chat, language, line_quality, main_text, mixing, near_duplicates, neighbours, packing, quality_rules, token_files
+from recordloom.llm import chat, language, line_quality, main_text, merkle, mixing, near_duplicates, neighbours, packing, quality_rules, token_files
 from recordloom.llm.common import fold_of, table
 
 
@@ -114,6 +114,59 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(table(spark, folder, "documents"))
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(table(spark, folder, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0).drop("proof")
+
+
+OP11 = """
+    WITH RECURSIVE crc_table AS MATERIALIZED (
+        SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+    ),
+    d AS MATERIALIZED (
+        SELECT doc_id, lang, coalesce(length(n.s) || ':' || n.s, '-') AS a,
+               coalesce(strlen(source) || ':' || source, '-') AS b, coalesce(strlen(lang) || ':' || lang, '-') AS c,
+               coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS e, coalesce(strlen(text) || ':' || text, '-') AS f,
+               coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS g,
+               xor(list_reduce(list_prepend(4294967295, list_transform(string_split(n.s, ''), lambda ch: ascii(ch)::BIGINT)), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) AS crc
+        FROM documents, crc_table, LATERAL (SELECT doc_id::VARCHAR AS s) n
+    ),
+    leaf AS MATERIALIZED (
+        SELECT doc_id, lang, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS idx,
+               count(*) OVER (PARTITION BY lang) AS n, sha256(a || b || c || e || f) AS leaf,
+               sha256(a || b || c || e || CASE WHEN crc % 3 = 0 THEN g ELSE f END) AS seen
+        FROM d
+    ),
+    node(tree, level, idx, n, digest, kids) AS (
+        SELECT tree, 0, idx, n, leaf, NULL::VARCHAR[] FROM leaf
+        UNION ALL
+        SELECT tree, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)), list(digest ORDER BY idx)
+        FROM node WHERE n > 1 GROUP BY tree, level, idx // 8, n
+    ),
+    upper(tree, level, idx, n, digest, kids) AS (
+        SELECT -1, 0, tree, count(*) OVER (), digest, NULL::VARCHAR[] FROM node WHERE n = 1
+        UNION ALL
+        SELECT tree, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)), list(digest ORDER BY idx)
+        FROM upper WHERE n > 1 GROUP BY tree, level, idx // 8, n
+    ),
+    climb(doc_id, home, level, idx, n, folded, proof) AS (
+        SELECT doc_id, tree, 0, idx, n, seen, '' FROM leaf
+        UNION ALL
+        SELECT c.doc_id, c.home, r.level, r.idx, r.n, sha256(array_to_string(r.kids[1:c.idx % 8] || [c.folded] || r.kids[c.idx % 8 + 2:], '')),
+               c.proof || array_to_string(r.kids[1:c.idx % 8] || r.kids[c.idx % 8 + 2:], '')
+        FROM climb c JOIN node r ON r.tree = c.home AND r.level = c.level + 1 AND r.idx = c.idx // 8 WHERE c.n > 1
+    ),
+    rise(doc_id, level, idx, n, folded, proof) AS (
+        SELECT c.doc_id, 0, u.idx, u.n, c.folded, c.proof FROM climb c JOIN upper u ON u.level = 0 AND u.idx = c.home WHERE c.n = 1
+        UNION ALL
+        SELECT c.doc_id, r.level, r.idx, r.n, sha256(array_to_string(r.kids[1:c.idx % 8] || [c.folded] || r.kids[c.idx % 8 + 2:], '')),
+               c.proof || array_to_string(r.kids[1:c.idx % 8] || r.kids[c.idx % 8 + 2:], '')
+        FROM rise c JOIN upper r ON r.level = c.level + 1 AND r.idx = c.idx // 8 WHERE c.n > 1
+    )
+    SELECT l.doc_id, l.leaf, s.digest AS subroot, t.digest AS root, sha256(r.proof) AS proof_sha256, r.folded AS folded_root, r.folded = t.digest AS verified
+    FROM leaf l JOIN rise r ON r.doc_id = l.doc_id AND r.n = 1 JOIN upper s ON s.level = 0 AND s.idx = l.tree JOIN upper t ON t.n = 1
+"""
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -125,5 +178,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_line_quality": op9_line_quality,
     "op10_token_files": op10_token_files,
+    "op11_merkle": op11_merkle,
 }
-SQL = {"op1_mixing": OP1, "op5_chat": OP5}
+SQL = {"op1_mixing": OP1, "op5_chat": OP5, "op11_merkle": OP11}

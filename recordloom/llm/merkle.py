@@ -12,8 +12,9 @@ Levels are built by grouping and written down. What is stored for the way up is
 one row per run: its node, the digests of its nodes in order and a link to the
 node's own parent. A recursive query then starts with one row per leaf, and each
 step joins the rows with the run they stand in, folds the carried digest with
-its siblings and appends the siblings to the proof, until a node without parent
-is reached.
+its siblings and appends a row with the siblings, until a node without parent is
+reached. The rows that a leaf has left behind, in order, are its proof; no step
+carries what the ones before it found, only the folded digest.
 
 Upper runs are shared by very many leaves. A run above ``BLOCK`` leaves is
 stored once for each block of ``BLOCK`` leaves below it, so that no key of the
@@ -83,7 +84,7 @@ def leaves(docs: DataFrame, tampered: Column) -> DataFrame:
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    """doc_id, leaf, seen with tree (number of the language), idx (position in it) and n (leaves of the language)."""
+    """id, doc_id, leaf, seen with tree (number of the language), idx (position in it) and n (leaves of the language)."""
     order = [F.col("lang").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("leaf"), F.col("_tie")]
     # The tie keeps many equal rows from being one sort partition.
     rows = materialise(rows.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id())), "merkle-leaves")
@@ -98,7 +99,7 @@ def _placed(rows: DataFrame) -> DataFrame:
     found = found.join(trees, F.col("_own").eqNullSafe(F.col("_lang"))).drop("_lang")
     same = (F.col("_part") == F.col("_of")) & F.col("lang").eqNullSafe(F.col("_own"))
     idx = F.col("_before") + F.col("_place") - F.col("_first")
-    return materialise(rows.join(found, same).select("doc_id", "leaf", "seen", "tree", idx.alias("idx"), "n"), "merkle-placed")
+    return materialise(rows.join(found, same).select(F.col("_place").alias("id"), "doc_id", "leaf", "seen", "tree", idx.alias("idx"), "n"), "merkle-placed")
 
 
 def levels(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -172,23 +173,21 @@ def _steps(n: int) -> list[int]:
 
 
 CLIMB = f"""
-    WITH RECURSIVE climb(doc_id, leaf, folded, proof, subroot, root, share, tree, level, idx, pos) AS (
-        SELECT doc_id, leaf, seen, unhex(''), if(n = 1, leaf, NULL), if(up_level IS NULL, leaf, NULL), share, up_tree, up_level, up_idx, up_pos
+    WITH RECURSIVE climb(id, step, folded, siblings, subroot, root, share, tree, level, idx, pos) AS (
+        SELECT id, 0, seen, unhex(''), if(n = 1, leaf, NULL), if(up_level IS NULL, leaf, NULL), share, up_tree, up_level, up_idx, up_pos
         FROM {{leaves}}
         UNION ALL
-        SELECT c.doc_id, c.leaf,
+        SELECT c.id, c.step + 1,
                unhex(sha2(lower(hex(concat(substring(r.kids, 1, 32 * c.pos), c.folded, substring(r.kids, 32 * c.pos + 33)))), 256)),
-               concat(c.proof, substring(r.kids, 1, 32 * c.pos), substring(r.kids, 32 * c.pos + 33)),
-               if(r.tree <> {TOP} AND coalesce(r.up_tree, {TOP}) = {TOP}, r.digest, c.subroot),
+               concat(substring(r.kids, 1, 32 * c.pos), substring(r.kids, 32 * c.pos + 33)),
+               if(r.tree <> {TOP} AND coalesce(r.up_tree, {TOP}) = {TOP}, r.digest, NULL),
                if(r.up_level IS NULL, r.digest, NULL),
                c.share, r.up_tree, r.up_level, r.up_idx, r.up_pos
         FROM climb c JOIN {{runs}} r
           ON c.tree = r.tree AND c.level = r.level AND c.idx = r.idx
          AND r.share = if(c.tree = {TOP} OR c.level > {BLOCK_LEVELS}, c.share, 0)
     )
-    SELECT doc_id, lower(hex(leaf)) AS leaf, lower(hex(subroot)) AS subroot, lower(hex(root)) AS root,
-           sha2(lower(hex(proof)), 256) AS proof_sha256, lower(hex(folded)) AS folded_root, folded = root AS verified, proof
-    FROM climb WHERE level IS NULL
+    SELECT id, step, if(level IS NULL, folded, NULL) AS folded, siblings, subroot, root FROM climb
 """
 
 
@@ -210,11 +209,22 @@ def manifest(docs: DataFrame, tampered: Column) -> DataFrame:
     runs = materialise(stored_runs(placed, own, top, trees), "merkle-runs")
     alone, none = F.col("n") == 1, F.lit(None)
     start = placed.select(
-        "doc_id", "leaf", "seen", "n",
+        "id", "leaf", "seen", "n",
         _share("tree", "idx").alias("share"),
         F.when(~alone, F.col("tree")).otherwise(F.lit(TOP) if trees > 1 else none).cast("long").alias("up_tree"),
         F.when(~alone | F.lit(trees > 1), F.lit(1)).cast("int").alias("up_level"),
         F.expr(f"if(n = 1, tree, idx) div {WIDTH}").alias("up_idx"),
         F.expr(f"pmod(if(n = 1, tree, idx), {WIDTH})").alias("up_pos"),
     )
-    return spark.sql(CLIMB, leaves=start, runs=runs)
+    steps = spark.sql(CLIMB, leaves=start, runs=runs).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("step", "folded", "siblings", "subroot", "root"))).alias("steps"))
+
+    def known(name: str) -> Column:
+        """The one value that some step of a row has."""
+        return hex_text(F.element_at(F.filter("steps", lambda s: s[name].isNotNull()), 1)[name])
+
+    proof = F.aggregate("steps", F.unhex(F.lit("")), lambda all_, s: F.concat(all_, s["siblings"]))
+    paths = steps.select("id", known("subroot").alias("subroot"), known("root").alias("root"), known("folded").alias("folded_root"), proof.alias("proof"))
+    return placed.join(paths, "id").select(
+        "doc_id", hex_text(F.col("leaf")).alias("leaf"), "subroot", "root", F.sha2(F.encode(hex_text(F.col("proof")), "UTF-8"), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"), "proof",
+    )

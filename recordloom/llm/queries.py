@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import chat, language, line_quality, main_text, merkle, mixing, near_duplicates, neighbours, packing, quality_rules, token_files
+from recordloom.llm import chat, hard_negatives, language, line_quality, main_text, merkle, mixing, near_duplicates, neighbours, ngram_join, packing, quality_rules, token_files
 from recordloom.llm.common import fold_of, table
 
 
@@ -167,6 +167,54 @@ OP11 = """
 """
 
 
+def op12_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_sets(table(spark, folder, "documents"))
+
+
+OP12 = """
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    ),
+    s AS MATERIALIZED (
+        SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END)) AS shingle
+        FROM w
+    ),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+    edge AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    reach(x, y) AS (SELECT x, y FROM edge UNION SELECT r.x, b.y FROM reach r JOIN edge b ON b.x = r.y),
+    low AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.y, d.doc_id)) AS component_id
+    FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.x = d.doc_id
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows, label, F.col("vec_id") % 100 == 0)
+
+
+OP13 = """
+    WITH v AS MATERIALIZED (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    s AS MATERIALIZED (
+        SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+    ),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10
+"""
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -179,5 +227,7 @@ QUERIES = {
     "op9_line_quality": op9_line_quality,
     "op10_token_files": op10_token_files,
     "op11_merkle": op11_merkle,
+    "op12_ngram_join": op12_ngram_join,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-SQL = {"op1_mixing": OP1, "op5_chat": OP5, "op11_merkle": OP11}
+SQL = {"op1_mixing": OP1, "op5_chat": OP5, "op11_merkle": OP11, "op12_ngram_join": OP12, "op13_hard_negatives": OP13}

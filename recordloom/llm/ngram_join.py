@@ -14,16 +14,19 @@ smaller of both. Each document takes the l with the least estimated cost: a
 longer prefix is more rows, but ``PAIR_COST`` times its expected partners,
 bounded by the summed frequencies divided by l, gets less.
 
-Candidates. Equal sets are one class, so copies are never paired. In every
-bucket (the classes with one shingle in their prefix) each class is first
-paired with one pivot, the same in all buckets of a group of near copies, and
-verified where both share enough prefix shingles in such buckets. What these
-links connect is one component, and pairs inside it need no further look. The
-buckets with several components left are dealt into parts of at most ``BLOCK``
-classes; a task gets a pair of parts with their prefixes, counts shared
-shingles of all pairs of different components, and returns those that share
-enough, once, in the bucket of their smallest shared shingle. So no pair of
-different texts is lost, and none is made a row before it has passed the count.
+Candidates. Equal sets are one class, so copies are never paired. Groups hold
+the classes with one shingle in their prefix and sizes that may fit. Each class
+is first paired with one pivot of its group, the same in all groups of near
+copies, and verified where both share enough prefix shingles in such groups.
+What these links connect is one component, and pairs inside it need no further
+look. In groups of more than ``BLOCK`` classes with several components left
+further pivots are drawn and tried while that pays. Then, where a group has at
+most ``BLOCK`` classes, a join counts what its pairs of different components
+share, and those that share enough are verified. A larger group is dealt into
+parts; a task gets a pair of parts with the prefix shingles and texts of its
+classes, counts, verifies what shares enough, each pair in the first of the
+groups where it meets, and returns a forest of the links. So no pair of
+different texts is lost, and rows for pairs are bounded for each class and group.
 
 Verification brings the text of a class to the class it is compared with, in
 parts of at most ``BLOCK``, and intersects the whole sets.
@@ -38,8 +41,10 @@ are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +64,10 @@ COUNTERS = 1 << 18
 PAIR_COST = 8
 MOST_MATCHES = 8
 BLOCK = 256
+# Pivots are drawn again while this share of the pairs tried is linked.
+WORTH = 0.02
+# Shingles that are counted at once in a group.
+COLUMNS = 4096
 # Bytes that are hashed at once, and digests that a task remembers.
 PIECE = 1 << 20
 REMEMBERED = 1 << 16
@@ -138,10 +147,8 @@ def sketch(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for own in shingle_sets(text_bytes(batch)):
-                counts += np.bincount(_counter(own), minlength=COUNTERS) if len(own) > COUNTERS // 8 else 0
-                if len(own) <= COUNTERS // 8:
-                    np.add.at(counts, _counter(own), 1)
+            if batch.num_rows:
+                counts += np.bincount(_counter(np.concatenate(shingle_sets(text_bytes(batch)))), minlength=COUNTERS)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"counter": pa.array(used, pa.int64()), "n": pa.array(counts[used], pa.int64())})
 
@@ -224,104 +231,154 @@ def members(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return materialise(found.join(first, "c", "left_semi"), "shingle-members")
 
 
-def _alike() -> str:
-    return f"100 * least(n, other_n) >= {LEAST} * greatest(n, other_n)"
+def _grouped(buckets: DataFrame) -> DataFrame:
+    """token, band, side and the class: classes of a bucket that may be alike in size meet in one group.
+
+    Sizes that fit lie in one band or in neighbouring ones. A group has the
+    classes of a band (side 0) and of the one above (side 1); pairs of side 1
+    meet in their own group, so every pair that fits meets once in a bucket.
+    """
+    width = math.log(100 / (LEAST - 0.5))  # a little wide, against rounding
+    both = F.expr("array(struct(band, 0 AS side), struct(band - 1 AS band, 1 AS side))")
+    return buckets.withColumn("band", F.floor(F.log("n") / width).cast("int")).withColumn("b", F.explode(both)).drop("band").select("token", "b.band", "b.side", "c", "n", "matches")
 
 
 def star_pairs(buckets: DataFrame) -> DataFrame:
-    """x, c: every class with the pivots of its buckets, where sizes fit and enough of these buckets agree."""
-    pivots = buckets.groupBy("token").agg(F.min("c").alias("x"))
-    pairs = buckets.join(pivots, "token").where("c <> x").groupBy("x", "c").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("matches").alias("matches"))
+    """x, c: every class with the pivots of its groups, where sizes fit and enough of these groups agree."""
+    grouped = _grouped(buckets)
+    pivots = grouped.groupBy("token", "band").agg(F.min(F.expr("if(side = 0, c, NULL)")).alias("x"), F.count("*").alias("size"))
+    pivots = pivots.where("size > 1 AND x IS NOT NULL").select("token", "band", "x")
+    pairs = grouped.join(pivots, ["token", "band"]).where("c <> x")
+    pairs = pairs.groupBy("x", "c").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("matches").alias("matches"))
     info = buckets.select(F.col("c").alias("x"), F.col("n").alias("other_n"), F.col("matches").alias("other_matches")).distinct()
-    fine = f"{_alike()} AND shared >= least(matches, other_matches)"
+    fine = f"100 * least(n, other_n) >= {LEAST} * greatest(n, other_n) AND shared >= least(matches, other_matches)"
     return materialise(pairs.join(info, "x").where(fine).select("x", "c"), "shingle-stars")
 
 
-def _crossing(group: dict[str, np.ndarray], prefixes: list[np.ndarray], token: int, one_part: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of different components that share enough prefix shingles, ``token`` being the smallest of them."""
-    part, comp, n, matches = group["part"], group["comp"], group["n"], group["matches"]
-    first, second = (np.arange(len(n)),) * 2 if one_part else (np.flatnonzero(part == part.min()), np.flatnonzero(part != part.min()))
-    lengths = np.array([len(p) for p in prefixes])
-    flat = np.concatenate(prefixes)
-    owner = np.repeat(np.arange(len(prefixes)), lengths)
-    values, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = times[column] > 1
-    # Columns of shingles that only one class has cannot be shared.
-    numbers = np.cumsum(times > 1) - 1
+def mixed_groups(buckets: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of all groups that hold several components, with their number of parts ``k``; written once."""
+    comps = components(edges).select(F.col("node").alias("c"), "root")
+    placed = _grouped(buckets).join(comps, "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
+    mixed = placed.groupBy("token", "band").agg(F.count("*").alias("size"), F.min("side").alias("side"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b AND side = 0")
+    mixed = mixed.select("token", "band", F.ceil(F.col("size") / block).cast("int").alias("k"))
+    return materialise(placed.join(mixed, ["token", "band"]), "shingle-mixed")
+
+
+def drawn_pairs(left: DataFrame, turn: int) -> DataFrame:
+    """x, c: the classes of every group of several parts with one that is drawn for the group, where components differ and sizes fit."""
+    hot = left.where("k > 1")
+    draw = F.xxhash64("c", "token", "band", F.lit(turn))
+    drawn = hot.where("side = 0").groupBy("token", "band").agg(F.min(draw).alias("draw"))
+    pivots = hot.withColumn("draw", draw).join(drawn, ["token", "band", "draw"]).where("side = 0")
+    pivots = pivots.select("token", "band", F.col("c").alias("x"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
+    pairs = hot.join(pivots, ["token", "band"]).where(f"comp <> other_comp AND 100 * least(n, other_n) >= {LEAST} * greatest(n, other_n)")
+    return materialise(pairs.select("x", "c").distinct(), "shingle-drawn")
+
+
+def crossing_pairs(left: DataFrame) -> DataFrame:
+    """x, c: the pairs of different components that share enough prefix shingles in groups of one part."""
+    few = left.where("k = 1")
+    other = few.select("token", "band", *[F.col(name).alias(f"other_{name}") for name in ("side", "c", "n", "matches", "comp")])
+    fits = f"c < other_c AND comp <> other_comp AND side + other_side < 2 AND 100 * least(n, other_n) >= {LEAST} * greatest(n, other_n)"
+    met = few.join(other, ["token", "band"]).where(fits).groupBy("c", "other_c").agg(F.count("*").alias("shared"), F.first(F.least("matches", "other_matches")).alias("least"))
+    return materialise(met.where("shared >= least").select(F.col("c").alias("x"), F.col("other_c").alias("c")), "shingle-crossing")
+
+
+def _shared(lists: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """How many numbers each list of ``first`` has in common with each of ``second``."""
+    flat = np.concatenate(lists)
+    owner = np.repeat(np.arange(len(lists)), [len(own) for own in lists])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    # What only one list has cannot be shared.
+    numbers, keep = np.cumsum(times > 1) - 1, times[column] > 1
     owner, column, width = owner[keep], numbers[column[keep]], int((times > 1).sum())
-    at_first, at_second = np.full(len(n), -1), np.full(len(n), -1)
-    at_first[first], at_second[second] = np.arange(len(first)), np.arange(len(second))
+    at = np.full((2, len(lists)), -1)
+    at[0, first], at[1, second] = np.arange(len(first)), np.arange(len(second))
     shared = np.zeros((len(first), len(second)), np.float32)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    for start in range(0, width, 4096):
-        a, b = np.searchsorted(column, [start, start + 4096])
-        own, col = owner[a:b], column[a:b] - start
-        left, right = np.zeros((len(first), 4096), np.float32), np.zeros((len(second), 4096), np.float32)
-        mine = at_first[own] >= 0
-        left[at_first[own[mine]], col[mine]] = 1
-        mine = at_second[own] >= 0
-        right[at_second[own[mine]], col[mine]] = 1
-        shared += left @ right.T
-    sizes = np.minimum(n[first][:, None], n[second]) * 100 >= LEAST * np.maximum(n[first][:, None], n[second])
-    fine = sizes & (comp[first][:, None] != comp[second]) & (shared >= np.minimum(matches[first][:, None], matches[second]))
+    for start in range(0, width, COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        own, col, wide = owner[a:b], column[a:b] - start, min(COLUMNS, width - start)
+        marks = [np.zeros((len(rows), wide), np.float32) for rows in (first, second)]
+        for place, mark in zip(at[:, own], marks, strict=True):
+            mark[place[place >= 0], col[place >= 0]] = 1
+        shared += marks[0] @ marks[1].T
+    return shared
+
+
+def _linked(rows: list[dict], token: int, one_part: bool) -> Iterator[tuple[int, int]]:
+    """Links of a group's rows (or of two parts of it), as a forest, among the pairs that have no smaller group."""
+    part, comp, side, n, matches, c = (np.array([r[name] for r in rows]) for name in ("part", "comp", "side", "n", "matches", "c"))
+    first, second = (np.arange(len(rows)),) * 2 if one_part else (np.flatnonzero(part == part.min()), np.flatnonzero(part != part.min()))
+    if len(first) == 0 or len(second) == 0:
+        return
+    fine = (np.minimum(n[first][:, None], n[second]) * 100 >= LEAST * np.maximum(n[first][:, None], n[second])) & (comp[first][:, None] != comp[second])
+    fine &= side[first][:, None] + side[second] < 2
     if one_part:
         fine &= first[:, None] < second
-    i, j = np.nonzero(fine)
-    i, j = first[i], second[j]
-    once = [int(np.intersect1d(prefixes[p], prefixes[q])[0]) == token for p, q in zip(i.tolist(), j.tolist(), strict=True)]
-    once = np.array(once, bool)
-    return i[once], j[once]
-
-
-def crossing_pairs(buckets: DataFrame, comps: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """x, c: all pairs of different components that share enough prefix shingles."""
-    placed = buckets.select("token", "c").join(comps, "c", "left").select("token", "c", F.coalesce("root", "c").alias("comp"))
-    placed = materialise(placed, "shingle-placed")
-    mixed = placed.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
-    k = F.ceil(F.col("size") / block).cast("int")
-    parted = placed.join(mixed.select("token", k.alias("k")), "token").withColumn("part", F.pmod(F.xxhash64("c"), F.col("k")).cast("int"))
+    fine &= _shared([np.array(r["list"]) for r in rows], first, second) >= np.minimum(matches[first][:, None], matches[second])
+    hot = [np.array(r["hot"]) for r in rows]
+    fine &= _shared([own[own < token] for own in hot], first, second) == 0
+    used = np.union1d(first[fine.any(axis=1)], second[fine.any(axis=0)])
+    if not len(used):
+        return
+    found = shingle_sets([rows[i]["text"].encode() if i in set(used.tolist()) else None for i in range(len(rows))])
+    same = _shared(found, first, second)
+    size = np.array([len(own) for own in found], float)
+    fine &= 100 * same >= LEAST * (size[first][:, None] + size[second] - same)
+    root = list(range(len(rows)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in zip(*(at.tolist() for at in np.nonzero(fine)), strict=True):
+        i, j = int(first[i]), int(second[j])
+        if top(i) != top(j):
+            root[top(i)] = top(j)
+            yield int(max(c[i], c[j])), int(min(c[i], c[j]))
+
+
+def links_in_parts(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, v: links of the pairs that meet in a group of several parts, as a forest of each pair of parts."""
+    hot = left.where("k > 1")
+    # All shingles that two classes of different components share are in mixed groups of both.
+    lists = left.join(hot.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.collect_set("token").alias("list"))
+    hots = hot.groupBy("c", "band").agg(F.collect_set("token").alias("hot"))
     both = F.expr("transform(sequence(0, k - 1), j -> struct(least(part, j) AS i, greatest(part, j) AS j))")
-    dealt = parted.select("token", "c", "comp", "part", F.explode(both).alias("p"))
-    own = rows.where("prefix IS NOT NULL").select("c", "n", "matches", "prefix")
-    groups = dealt.join(own, "c").groupBy("token", "p").agg(F.collect_list(F.struct("c", "comp", "part", "n", "matches", "prefix")).alias("own"))
-    short_batches(rows.sparkSession)
+    dealt = hot.withColumn("part", F.pmod(F.xxhash64("c"), F.col("k")).cast("int")).withColumn("p", F.explode(both))
+    dealt = dealt.join(lists, "c").join(hots, ["c", "band"]).join(texts, "c")
+    keys = ["token", "band", "i", "j"]
+    dealt = dealt.select("token", "band", "p.i", "p.j", "c", "comp", "part", "side", "n", "matches", "list", "hot", "text")
+    short_batches(left.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x: list[np.ndarray] = []
-            y: list[np.ndarray] = []
-            lists = batch.column("own")
-            for at in range(batch.num_rows):
-                own = lists[at].values
-                if len(own) < 2:
-                    continue
-                group = {name: own.field(name).to_numpy(zero_copy_only=False) for name in ("c", "comp", "part", "n", "matches")}
-                held = own.field("prefix")
-                prefixes = [held[i].values.to_numpy(zero_copy_only=False) for i in range(len(held))]
-                pair = batch.column("p")[at].as_py()
-                if pair["i"] != pair["j"] and (group["part"] == group["part"][0]).all():
-                    continue
-                i, j = _crossing(group, prefixes, batch.column("token")[at].as_py(), pair["i"] == pair["j"])
-                x.append(group["c"][i])
-                y.append(group["c"][j])
-            if x:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()), pa.array(np.concatenate(y), pa.int64())], names=["x", "c"])
-
-    return materialise(groups.mapInArrow(run, "x long, c long"), "shingle-crossing")
-
-
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """u, v of the pairs (x, c) whose whole sets link."""
+        key, rows = None, []
+        for batch in chain(batches, [None]):
+            links: list[tuple[int, int]] = []
+            for row in batch.to_pylist() if batch is not None else [dict.fromkeys(keys)]:
+                own = tuple(row[name] for name in keys)
+                if own != key:
+                    if len(rows) > 1:
+                        links += _linked(rows, key[0], key[2] == key[3])
+                    key, rows = own, []
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    return materialise(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long").distinct(), "shingle-links")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """u, v of the pairs (x, c) whose whole sets link; ``texts`` has c and text."""
     sizes = pairs.groupBy("x").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
     dealt = pairs.join(sizes, "x").select("x", F.pmod(F.xxhash64("c"), F.col("k")).cast("int").alias("part"), "c", F.lit(1).alias("place"))
     pivots = sizes.select("x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.col("x").alias("c"), F.lit(0).alias("place"))
-    where = classes.select("c", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    wanted = materialise(dealt.unionByName(pivots).join(where, "c"), "shingle-wanted")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    same = (texts["text_hash"] == wanted["_hash"]) & texts["doc_id"].eqNullSafe(wanted["_id"])
-    brought = texts.join(wanted, same).select("x", "part", "place", "c", "text")
-    short_batches(docs.sparkSession)
+    wanted = materialise(dealt.unionByName(pivots), "shingle-wanted")
+    brought = texts.join(wanted, "c").select("x", "part", "place", "c", "text")
+    short_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, pivot = None, np.zeros(0, np.uint64)
@@ -344,6 +401,14 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, block: int = B
     return materialise(sorted_.mapInArrow(run, "u long, v long").distinct(), "shingle-links")
 
 
+def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """c and text of the classes; written once, as all verification reads them."""
+    where = classes.select("c", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    same = (hashed["text_hash"] == where["_hash"]) & hashed["doc_id"].eqNullSafe(where["_id"])
+    return materialise(hashed.join(where, same).select("c", "text"), "shingle-texts")
+
+
 def near_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
     docs = docs.select("doc_id", "text")
@@ -352,9 +417,23 @@ def near_sets(docs: DataFrame) -> DataFrame:
     classes = rows.where("n > 0").groupBy("digest").agg(least, F.min("doc_id").alias("least"))
     classes = materialise(classes.select("digest", "first.*", "least"), "shingle-classes")
     buckets = members(rows, classes)
-    stars = verify(star_pairs(buckets), classes, docs)
-    rest = verify(crossing_pairs(buckets, components(stars).select(F.col("node").alias("c"), "root"), rows), classes, docs)
-    found = components(materialise(stars.unionByName(rest).distinct(), "shingle-edges"))
+    texts = _texts(docs, classes.join(buckets.select("c").distinct(), "c", "left_semi"))
+    edges = verify(star_pairs(buckets), texts)
+    left = mixed_groups(buckets, edges)
+    turn = 0
+    while True:
+        # Large groups of near copies whose members are not all like one pivot.
+        pairs = drawn_pairs(left, turn)
+        tried = pairs.count()
+        if not tried:
+            break
+        new = verify(pairs, texts)
+        edges = materialise(edges.unionByName(new).distinct(), "shingle-edges")
+        left, turn = mixed_groups(buckets, edges), turn + 1
+        if new.count() < WORTH * tried:
+            break
+    rest = verify(crossing_pairs(left), texts).unionByName(links_in_parts(left, texts))
+    found = components(materialise(edges.unionByName(rest).distinct(), "shingle-edges"))
     rooted = classes.join(found.withColumnRenamed("node", "c"), "c", "left").select("digest", "least", F.coalesce("root", "c").alias("root"))
     rooted = materialise(rooted, "shingle-rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("digest", "component_id")

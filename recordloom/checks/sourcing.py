@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def _fresh(spark: SparkSession, name: str) -> str:
 
 
 def _orders(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 
 
 def roundtrip_csv(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,26 +33,31 @@ def roundtrip_csv(spark: SparkSession, folder: str) -> DataFrame:
 
 def roundtrip_json(spark: SparkSession, folder: str) -> DataFrame:
     path = _fresh(spark, "orders") + ".json"
-    sinks.write_json(_orders(spark, folder), path)
+    sinks.write_json(normalise(_orders(spark, folder)), path)
     return readers.read_table(spark, path, lines=True)
 
 
-def roundtrip_xml(spark: SparkSession, folder: str) -> DataFrame:
-    path = _fresh(spark, "orders") + ".xml"
-    rows = _orders(spark, folder)
-    nested = rows.select(
+def _xml_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders nested as attribute, element with attribute and text, and plain elements."""
+    return normalise(_orders(spark, folder)).select(
         F.col("o_orderkey").alias("@key"),
         F.struct(F.col("o_custkey").alias("@no"), F.col("o_orderstatus").alias("#text")).alias("customer"),
+        F.col("o_totalprice").cast("decimal(20,2)").alias("price"),
+        F.col("o_orderdate").alias("day"),
         F.col("o_orderpriority").alias("priority"),
     )
-    writer = nested.write.format("xml").option("rowTag", "order").option("attributePrefix", "@").option("valueTag", "#text")
+
+
+def _xml_texts(df: DataFrame) -> DataFrame:
+    names = {"@key": "order_key", "customer.@no": "customer_no", "customer.#text": "status", "price": "price", "day": "day", "priority": "priority"}
+    return df.select(*[F.col(f"`{n}`").alias(to) for n, to in names.items()])
+
+
+def roundtrip_xml(spark: SparkSession, folder: str) -> DataFrame:
+    path = _fresh(spark, "orders") + ".xml"
+    writer = _xml_orders(spark, folder).write.format("xml").option("rowTag", "order").option("attributePrefix", "@").option("valueTag", "#text")
     writer.save(path)
-    return readers.read_table(spark, path, row_tag="order").select(
-        F.col("`@key`").alias("order_key"),
-        F.col("`customer.@no`").alias("customer_no"),
-        F.col("`customer.#text`").alias("status"),
-        "priority",
-    )
+    return _xml_texts(readers.read_table(spark, path, row_tag="order"))
 
 
 def _typed_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,6 +79,13 @@ def read_csv_inferred(spark: SparkSession, folder: str) -> DataFrame:
     return readers.read_table(spark, path)
 
 
+def csv_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts with their line breaks, as cells; read as any CSV file is."""
+    path = _fresh(spark, "documents") + ".csv"
+    sinks.write_csv(table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars"), path)
+    return readers.read_table(spark, path)
+
+
 def json_documents(spark: SparkSession, folder: str) -> DataFrame:
     """One document for each customer's orders and one for each supplier, with lists of different names."""
     path = _fresh(spark, "documents") + ".json"
@@ -84,17 +98,36 @@ def json_documents(spark: SparkSession, folder: str) -> DataFrame:
     return readers.read_documents(spark.read.text(path), spark.read.json(path).schema)
 
 
+def json_array(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as one array in each file, read without stating a schema."""
+    path = _fresh(spark, "arrays") + ".json"
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["
+        for batch in batches:
+            lines = []
+            for text in batch.column("value").to_pylist():
+                lines.append(mark + text)
+                mark = ","
+            yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": pa.array(["[]" if mark == "[" else "]"], pa.string())})
+
+    rows = normalise(_orders(spark, folder))
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInArrow(bracketed, "value string").write.text(path)
+    return readers.read_json(spark, path)
+
+
 def xml_detected(spark: SparkSession, folder: str) -> DataFrame:
     path = _fresh(spark, "orders") + ".xml"
-    rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("@key"), F.col("o_orderpriority").alias("priority"))
-    rows.coalesce(4).write.format("xml").option("rowTag", "order").option("attributePrefix", "@").save(path)
-    return readers.read_table(spark, path).select(F.col("`@key`").alias("order_key"), "priority")
+    writer = _xml_orders(spark, folder).write.format("xml").option("rowTag", "order").option("attributePrefix", "@").option("valueTag", "#text")
+    writer.save(path)
+    return _xml_texts(readers.read_table(spark, path))
 
 
 def input_checks(spark: SparkSession, folder: str) -> DataFrame:
     """What reading says to files of given endings and to an empty one."""
     base = _fresh(spark, "checks")
-    rows = table(spark, folder, "region")
+    rows = table(spark, folder, "lineitem")
     sinks.write_csv(rows, f"{base}/full.csv")
     sinks.write_csv(rows.limit(0), f"{base}/empty.csv")
     said = []
@@ -149,7 +182,9 @@ QUERIES = {
     "roundtrip_json": roundtrip_json,
     "roundtrip_xml": roundtrip_xml,
     "read_csv_inferred": read_csv_inferred,
+    "csv_line_breaks": csv_line_breaks,
     "json_documents": json_documents,
+    "json_array": json_array,
     "xml_detected": xml_detected,
     "input_checks": input_checks,
     "json_flatten": json_flatten,
@@ -158,29 +193,38 @@ QUERIES = {
     "file_names": file_names,
 }
 
-_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
+_DAY = "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g')"
+_JSON_ORDERS = f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, {_DAY} AS o_orderdate, o_orderpriority FROM orders"
+_XML_ORDERS = f"""
+    SELECT CAST(o_orderkey AS VARCHAR) AS order_key, CAST(o_custkey AS VARCHAR) AS customer_no, o_orderstatus AS status,
+           CAST(CAST(o_totalprice AS DECIMAL(20, 2)) AS VARCHAR) AS price, {_DAY} AS day, o_orderpriority AS priority
+    FROM orders
+"""
+_MARKS = ", ".join(f"'{m}'" for m in readers.NULL_MARKERS)
 
 SQL = {
     "roundtrip_csv": _ORDERS,
-    "roundtrip_json": _ORDERS,
-    "roundtrip_xml": """
-        SELECT CAST(o_orderkey AS VARCHAR) AS order_key, CAST(o_custkey AS VARCHAR) AS customer_no,
-               o_orderstatus AS status, o_orderpriority AS priority FROM orders
-    """,
+    "roundtrip_json": _JSON_ORDERS,
+    "roundtrip_xml": _XML_ORDERS,
     "read_csv_inferred": """
         SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN CAST(o_custkey AS DOUBLE) END AS owner,
                CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price, strftime(o_orderdate, '%Y-%m-%d') AS day,
                o_orderstatus = 'F' AS final, o_orderpriority
         FROM orders
     """,
+    "csv_line_breaks": f"""
+        SELECT doc_id, {', '.join(f"CASE WHEN {c} NOT IN ({_MARKS}) THEN {c} END AS {c}" for c in ('text', 'lang', 'source'))}, n_chars FROM documents
+    """,
     "json_documents": """
         SELECT o_orderkey, o_totalprice, NULL::BIGINT AS s_suppkey, NULL::VARCHAR AS s_name FROM orders
         UNION ALL SELECT NULL, NULL, s_suppkey, s_name FROM supplier
         UNION ALL SELECT NULL, NULL, s_suppkey, lower(s_name) FROM supplier
     """,
-    "xml_detected": "SELECT CAST(o_orderkey AS VARCHAR) AS order_key, o_orderpriority AS priority FROM orders",
+    "json_array": _JSON_ORDERS,
+    "xml_detected": _XML_ORDERS,
     "input_checks": """
-        SELECT 'full.csv' AS file, CAST(count(*) AS VARCHAR) || ' rows' AS said FROM region
+        SELECT 'full.csv' AS file, CAST(count(*) AS VARCHAR) || ' rows' AS said FROM lineitem
         UNION ALL VALUES ('empty.csv', 'The file empty.csv contains no data rows'),
         ('other.xls', 'Unsupported file format: other.xls'), ('other.txt', 'Unsupported file format: other.txt')
     """,

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.functions.cells import INFINITY_PATTERN, NUMBER_PATTERN, col, quoted, text_sql
+from recordloom.sources import csv_records, json_elements, xml_rows
 from recordloom.sources.flatten import flatten
 
 FORMATS = ("csv", "json", "xml")
@@ -23,9 +21,6 @@ NULL_MARKERS = (
 )
 _WHOLE = r"^\s*[+-]?\d+\s*$"
 _TRUTH = ("True", "TRUE", "true", "False", "FALSE", "false")
-_TAG = re.compile(
-    r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^>]*>|<(?P<close>/?)(?P<name>[^\s/>!?]+)(?:\"[^\"]*\"|'[^']*'|[^>\"'/]|/(?!>))*(?P<empty>/?)>", re.DOTALL
-)
 # Whole numbers up to here are exact as doubles.
 _EXACT = 1 << 53
 
@@ -82,25 +77,39 @@ def _typed(rows: DataFrame) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, line_breaks: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, line_breaks: bool | None = None
 ) -> DataFrame:
     """Header row, missing-value markers, and types that fit whole columns.
 
-    Large files are split over tasks. State ``line_breaks=True`` where quoted
-    cells may hold line breaks; such a file is read by one task. The files of a
-    folder must have the same header. With a schema nothing is looked up first.
+    Files are split over tasks, also where quoted cells hold line breaks: one
+    look at the lines says whether any do, and then their records are put
+    together by ``csv_records``. ``line_breaks=False`` leaves the look out. A row
+    with more cells than the header is an error, a shorter one is filled up with
+    missing values. The files of a folder must have the same header.
     """
-    reader = spark.read.option("escape", '"').option("multiLine", line_breaks)
-    if schema is not None:
-        return reader.option("header", True).schema(schema).csv(path)
-    head = reader.option("header", False).csv(path).head(1)
+    breaks, cells = bool(line_breaks), 0
+    found = csv_records.lines(spark, path)
+    if line_breaks is None:
+        breaks, cells = csv_records.look(found)
+    reader = spark.read.option("escape", '"')
+    head = reader.option("multiLine", breaks).option("header", False).csv(path).head(1)
     if not head:
         return spark.createDataFrame([], T.StructType([]))
-    names = _unique_names(list(head[0]))
+    if schema is not None:
+        schema = spark.createDataFrame([], schema).schema
+    header = [*head[0][:-1], head[0][-1].removesuffix("\r") if head[0][-1] else head[0][-1]]
+    names = _unique_names(header) if schema is None else schema.names
+    if cells > len(names) and not breaks:
+        raise ValueError(f"{path}: a row has {cells} cells under {len(names)} columns")
     text = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    # Names made here are not in the file, so only a header without them can be checked against it.
-    reader = reader.option("header", True).option("enforceSchema", names != list(head[0]))
-    rows = reader.schema(text).csv(path)
+    if breaks:
+        rows = csv_records.read(spark, path, found, text if schema is None else schema)
+    else:
+        # Names made here are not in the file, so only a header without them can be checked against it.
+        reader = reader.option("header", True).option("enforceSchema", schema is not None or names != header)
+        rows = reader.schema(text if schema is None else schema).csv(path)
+    if schema is not None:
+        return rows
     marks = ", ".join(f"'{m}'" for m in NULL_MARKERS)
     return _typed(rows.selectExpr(*[f"if({quoted(n)} IN ({marks}), NULL, {quoted(n)}) AS {quoted(n)}" for n in names]))
 
@@ -110,19 +119,17 @@ def read_json(spark: SparkSession, path: str, lines: bool = False, schema: T.Str
 
     A top-level array gives its elements; an object gives the elements of its
     first list, or itself if it has none. Every document of a folder is looked
-    at by itself. ``lines`` reads one record per line, as the JSON sink writes
-    them, and such files can be split over tasks.
+    at by itself; plain values of a top-level array are the column ``0``. Files
+    are split over tasks, see ``json_elements``; ``lines`` reads one record per
+    line, as the JSON sink writes them. ``schema`` is the schema of the rows.
     """
-    if lines:
-        reader = spark.read if schema is None else spark.read.schema(schema)
-        return flatten(reader.json(path))
-    if schema is None:
-        schema = spark.read.option("multiLine", True).json(path).schema
-    return read_documents(spark.read.text(path, wholetext=True), schema)
+    folder = path if lines else json_elements.lines(spark, path)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return flatten(reader.json(folder))
 
 
 def read_documents(texts: DataFrame, schema: T.StructType | str) -> DataFrame:
-    """Rows of JSON documents, one in each row of the column ``value``; see ``read_json``."""
+    """Rows of JSON documents, each in a row of the column ``value``; see ``read_json``."""
     spark = texts.sparkSession
     fields = spark.createDataFrame([], schema).schema
     if not fields.fields:
@@ -162,49 +169,12 @@ def _stacked(a: DataFrame, b: DataFrame) -> DataFrame:
     return as_text(a).unionByName(as_text(b), allowMissingColumns=True)
 
 
-def first_repeated(text: str) -> str | None:
-    """Name of the first element, depth first, that stands more than once under one parent; else the root's name."""
-    root, level = None, [({}, None)]  # for each open element: children in order with [count, found below]
-    names: list[str] = []
-
-    def found(children: dict[str, list]) -> str | None:
-        return next((name if n > 1 else below for name, (n, below) in children.items() if n > 1 or below), None)
-
-    for tag in _TAG.finditer(text):
-        name = tag["name"]
-        if name is None:
-            continue
-        if not tag["close"]:
-            root = root or name
-            children = level[-1][0]
-            children.setdefault(name, [0, None])[0] += 1
-            if not tag["empty"]:
-                level.append(({}, name))
-                names.append(name)
-        elif names and names[-1] == name:
-            names.pop()
-            own = level.pop()[0]
-            entry = level[-1][0][name]
-            entry[1] = entry[1] or found(own)
-    while len(level) > 1:  # elements that were never closed
-        own, name = level.pop()
-        entry = level[-1][0][name]
-        entry[1] = entry[1] or found(own)
-    return found(level[0][0]) or root
-
-
 def row_element(spark: SparkSession, path: str) -> str:
-    """The element that is a row, see ``first_repeated``; one look at the tags of each file, only names come back."""
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = [first_repeated(text.as_py() or "") for text in batch.column("value")]
-            yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string())})
-
-    names = spark.read.text(path, wholetext=True).mapInArrow(look, "name string").where("name IS NOT NULL").distinct().collect()
+    """The element that is a row: the first, depth first, that stands more than once under one parent, else the root."""
+    names = sorted(r["name"] for r in xml_rows.row_elements(spark, path).select("name").distinct().collect())  # names of elements
     if len(names) != 1:
-        raise ValueError(f"{path}: rows are named {sorted(r['name'] for r in names)}; state row_tag")
-    return names[0]["name"]
+        raise ValueError(f"{path}: rows are named {names}; state row_tag")
+    return names[0]
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:

@@ -38,7 +38,9 @@ def write_csv(records: DataFrame, path: str, mode: str = "errorifexists") -> Non
     out = _public(records)
     nested = [n for n in out.columns if isinstance(type_of(out, n), (T.ArrayType, T.MapType, T.StructType))]
     out = out.withColumns({n: F.to_json(col(n)) for n in nested}) if nested else out
-    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    writer = out.write.mode(mode).option("header", True).option("escape", '"')
+    # Spaces at the ends of a cell belong to it.
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def append_rows(rows: DataFrame, path: str, layout: str) -> None:

@@ -56,9 +56,10 @@ def test_xml(spark, tmp_path):
 
 def test_xml_finds_its_row_element(spark, tmp_path):
     text = '<!-- <x/><x/> --><all kind="a>b"><head><made>now</made></head><rows><row no="1"><tag>a</tag><tag>b</tag></row><row no="2"/></rows></all>'
-    assert readers.first_repeated(text) == "row"
-    assert readers.first_repeated("<one><a/><b>c</b></one>") == "one"
-    got = readers.read_table(spark, write(tmp_path / "d.xml", text))
+    path = write(tmp_path / "d.xml", text)
+    assert readers.row_element(spark, path) == "row"
+    assert readers.row_element(spark, write(tmp_path / "one.xml", "<one><a/><b>c</b></one>")) == "one"
+    got = readers.read_table(spark, path)
     assert [r["@no"] for r in got.collect()] == ["1", "2"]
 
 

@@ -16,10 +16,11 @@ distance of its farthest row. Rows at distance zero from their centre, copies
 among them, are one leaf whatever their number.
 
 Search. The inner products of a query with all rows below a node lie within
-|query| * radius of that with its centre. A priority queue opens nodes by their
-upper bound; nodes whose bounds miss all windows, or cannot improve the best
-found in any, are skipped, and rows of leaves are scored exactly. Cells are
-skipped by the same bounds before a query is sent to them. Every part returns
+|query| * radius of that with its centre. The levels are gone down with these
+bounds, and nodes that miss all windows are left with all below them. The leaves
+reached are opened best first, by their upper bounds, until none can improve the
+best found in any window, and their rows are scored exactly. Cells are skipped by
+the same bounds before a query is sent to them. Every part returns
 its best rows of each window, and the best of those are the result: it is exact,
 nothing is estimated.
 
@@ -37,7 +38,6 @@ error; other columns are not looked at.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +50,8 @@ from recordloom.llm.common import lowest
 
 POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH = 30, 90
-CENTRES = 64
-LEAF_ROWS = 32
+CENTRES = 16
+LEAF_ROWS = 128
 MOST_CELLS = 1024
 SAMPLE = 4096
 # Rows of a part, and parts for each shuffle partition where rows are few.
@@ -104,72 +104,79 @@ def net(x: np.ndarray, most: int, apart: float) -> tuple[np.ndarray, np.ndarray,
 
 
 class CoverTree:
-    """Nodes with the rows they hold themselves, and their children's centres and covering radii."""
+    """Levels of nodes with centres, covering radii and parents; the last level are leaves, whose rows lie together."""
 
     def __init__(self, x: np.ndarray, norm: float, exact: bool = True):
-        self.x, self.lifted = _numbers(x, exact), lift(x, norm)
+        lifted = lift(x, norm)
         self.slack = _SLACK * max(norm, 1.0)
-        self.held: list[np.ndarray] = []
-        self.kids: list[list[int]] = []
-        self.centres: list[np.ndarray] = []
-        self.radii: list[np.ndarray] = []
-        self.radius = float(np.sqrt(((self.lifted - self.lifted[0]) ** 2).sum(axis=1)).max()) if len(x) else 0.0
-        self._grow(np.arange(len(x)), self.radius)
-
-    def _grow(self, rows: np.ndarray, radius: float) -> int:
-        me = len(self.held)
-        for own in (self.held, self.kids, self.centres, self.radii):
-            own.append([])
-        if len(rows) <= LEAF_ROWS or radius <= self.slack:
-            self.held[me] = rows
-            return me
-        centres, near, far = net(self.lifted[rows], CENTRES, radius / 2)
-        order = np.argsort(near, kind="stable")
-        ends = np.cumsum(np.bincount(near, minlength=len(centres)))
-        alone, spread = [], []
-        for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
-            own = order[a:b]
-            if b - a == 1:
-                alone.append(rows[own[0]])
-            elif b > a:
-                spread.append((rows[centres[i]], rows[own], float(far[own].max())))
-        self.held[me] = np.array(alone, np.int64)
-        self.kids[me] = [self._grow(own, reach) for _, own, reach in spread]
-        self.centres[me] = self.x[[c for c, _, _ in spread]].astype(float) if spread else np.zeros((0, self.x.shape[1]))
-        self.radii[me] = np.array([reach for _, _, reach in spread]) + self.slack
-        return me
-
-    def search(self, query: np.ndarray, allowed: np.ndarray, ids: np.ndarray, windows: list[tuple[float, float]], k: int) -> list[list[tuple[int, int, int]]]:
+        far = float(np.sqrt(((lifted - lifted[0]) ** 2).sum(axis=1)).max())
+        level = [(0, np.arange(len(x)), far)]  # of each node its centre, rows and covering radius
+        parents = [0]
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while True:
+            centres, radii = x[[c for c, _, _ in level]].astype(float), np.array([r for _, _, r in level]) + self.slack
+            self.levels.append((centres, radii, np.array(parents)))
+            if all(self._ends(rows, radius) for _, rows, radius in level):
+                break
+            below, parents = [], []
+            for number, (centre, rows, radius) in enumerate(level):
+                kids = [(centre, rows, radius)] if self._ends(rows, radius) else self._kids(lifted, rows, radius)
+                below += kids
+                parents += [number] * len(kids)
+            level = below
+        self.rows = np.concatenate([rows for _, rows, _ in level])
+        self.ends = np.cumsum([len(rows) for _, rows, _ in level])
+        self.x = _numbers(x[self.rows], exact)
+
+    def _ends(self, rows: np.ndarray, radius: float) -> bool:
+        return len(rows) <= LEAF_ROWS or radius <= self.slack
+
+    @staticmethod
+    def _kids(lifted: np.ndarray, rows: np.ndarray, radius: float) -> list[tuple[int, np.ndarray, float]]:
+        centres, near, far = net(lifted[rows], CENTRES, radius / 2)
+        return [(int(rows[centre]), rows[near == i], float(far[near == i].max())) for i, centre in enumerate(centres) if (near == i).any()]
+
+    def search(self, query: np.ndarray, allowed: np.ndarray, ids: np.ndarray, lows: list[float], highs: list[float], k: int) -> list[list[tuple[int, int, int]]]:
         """Of each window the k best allowed rows as (-score, id, row)."""
-        best: list[list[tuple[int, int, int]]] = [[] for _ in windows]
-        least = [low for low, _ in windows]
+        least, most = np.array(lows), np.array(highs)
+        best: list[list[tuple[int, int, int]]] = [[] for _ in lows]
         rough = query.astype(float)
         reach = float(np.sqrt((rough**2).sum())) * (1 + _SLACK)
-        queue = [(-np.inf, -np.inf, 0)]
-        while queue:
-            top, bottom, node = heapq.heappop(queue)
-            if not any(-top >= low and bottom <= high for low, (_, high) in zip(least, windows, strict=True)):
-                if all(-top < low for low in least):
-                    break
+        up = down = alive = np.zeros(0)
+        for number, (centres, radii, parents) in enumerate(self.levels):
+            nodes = np.flatnonzero(alive[parents]) if number else np.zeros(1, int)
+            middle, width = centres[nodes] @ rough, reach * radii[nodes] + self.slack
+            up, down = middle + width, middle - width
+            hit = ((up[:, None] >= least) & (down[:, None] <= most)).any(axis=1)
+            nodes, up, down = nodes[hit], up[hit], down[hit]
+            alive = np.zeros(len(centres), bool)
+            alive[nodes] = True
+        # Leaves in the order of their upper bounds; more are opened at once the longer it takes.
+        order = np.argsort(-up, kind="stable")
+        nodes, up, down = nodes[order], up[order], down[order]
+        at, step = 0, 1
+        while at < len(nodes):
+            useful = ((up[at:, None] >= least) & (down[at:, None] <= most)).any(axis=1)
+            if not useful.any():
+                break
+            opened = nodes[at : at + step][useful[:step]]
+            at, step = at + step, step * 2
+            if not len(opened):
                 continue
-            rows = self.held[node]
-            rows = rows[allowed[rows]] if len(rows) else rows
-            if len(rows):
-                scores = self.x[rows] @ query
-                for w, (_, high) in enumerate(windows):
-                    hits = np.flatnonzero((scores >= least[w]) & (scores <= high))
-                    if len(hits) > k:
-                        hits = hits[np.lexsort((ids[rows[hits]], -scores[hits]))][:k]
-                    if len(hits):
-                        found = [(-int(s), i, r) for s, i, r in zip(scores[hits], ids[rows[hits]].tolist(), rows[hits].tolist(), strict=True)]
-                        best[w] = sorted(best[w] + found)[:k]
-                        if len(best[w]) == k:
-                            least[w] = max(least[w], -best[w][-1][0])
-            if self.kids[node]:
-                middle = self.centres[node] @ rough
-                width = reach * self.radii[node] + self.slack
-                for up, down, kid in zip((-(middle + width)).tolist(), (middle - width).tolist(), self.kids[node], strict=True):
-                    heapq.heappush(queue, (up, down, kid))
+            places = np.concatenate([np.arange(self.ends[n - 1] if n else 0, self.ends[n]) for n in opened])
+            places = places[allowed[places]]
+            scores = self.x[places] @ query
+            fine = (scores >= least.min()) & (scores <= most.max())
+            places, scores = places[fine], scores[fine]
+            for w in range(len(best)):
+                hits = np.flatnonzero((scores >= least[w]) & (scores <= most[w]))
+                if len(hits) > k:
+                    hits = hits[np.lexsort((ids[places[hits]], -scores[hits]))][:k]
+                if len(hits):
+                    found = zip(scores[hits].tolist(), ids[places[hits]].tolist(), self.rows[places[hits]].tolist(), strict=True)
+                    best[w] = sorted(best[w] + [(-int(score), i, row) for score, i, row in found])[:k]
+                    if len(best[w]) == k:
+                        least[w] = max(least[w], -best[w][-1][0])
         return best
 
 
@@ -250,7 +257,7 @@ class Index:
         held = held.select("cell", "part", "row", "vec_id", "label", "x", none.cast("array<long>").alias("keys"), none.cast("array<double>").alias("lows"), none.cast("array<double>").alias("highs"), F.lit(0).alias("question"))
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, waiting, tree, ids, labels, rows = None, [], None, None, None, None
+            key, waiting, tree, ids, labels, rows, numbers = None, [], None, None, None, None, None
             for batch in batches:
                 out: dict[str, list] = {name: [] for name in ("row", "key", "vec_id", "found", "score")}
                 keys = np.stack([batch.column(n).to_numpy() for n in ("cell", "part", "question")], axis=1)
@@ -268,10 +275,12 @@ class Index:
                         part = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
                         ids, labels, rows = (part.column(n).to_numpy(zero_copy_only=False) for n in ("vec_id", "label", "row"))
                         tree, waiting = CoverTree(_matrix(part.column("x")), norm, exact), []
+                        # In the order of the leaves, as the tree has its rows.
+                        ids, labels, numbers = ids[tree.rows], labels[tree.rows], rows[tree.rows]
                     asking = _numbers(_matrix(piece.column("x")), exact)
                     for i, (row, label, names, lows, highs) in enumerate(zip(*(piece.column(n).to_pylist() for n in ("row", "label", "keys", "lows", "highs")), strict=True)):
-                        allowed = (labels == label) & (rows != row) if same_label else labels != label
-                        for name, hits in zip(names, tree.search(asking[i], allowed, ids, list(zip(lows, highs, strict=True)), k), strict=True):
+                        allowed = (labels == label) & (numbers != row) if same_label else labels != label
+                        for name, hits in zip(names, tree.search(asking[i], allowed, ids, lows, highs, k), strict=True):
                             for score, vec_id, at in hits:
                                 for column, value in (("row", row), ("key", name), ("vec_id", vec_id), ("found", int(rows[at])), ("score", -score)):
                                     out[column].append(value)

@@ -11,8 +11,8 @@ least t = ceil(``LEAST`` * n / 100) shingles, and as many seen from m. So the
 first n - t + l of one and the first m - t + l of the other share at least l,
 for every l; two documents with prefixes made for l and l' share at least the
 smaller of both. Each document takes the l with the least estimated cost: a
-longer prefix is more rows, but ``PAIR_COST`` times its expected partners,
-bounded by the summed frequencies divided by l, gets less.
+longer prefix is more rows, but fewer partners are expected to be verified, at
+most the summed frequencies of its shingles divided by l.
 
 Candidates. Equal sets are one class, so copies are never paired. Groups hold
 the classes with one shingle in their prefix and sizes that may fit. Each class
@@ -49,7 +49,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.durable import materialise
@@ -60,12 +60,15 @@ WIDTH = 4
 LEAST = 85
 # Counters of the sketch; its size does not depend on the data.
 COUNTERS = 1 << 18
-# What a candidate costs, in rows of a prefix.
-PAIR_COST = 8
-MOST_MATCHES = 8
+# What a candidate costs, in rows of a prefix for each shingle of the document: its whole text is brought.
+PAIR_COST = 0.5
+# Partners that a shingle is expected to have if its counter shows none.
+EXPECTED = 0.1
+# Classes of a group whose pairs are rows of a join, and of a part of a larger group.
 BLOCK = 256
-# Pivots are drawn again while this share of the pairs tried is linked.
-WORTH = 0.02
+PART_ROWS = 1024
+# Pivots are drawn again while this share of the pairs tried is linked; so many are tried for a class.
+WORTH, TRIES = 0.25, 8
 # Shingles that are counted at once in a group.
 COLUMNS = 4096
 # Bytes that are hashed at once, and digests that a task remembers.
@@ -173,10 +176,10 @@ def prefix(own: np.ndarray, counts: np.ndarray, common: float) -> tuple[int, np.
     order = np.lexsort((own, seen))
     t = needed(len(own))
     shortest = len(own) - t + 1
-    extra = np.cumsum(np.maximum(seen[order] - common, 0))
-    matches = np.arange(1, min(MOST_MATCHES, t) + 1)
+    partners = np.cumsum(np.maximum(seen[order] - common, EXPECTED))
+    matches = np.arange(1, t + 1)
     lengths = shortest + matches - 1
-    best = int((lengths + PAIR_COST * extra[lengths - 1] / matches).argmin())
+    best = int((lengths + PAIR_COST * len(own) * partners[lengths - 1] / matches).argmin())
     return int(matches[best]), own[order[: lengths[best]]]
 
 
@@ -222,13 +225,17 @@ def prints(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def members(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """token, c, n, matches: the classes of each shingle that stands in prefixes of several classes."""
-    postings = rows.where("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "c", "key", "n", "matches")
+    """token, lead, c, n, matches: the classes of each shingle that stands in prefixes of several classes.
+
+    ``lead`` marks the part of a prefix that would be asked for one match; two
+    linked classes share a shingle of that part of both.
+    """
+    postings = rows.where("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "token"), F.expr("size(prefix) - matches + 1").alias("leads"), "c", "key", "n", "matches")
+    postings = postings.withColumn("lead", F.col("pos") < F.col("leads")).drop("pos", "leads")
     shared = postings.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("token")
     found = materialise(postings.drop("key").join(shared, "token"), "shingle-buckets")
     # The rows of a class have the same prefix; its first row stands for all.
-    first = classes.select("c")
-    return materialise(found.join(first, "c", "left_semi"), "shingle-members")
+    return materialise(found.join(classes.select("c"), "c", "left_semi"), "shingle-members")
 
 
 def _grouped(buckets: DataFrame) -> DataFrame:
@@ -240,7 +247,7 @@ def _grouped(buckets: DataFrame) -> DataFrame:
     """
     width = math.log(100 / (LEAST - 0.5))  # a little wide, against rounding
     both = F.expr("array(struct(band, 0 AS side), struct(band - 1 AS band, 1 AS side))")
-    return buckets.withColumn("band", F.floor(F.log("n") / width).cast("int")).withColumn("b", F.explode(both)).drop("band").select("token", "b.band", "b.side", "c", "n", "matches")
+    return buckets.withColumn("band", F.floor(F.log("n") / width).cast("int")).withColumn("b", F.explode(both)).drop("band").select("token", "lead", "b.band", "b.side", "c", "n", "matches")
 
 
 def star_pairs(buckets: DataFrame) -> DataFrame:
@@ -256,31 +263,37 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def mixed_groups(buckets: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of all groups that hold several components, with their number of parts ``k``; written once."""
+    """The rows of all groups that hold several components, with the number of parts ``k`` of large ones; written once."""
     comps = components(edges).select(F.col("node").alias("c"), "root")
     placed = _grouped(buckets).join(comps, "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
     mixed = placed.groupBy("token", "band").agg(F.count("*").alias("size"), F.min("side").alias("side"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b AND side = 0")
-    mixed = mixed.select("token", "band", F.ceil(F.col("size") / block).cast("int").alias("k"))
+    mixed = mixed.select("token", "band", F.when(F.col("size") > block, F.ceil(F.col("size") / PART_ROWS)).otherwise(0).cast("int").alias("k"))
     return materialise(placed.join(mixed, ["token", "band"]), "shingle-mixed")
 
 
 def drawn_pairs(left: DataFrame, turn: int) -> DataFrame:
-    """x, c: the classes of every group of several parts with one that is drawn for the group, where components differ and sizes fit."""
-    hot = left.where("k > 1")
+    """x, c: classes of large groups with some that are drawn for their groups, where components differ and sizes fit."""
+    hot = left.where("k > 0 AND lead")
     draw = F.xxhash64("c", "token", "band", F.lit(turn))
     drawn = hot.where("side = 0").groupBy("token", "band").agg(F.min(draw).alias("draw"))
     pivots = hot.withColumn("draw", draw).join(drawn, ["token", "band", "draw"]).where("side = 0")
     pivots = pivots.select("token", "band", F.col("c").alias("x"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
     pairs = hot.join(pivots, ["token", "band"]).where(f"comp <> other_comp AND 100 * least(n, other_n) >= {LEAST} * greatest(n, other_n)")
-    return materialise(pairs.select("x", "c").distinct(), "shingle-drawn")
+    some = Window.partitionBy("c").orderBy(F.xxhash64("x", F.lit(turn)))
+    pairs = pairs.select("x", "c").distinct().withColumn("try", F.row_number().over(some))
+    # Only a start: what is not tried here is compared later.
+    return materialise(pairs.where(F.col("try") <= TRIES).select("x", "c"), "shingle-drawn")
 
 
 def crossing_pairs(left: DataFrame) -> DataFrame:
-    """x, c: the pairs of different components that share enough prefix shingles in groups of one part."""
-    few = left.where("k = 1")
-    other = few.select("token", "band", *[F.col(name).alias(f"other_{name}") for name in ("side", "c", "n", "matches", "comp")])
+    """x, c: the pairs of different components that meet in small groups and may share enough prefix shingles."""
+    many = left.where("k > 0").groupBy("c", "band").agg(F.count("*").alias("unseen"))
+    few = left.where("k = 0").join(many, ["c", "band"], "left").withColumn("unseen", F.coalesce("unseen", F.lit(0)))
+    other = few.select("token", "band", *[F.col(name).alias(f"other_{name}") for name in ("side", "c", "n", "matches", "comp", "unseen")])
     fits = f"c < other_c AND comp <> other_comp AND side + other_side < 2 AND 100 * least(n, other_n) >= {LEAST} * greatest(n, other_n)"
-    met = few.join(other, ["token", "band"]).where(fits).groupBy("c", "other_c").agg(F.count("*").alias("shared"), F.first(F.least("matches", "other_matches")).alias("least"))
+    # What a class has in large groups may be shared as well.
+    least = F.least("matches", "other_matches") - F.least("unseen", "other_unseen")
+    met = few.join(other, ["token", "band"]).where(fits).groupBy("c", "other_c").agg(F.count("*").alias("shared"), F.first(least).alias("least"))
     return materialise(met.where("shared >= least").select(F.col("c").alias("x"), F.col("other_c").alias("c")), "shingle-crossing")
 
 
@@ -307,27 +320,33 @@ def _shared(lists: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> n
     return shared
 
 
-def _linked(rows: list[dict], token: int, one_part: bool) -> Iterator[tuple[int, int]]:
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy())
+    return np.split(flat, ends[:-1])
+
+
+def _linked(rows: pa.Table, token: int, one_part: bool) -> Iterator[tuple[int, int]]:
     """Links of a group's rows (or of two parts of it), as a forest, among the pairs that have no smaller group."""
-    part, comp, side, n, matches, c = (np.array([r[name] for r in rows]) for name in ("part", "comp", "side", "n", "matches", "c"))
-    first, second = (np.arange(len(rows)),) * 2 if one_part else (np.flatnonzero(part == part.min()), np.flatnonzero(part != part.min()))
-    if len(first) == 0 or len(second) == 0:
+    rows = rows.combine_chunks().to_batches()[0]
+    part, comp, side, n, matches, c = (rows.column(name).to_numpy() for name in ("part", "comp", "side", "n", "matches", "c"))
+    first, second = (np.arange(len(n)),) * 2 if one_part else (np.flatnonzero(part == part.min()), np.flatnonzero(part != part.min()))
+    if not len(second) or (comp == comp[0]).all():
         return
     fine = (np.minimum(n[first][:, None], n[second]) * 100 >= LEAST * np.maximum(n[first][:, None], n[second])) & (comp[first][:, None] != comp[second])
     fine &= side[first][:, None] + side[second] < 2
     if one_part:
         fine &= first[:, None] < second
-    fine &= _shared([np.array(r["list"]) for r in rows], first, second) >= np.minimum(matches[first][:, None], matches[second])
-    hot = [np.array(r["hot"]) for r in rows]
-    fine &= _shared([own[own < token] for own in hot], first, second) == 0
-    used = np.union1d(first[fine.any(axis=1)], second[fine.any(axis=0)])
-    if not len(used):
+    fine &= _shared(_lists(rows.column("list")), first, second) >= np.minimum(matches[first][:, None], matches[second])
+    fine &= _shared([own[own < token] for own in _lists(rows.column("hot"))], first, second) == 0
+    used = np.zeros(len(n), bool)
+    used[first[fine.any(axis=1)]] = used[second[fine.any(axis=0)]] = True
+    if not used.any():
         return
-    found = shingle_sets([rows[i]["text"].encode() if i in set(used.tolist()) else None for i in range(len(rows))])
+    found = shingle_sets([text if u else None for text, u in zip(text_bytes(rows), used.tolist(), strict=True)])
     same = _shared(found, first, second)
     size = np.array([len(own) for own in found], float)
     fine &= 100 * same >= LEAST * (size[first][:, None] + size[second] - same)
-    root = list(range(len(rows)))
+    root = list(range(len(n)))
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -343,30 +362,35 @@ def _linked(rows: list[dict], token: int, one_part: bool) -> Iterator[tuple[int,
 
 
 def links_in_parts(left: DataFrame, texts: DataFrame) -> DataFrame:
-    """u, v: links of the pairs that meet in a group of several parts, as a forest of each pair of parts."""
-    hot = left.where("k > 1")
+    """u, v: links of the pairs that meet in a large group, as a forest of each pair of its parts."""
+    hot = left.where("k > 0 AND lead")
     # All shingles that two classes of different components share are in mixed groups of both.
     lists = left.join(hot.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.collect_set("token").alias("list"))
     hots = hot.groupBy("c", "band").agg(F.collect_set("token").alias("hot"))
     both = F.expr("transform(sequence(0, k - 1), j -> struct(least(part, j) AS i, greatest(part, j) AS j))")
-    dealt = hot.withColumn("part", F.pmod(F.xxhash64("c"), F.col("k")).cast("int")).withColumn("p", F.explode(both))
-    dealt = dealt.join(lists, "c").join(hots, ["c", "band"]).join(texts, "c")
+    own = hot.join(lists, "c").join(hots, ["c", "band"]).join(texts, "c")
+    dealt = own.withColumn("part", F.pmod(F.xxhash64("c"), F.col("k")).cast("int")).withColumn("p", F.explode(both))
     keys = ["token", "band", "i", "j"]
     dealt = dealt.select("token", "band", "p.i", "p.j", "c", "comp", "part", "side", "n", "matches", "list", "hot", "text")
     short_batches(left.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-        for batch in chain(batches, [None]):
-            links: list[tuple[int, int]] = []
-            for row in batch.to_pylist() if batch is not None else [dict.fromkeys(keys)]:
-                own = tuple(row[name] for name in keys)
+        key, held = None, []
+
+        def ended() -> pa.RecordBatch:
+            links = list(_linked(pa.Table.from_batches(held), key[0], key[2] == key[3])) if held else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            rows = np.stack([batch.column(name).to_numpy().astype(np.int64) for name in keys], axis=1)
+            edges = np.flatnonzero((np.diff(rows, axis=0) != 0).any(axis=1)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(rows)], strict=True):
+                own = tuple(rows[a].tolist()) if b > a else key
                 if own != key:
-                    if len(rows) > 1:
-                        links += _linked(rows, key[0], key[2] == key[3])
-                    key, rows = own, []
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["u", "v"])
+                    yield ended()
+                    key, held = own, []
+                held.append(batch.slice(a, b - a))
+        yield ended()
 
     return materialise(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long").distinct(), "shingle-links")
 

@@ -15,7 +15,8 @@ longer prefix is more rows, but fewer partners are expected to be verified, at
 most the summed frequencies of its shingles divided by l.
 
 Candidates. Equal sets are one class, so copies are never paired. Groups hold
-the classes with one shingle in their prefix and sizes that may fit. Each class
+the classes with one shingle in their prefix and sizes that may fit; a class that
+is in fewer groups than it would have to share with anyone is left out. Each class
 is first paired with one pivot of its group, the same in all groups of near
 copies, and verified where both share enough prefix shingles in such groups.
 What these links connect is one component, and pairs inside it need no further
@@ -184,7 +185,7 @@ def prefix(own: np.ndarray, counts: np.ndarray, common: float) -> tuple[int, np.
 
 
 def prints(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """c (row number), doc_id, text_hash, digest, key, n, matches, prefix of every row; written once.
+    """c (row number), doc_id, text_hash, digest, n, matches, prefix of every row; written once.
 
     A task gives the prefix of equal sets once, so copies are few before anything is shuffled.
     """
@@ -221,7 +222,7 @@ def prints(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = slim.mapInArrow(run, f"doc_id {kind}, text_hash long, digest binary, n long, matches long, prefix array<long>")
-    return materialise(made.withColumns({"c": F.monotonically_increasing_id(), "key": F.xxhash64("digest")}), "shingle-prints")
+    return materialise(made.withColumn("c", F.monotonically_increasing_id()), "shingle-prints")
 
 
 def members(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -230,42 +231,48 @@ def members(rows: DataFrame, classes: DataFrame) -> DataFrame:
     ``lead`` marks the part of a prefix that would be asked for one match; two
     linked classes share a shingle of that part of both.
     """
-    postings = rows.where("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "token"), F.expr("size(prefix) - matches + 1").alias("leads"), "c", "key", "n", "matches")
+    postings = rows.where("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "token"), F.expr("size(prefix) - matches + 1").alias("leads"), "c", "n", "matches")
     postings = postings.withColumn("lead", F.col("pos") < F.col("leads")).drop("pos", "leads")
-    shared = postings.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("token")
-    found = materialise(postings.drop("key").join(shared, "token"), "shingle-buckets")
+    shared = postings.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("token")
+    found = materialise(postings.join(shared, "token"), "shingle-buckets")
     # The rows of a class have the same prefix; its first row stands for all.
     return materialise(found.join(classes.select("c"), "c", "left_semi"), "shingle-members")
 
 
-def _grouped(buckets: DataFrame) -> DataFrame:
-    """token, band, side and the class: classes of a bucket that may be alike in size meet in one group.
+def groups(buckets: DataFrame) -> DataFrame:
+    """token, band, side and the class: classes of a bucket that may be alike in size meet in one group; written once.
 
     Sizes that fit lie in one band or in neighbouring ones. A group has the
     classes of a band (side 0) and of the one above (side 1); pairs of side 1
-    meet in their own group, so every pair that fits meets once in a bucket.
+    meet in their own group, so every pair that fits meets once in a bucket, and
+    always in the same band. Classes that share fewer shingles in a band than
+    any of the classes met there asks for are left out of it.
     """
     width = math.log(100 / (LEAST - 0.5))  # a little wide, against rounding
     both = F.expr("array(struct(band, 0 AS side), struct(band - 1 AS band, 1 AS side))")
-    return buckets.withColumn("band", F.floor(F.log("n") / width).cast("int")).withColumn("b", F.explode(both)).drop("band").select("token", "lead", "b.band", "b.side", "c", "n", "matches")
+    grouped = buckets.withColumn("band", F.floor(F.log("n") / width).cast("int")).withColumn("b", F.explode(both)).drop("band")
+    grouped = grouped.select("token", "lead", "b.band", "b.side", "c", "n", "matches")
+    met, own = Window.partitionBy("token", "band"), Window.partitionBy("c", "band")
+    grouped = grouped.withColumns({"size": F.count("*").over(met), "low": F.min("side").over(met), "asked": F.least("matches", F.min("matches").over(met))})
+    grouped = grouped.where("size > 1 AND low = 0").withColumns({"have": F.count("*").over(own), "asked": F.min("asked").over(own)})
+    return materialise(grouped.where("have >= asked").drop("size", "low", "asked", "have"), "shingle-groups")
 
 
-def star_pairs(buckets: DataFrame) -> DataFrame:
+def star_pairs(grouped: DataFrame) -> DataFrame:
     """x, c: every class with the pivots of its groups, where sizes fit and enough of these groups agree."""
-    grouped = _grouped(buckets)
     pivots = grouped.groupBy("token", "band").agg(F.min(F.expr("if(side = 0, c, NULL)")).alias("x"), F.count("*").alias("size"))
     pivots = pivots.where("size > 1 AND x IS NOT NULL").select("token", "band", "x")
     pairs = grouped.join(pivots, ["token", "band"]).where("c <> x")
     pairs = pairs.groupBy("x", "c").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("matches").alias("matches"))
-    info = buckets.select(F.col("c").alias("x"), F.col("n").alias("other_n"), F.col("matches").alias("other_matches")).distinct()
+    info = grouped.select(F.col("c").alias("x"), F.col("n").alias("other_n"), F.col("matches").alias("other_matches")).distinct()
     fine = f"100 * least(n, other_n) >= {LEAST} * greatest(n, other_n) AND shared >= least(matches, other_matches)"
     return materialise(pairs.join(info, "x").where(fine).select("x", "c"), "shingle-stars")
 
 
-def mixed_groups(buckets: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:
+def mixed_groups(grouped: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of all groups that hold several components, with the number of parts ``k`` of large ones; written once."""
     comps = components(edges).select(F.col("node").alias("c"), "root")
-    placed = _grouped(buckets).join(comps, "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
+    placed = grouped.join(comps, "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
     mixed = placed.groupBy("token", "band").agg(F.count("*").alias("size"), F.min("side").alias("side"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b AND side = 0")
     mixed = mixed.select("token", "band", F.when(F.col("size") > block, F.ceil(F.col("size") / PART_ROWS)).otherwise(0).cast("int").alias("k"))
     return materialise(placed.join(mixed, ["token", "band"]), "shingle-mixed")
@@ -440,10 +447,10 @@ def near_sets(docs: DataFrame) -> DataFrame:
     least = F.min_by(F.struct("c", "doc_id", "text_hash"), "c").alias("first")
     classes = rows.where("n > 0").groupBy("digest").agg(least, F.min("doc_id").alias("least"))
     classes = materialise(classes.select("digest", "first.*", "least"), "shingle-classes")
-    buckets = members(rows, classes)
-    texts = _texts(docs, classes.join(buckets.select("c").distinct(), "c", "left_semi"))
-    edges = verify(star_pairs(buckets), texts)
-    left = mixed_groups(buckets, edges)
+    grouped = groups(members(rows, classes))
+    texts = _texts(docs, classes.join(grouped.select("c").distinct(), "c", "left_semi"))
+    edges = verify(star_pairs(grouped), texts)
+    left = mixed_groups(grouped, edges)
     turn = 0
     while True:
         # Large groups of near copies whose members are not all like one pivot.
@@ -452,9 +459,11 @@ def near_sets(docs: DataFrame) -> DataFrame:
         if not tried:
             break
         new = verify(pairs, texts)
-        edges = materialise(edges.unionByName(new).distinct(), "shingle-edges")
-        left, turn = mixed_groups(buckets, edges), turn + 1
-        if new.count() < WORTH * tried:
+        linked = new.count()
+        if linked:
+            edges = materialise(edges.unionByName(new).distinct(), "shingle-edges")
+            left, turn = mixed_groups(grouped, edges), turn + 1
+        if linked < WORTH * tried:
             break
     rest = verify(crossing_pairs(left), texts).unionByName(links_in_parts(left, texts))
     found = components(materialise(edges.unionByName(rest).distinct(), "shingle-edges"))

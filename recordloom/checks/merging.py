@@ -35,6 +35,28 @@ def merge_outer(spark: SparkSession, folder: str) -> DataFrame:
     return merge.merge(_accounts(spark, folder)).drop(ORD)
 
 
+def _visits(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """Orders and events of customers; many of both for one customer, and some of no known one."""
+    bought = table(spark, folder, "orders").select(
+        F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("customer_id"), "o_orderkey", F.col("o_orderkey").alias(ORD)
+    )
+    seen = table(spark, folder, "events").select(
+        F.when(F.col("event_id") % 50 != 0, F.col("user_id").cast("string")).alias("customer_id"), "event_id", F.col("event_id").alias(ORD)
+    )
+    return [bought, seen]
+
+
+def merge_size(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows a merge with many rows on both sides of a key would give."""
+    return merge.merge_size(*_visits(spark, folder))
+
+
+def hot_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """The keys that would give most of them."""
+    found = merge.hot_keys(*_visits(spark, folder), 20)
+    return found.select(F.col("key.customer_id").alias("customer_id"), "left_rows", "right_rows", F.col("merged_rows").cast("long").alias("merged_rows"))
+
+
 def merge_two_keys(spark: SparkSession, folder: str) -> DataFrame:
     """All shared keys must match."""
     base = table(spark, folder, "orders")
@@ -131,7 +153,19 @@ def cross_file_graph(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.join(edges, nodes["id"] == edges["source"]).select("id", "label", "target")
 
 
+_VISITS = """
+    WITH l AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN CAST(o_custkey AS VARCHAR) END AS k, count(*) AS n FROM orders GROUP BY 1),
+    r AS (SELECT CASE WHEN event_id % 50 <> 0 THEN CAST(user_id AS VARCHAR) END AS k, count(*) AS n FROM events GROUP BY 1),
+    s AS (
+        SELECT coalesce(l.k, r.k) AS k, coalesce(l.n, 0) AS left_rows, coalesce(r.n, 0) AS right_rows,
+               CAST(CASE WHEN l.n * r.n > 0 THEN l.n * r.n ELSE coalesce(l.n, r.n) END AS BIGINT) AS merged_rows
+        FROM l FULL JOIN r ON l.k IS NOT DISTINCT FROM r.k
+    )
+"""
+
 QUERIES = {
+    "merge_size": merge_size,
+    "hot_keys": hot_keys,
     "merge_outer": merge_outer,
     "merge_two_keys": merge_two_keys,
     "merge_coalesce": merge_coalesce,
@@ -164,6 +198,11 @@ _LINKED = """
 """
 
 SQL = {
+    "merge_size": f"""
+        {_VISITS} SELECT CAST(sum(merged_rows) AS BIGINT) AS merged_rows, CAST(coalesce(sum(merged_rows) FILTER (k IS NULL), 0) AS BIGINT) AS null_key_rows,
+                         max(merged_rows) AS largest_key_rows FROM s
+    """,
+    "hot_keys": f"{_VISITS} SELECT k AS customer_id, left_rows, right_rows, merged_rows FROM s ORDER BY merged_rows DESC, k NULLS FIRST LIMIT 20",
     "merge_outer": """
         SELECT coalesce(a.account_id, b.account_id) AS account_id, holder, firm
         FROM (SELECT nullif(c_custkey, 5) AS account_id, c_name AS holder FROM customer) a

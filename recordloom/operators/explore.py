@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recordloom.durable import materialise
 from recordloom.functions.cells import col, is_blank, text_of, to_number, type_of
 from recordloom.functions.rows import ORD
 
 
 # A page is cut out of at most about this many rows in one task.
 SLICE_ROWS = 4096
-# Bounds between which rows are counted in one pass, and keys drawn to find them.
+# Keys drawn to find a slice that holds the page, and the fewest that are enough to try.
+DRAWN = 20_000
 BOUNDS = 64
-DRAWN = 2000
 
 REGEX_CHARACTERS = set("\\.^$*+?{}[]|()")
 NUMBER_CHARACTERS = set("0123456789+-.einfa")
@@ -89,10 +90,11 @@ def page(
     """One page of the sorted rows, at any depth.
 
     Rows are put into one total order: by the sort column, then by ``ties``
-    (the row position, or all columns where there is none). A drawn set of keys
-    cuts the order into ranges, rows are counted per range, and only the range
-    that holds the page is looked at further, until it is short enough to sort.
-    Counting moves a few numbers; the whole table is never sorted or moved.
+    (the row position, or all columns where there is none). A scan of the keys
+    counts the rows and draws some places, between two of which the page must
+    lie but for bad luck; a second scan writes the slice between them and
+    counts what comes before. Further cuts read only slices, until one is short
+    enough to sort. Only drawn keys reach the driver, never whole rows.
     """
     first = (number - 1) * limit
     if not by or by not in df.columns:
@@ -101,43 +103,61 @@ def page(
         by = None
     if not ties and ORD not in df.columns:
         ties = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    keys = sort_keys(df, by, order, ties)
-    tie_names = ties or [ORD]
-    place = F.struct(
+    keys, tie_names = sort_keys(df, by, order, ties), ties or [ORD]
+    rows, skipped, used, wide = df, first, 1, 1
+    while skipped + limit > SLICE_ROWS:
+        # Bounds are places as far as the first ties; more of them are looked at where those are all the same.
+        place = _place(by, tie_names[:used])
+        drawn, total = _drawn(rows, place, order)
+        if total <= max(SLICE_ROWS, skipped) or len(drawn) < BOUNDS:
+            break
+        share, slack = len(drawn) / total, wide * 2 * len(drawn) ** 0.5 + 1
+        low, high = int(skipped * share - slack), int((skipped + limit) * share + slack) + 1
+        part, before, held = _slice(rows, place, order, drawn[low] if low >= 0 else None, drawn[high] if high < len(drawn) else None)
+        if held == total:
+            if used >= len(tie_names):
+                break
+            used += 1
+        elif before > skipped or before + held < min(skipped + limit, total):
+            wide *= 2  # bad luck with the places drawn
+        else:
+            rows, skipped, wide = part, skipped - before, 1
+    return rows.orderBy(*keys).offset(skipped).limit(limit)
+
+
+def _place(by: str | None, ties: list[str]) -> Column:
+    """Where a row stands: unknown key, key, and ties, each behind its missing mark."""
+    return F.struct(
         (col(by).isNull() if by else F.lit(False)).alias("n"),
         (col(by) if by else F.lit(0)).alias("k"),
-        F.struct(*[c.alias(f"t{i}") for i, c in enumerate(x for name in tie_names for x in (col(name).isNull(), col(name)))]).alias("t"),
-    )
-    smaller = "<" if order == "asc" else ">"
-    # True if the place b stands strictly before the place p.
-    before = (
-        f"(b.n < p.n OR (b.n = p.n AND (coalesce(b.k {smaller} p.k, false) OR ((b.k = p.k OR b.n) AND b.t < p.t))))"
+        F.struct(*[c.alias(f"t{i}") for i, c in enumerate(x for name in ties for x in (col(name).isNull(), col(name)))]).alias("t"),
     )
-    rows, skipped = df, first
-    while True:
-        total = rows.count()
-        if skipped + limit <= SLICE_ROWS or total <= SLICE_ROWS:
-            return rows.orderBy(*keys).offset(skipped).limit(limit)
-        drawn = rows.select(place.alias("p")).where(F.rand(17) < DRAWN / total).limit(2 * DRAWN).sort(*_place_order(order)).collect()
-        bounds = [r["p"] for r in drawn[:: max(1, len(drawn) // BOUNDS)]][1:]
-        if not bounds:
-            return rows.orderBy(*keys).offset(skipped).limit(limit)
-        listed = F.array(*[_literal(b, place_type(rows, place)) for b in bounds])
-        ranged = rows.withColumns({"_p": place, "_bounds": listed})
-        ranged = ranged.withColumn("_range", F.expr(f"size(filter(_bounds, b -> coalesce({before.replace('p.', '_p.')}, false)))"))
-        counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}  # at most BOUNDS + 1
-        low, at = 0, 0
-        while low + counts.get(at, 0) <= skipped and at < len(bounds):
-            low += counts.get(at, 0)
-            at += 1
-        high, end = low + counts.get(at, 0), at
-        while high < skipped + limit and end < len(bounds):
-            end += 1
-            high += counts.get(end, 0)
-        if high - low == total:
-            return rows.orderBy(*keys).offset(skipped).limit(limit)
-        rows = ranged.where(F.col("_range").between(at, end)).drop("_p", "_bounds", "_range")
-        skipped -= low
+
+
+def _drawn(rows: DataFrame, place: Column, order: str) -> tuple[list, int]:
+    """Places of about ``DRAWN`` rows in order, and the number of rows; one scan of the keys."""
+    seen = Observation()
+    keyed = rows.select(place.alias("p")).observe(seen, F.count(F.lit(1)).alias("n"))
+    # The least of random numbers are a sample, whatever the number of rows.
+    drawn = keyed.withColumn("draw", F.rand(17)).orderBy("draw").limit(DRAWN).sort(*_place_order(order)).select("p").collect()
+    return [r["p"] for r in drawn], seen.get["n"]
+
+
+def _slice(rows: DataFrame, place: Column, order: str, low: object, high: object) -> tuple[DataFrame, int, int]:
+    """The rows from ``low`` to ``high``, written; how many come before, and how many it has."""
+    kind, smaller = place_type(rows, place), "<" if order == "asc" else ">"
+
+    def before(b: str, p: str) -> str:
+        """SQL: the place b stands strictly before the place p."""
+        return f"({b}.n < {p}.n OR ({b}.n = {p}.n AND (coalesce({b}.k {smaller} {p}.k, false) OR (({b}.k = {p}.k OR {b}.n) AND {b}.t < {p}.t))))"
+
+    none = F.lit(None).cast(kind)
+    marked = rows.withColumns({"_p": place, "_low": none if low is None else _literal(low, kind), "_high": none if high is None else _literal(high, kind)})
+    marked = marked.withColumns({"_early": F.expr(f"coalesce({before('_p', '_low')}, false)"), "_late": F.expr(f"coalesce({before('_high', '_p')}, false)")})
+    seen = Observation()
+    marked = marked.observe(seen, F.count_if("_early").alias("before"), F.count_if(~F.col("_early") & ~F.col("_late")).alias("held"))
+    part = materialise(marked.where("NOT _early AND NOT _late").drop("_p", "_low", "_high", "_early", "_late"), "slice")
+    return part, seen.get["before"], seen.get["held"]
 
 
 def _place_order(order: str) -> list[Column]:

@@ -140,21 +140,74 @@ def append(left: DataFrame, right: DataFrame) -> DataFrame:
     return lined_up(left, first).unionByName(lined_up(right, second))
 
 
-def merge(tables: list[DataFrame]) -> DataFrame:
+def key_sizes(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``key, left_rows, right_rows, merged_rows`` of every key value, null ones included, without joining any row.
+
+    ``key`` is a struct of the key columns in the types they are compared in.
+    """
+    left_types = {f.name: f.dataType for f in left.schema.fields}
+    right_types = {f.name: f.dataType for f in right.schema.fields}
+    kinds = {k: _key_alike(left_types[k], right_types[k]) for k in keys}
+
+    def counted(df: DataFrame, types: dict[str, T.DataType], mark: str) -> DataFrame:
+        cells = [F.expr(_key_as(quoted(k), types[k], kinds[k])).alias(k) for k in keys]
+        return df.select(F.struct(*cells).alias("key"), F.lit(mark).alias("side"))
+
+    sides = counted(left, left_types, "l").unionByName(counted(right, right_types, "r"))
+    sizes = sides.groupBy("key").agg(F.count_if(F.col("side") == "l").alias("left_rows"), F.count_if(F.col("side") == "r").alias("right_rows"))
+    exact = "decimal(38,0)"
+    both = F.col("left_rows").cast(exact) * F.col("right_rows").cast(exact)
+    one = (F.col("left_rows") + F.col("right_rows")).cast(exact)
+    return sizes.withColumn("merged_rows", F.when(both > 0, both).otherwise(one).cast(exact))
+
+
+def merge_size(left: DataFrame, right: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row: how many rows a merge gives, how many of them for null keys, and for the largest key.
+
+    The number is exact: keys with n and m rows give n * m, keys of one side
+    their own rows; without a shared key the tables are appended.
+    """
+    keys = shared_keys(left, right) if keys is None else keys
+    if not keys:
+        total = left.select(F.lit(1)).unionByName(right.select(F.lit(1))).agg(F.count("*").alias("merged_rows"))
+        return total.select("merged_rows", F.lit(0).cast("long").alias("null_key_rows"), F.lit(0).cast("long").alias("largest_key_rows"))
+    sizes = key_sizes(left, right, keys)
+    unknown = reduce(lambda a, b: a | b, [F.col("key")[k].isNull() for k in keys])
+    zero = F.lit(0).cast("decimal(38,0)")
+    return sizes.agg(
+        F.coalesce(F.sum("merged_rows"), zero).cast("long").alias("merged_rows"),
+        F.coalesce(F.sum(F.when(unknown, F.col("merged_rows"))), zero).cast("long").alias("null_key_rows"),
+        F.coalesce(F.max("merged_rows"), zero).cast("long").alias("largest_key_rows"),
+    )
+
+
+def hot_keys(left: DataFrame, right: DataFrame, n: int = 10, keys: list[str] | None = None) -> DataFrame:
+    """The ``n`` key values that give most rows."""
+    keys = shared_keys(left, right) if keys is None else keys
+    return key_sizes(left, right, keys).orderBy(F.desc("merged_rows"), "key").limit(n)
+
+
+def merge(tables: list[DataFrame], most_rows: int | None = None) -> DataFrame:
     """Left fold over the tables; ``_ord`` of the result is a sortable struct.
 
     Two tables give one lazy plan. With more, the table merged so far is written
     before it is joined again: a join reads it three times, and plans that held
     all earlier joins three times over would grow out of hand.
+
+    With ``most_rows`` the size of every merge is worked out before it is run,
+    and a merge that would give more rows is refused, naming its largest keys.
     """
     parts = [df if ORD in df.columns else with_order(df) for df in tables]
     merged, joined = parts[0], False
     for part in parts[1:]:
         keys = shared_keys(merged, part)
-        if keys:
-            merged = full_outer(materialise(merged, "merging") if joined else merged, part, keys)
-        else:
-            merged = append(merged, part)
+        merged = materialise(merged, "merging") if keys and joined else merged
+        if most_rows is not None:
+            rows = merge_size(merged, part, keys).first()["merged_rows"]
+            if rows > most_rows:
+                worst = [f"{tuple(r['key'])}: {r['merged_rows']}" for r in hot_keys(merged, part, 5, keys).collect()] if keys else []
+                raise ValueError(f"merging on {keys} gives {rows} rows, more than {most_rows}; largest keys {'; '.join(worst)}")
+        merged = full_outer(merged, part, keys) if keys else append(merged, part)
         joined = joined or bool(keys)
     return merged
 

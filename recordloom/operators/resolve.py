@@ -120,18 +120,19 @@ def _pointers(df: DataFrame, keys: list[str], group_rows: int, chunk_bits: int)
     return rows
 
 
-def _jump(links: DataFrame) -> DataFrame | None:
-    """Follow ``target`` to the end of each chain by doubling; null if there are no chains.
+def _jump(links: DataFrame, targets: DataFrame) -> DataFrame | None:
+    """The ends of the chains that begin at ``targets``; null if none of those points anywhere.
 
-    A row is done when the row it points at points nowhere. Only the others go
-    into the next round, which halves the distance that is left.
+    Only rows that something points at are looked up at the end, so only they
+    are followed, by doubling. Of the rows that a round reads, those are kept
+    that a row still on its way points at: what has been passed is spliced out,
+    and a round reads at most two rows for each one still on its way.
     """
-    done: list[DataFrame] = []
-    active = links
+    active = materialise(links.join(targets.select(F.col("target").alias(ORD)).distinct(), ORD, "left_semi"), "entity-chains")
     if active.isEmpty():
         return None
+    known, done = active, []
     while True:
-        known = reduce(DataFrame.unionByName, [*done, active])
         further = known.select(F.col(ORD).alias("target"), F.col("target").alias("_next"))
         step = materialise(
             active.join(further, "target", "left").select(
@@ -143,6 +144,10 @@ def _jump(links: DataFrame) -> DataFrame | None:
         active = step.filter("moved").drop("moved")
         if active.isEmpty():
             return reduce(DataFrame.unionByName, done)
+        # Rows that arrived earlier may still be pointed at; the others have moved on.
+        arrived = known.join(step.select(ORD), ORD, "left_anti")
+        ahead = active.select(F.col("target").alias(ORD)).distinct()
+        known = materialise(step.drop("moved").unionByName(arrived).join(ahead, ORD, "left_semi"), "entity-ahead")
 
 
 def assign_entities(
@@ -159,7 +164,8 @@ def assign_entities(
     start = F.coalesce("target", ORD)
     chains = None
     if len(keys) > 1:
-        chains = _jump(rows.filter(F.col("target").isNotNull() & ~F.col("leading")).select(ORD, "target"))
+        pointing = rows.filter(F.col("target").isNotNull())
+        chains = _jump(pointing.filter(~F.col("leading")).select(ORD, "target"), pointing)
     rooted = rows.select(ORD, start.alias("root"))
     if chains is not None:
         ends = chains.select(F.col(ORD).alias("root"), F.col("target").alias("_end"))
@@ -172,44 +178,76 @@ def entity_id(number: Column) -> Column:
     return F.format_string("ENT%04d", number)
 
 
+WINS = "_wins"
+# What a row gives to its entity's record: nothing, all of it, or a part of it.
+NOTHING, ALL, SOME = 0, 1, 2
+_MASK_BITS = 62
+
+
 def data_columns(df: DataFrame) -> list[str]:
-    return [name for name in df.columns if name not in (ORD, "entity_no", "entity_id")]
+    return [name for name in df.columns if name not in (ORD, "entity_no", "entity_id", WINS)]
 
 
-def _assigned(df: DataFrame, assignments: DataFrame) -> DataFrame:
-    return df if "entity_no" in df.columns else df.join(assignments, ORD)
+def assigned_rows(df: DataFrame, assignments: DataFrame) -> DataFrame:
+    """The rows with ``entity_no`` and ``_wins``, whether their values are the first of their entity; written once.
+
+    The first known value of every column is found as a position: which cells
+    are known is a few bits a row, and the smallest positions are hash
+    aggregates of numbers. Values stay where they are until it is clear which
+    rows hold first ones; the wide rows are moved once, to their entity.
+    """
+    names = data_columns(df)
+    known = [f"NOT {blank_sql(quoted(n), type_of(df, n))}" for n in names]
+    masks = [known[i : i + _MASK_BITS] for i in range(0, len(known), _MASK_BITS)]
+    bits = [F.expr(" | ".join(f"if({k}, {1 << b}L, 0L)" for b, k in enumerate(part))).alias(f"m{m}") for m, part in enumerate(masks)]
+    slim = df.select(ORD, *bits).join(assignments, ORD)
+    places = [F.min(F.expr(f"if(m{i // _MASK_BITS} & {1 << i % _MASK_BITS}L <> 0, {ORD}, NULL)")).alias(f"p{i}") for i in range(len(names))]
+    first = slim.groupBy("entity_no").agg(*places, F.min(ORD).alias("lead"))
+    found = F.array_distinct(F.array_compact(F.array(*[F.col(f"p{i}") for i in range(len(names))], F.lit(None).cast("long"))))
+    first = first.select(F.when(F.size(found) > 0, found).otherwise(F.array("lead")).alias("rows"))
+    winners = first.select(F.explode("rows").alias(ORD), F.when(F.size("rows") == 1, ALL).otherwise(SOME).alias(WINS))
+    roles = assignments.join(winners, ORD, "left").withColumn(WINS, F.coalesce(WINS, F.lit(NOTHING)))
+    return materialise(df.join(roles, ORD), "assigned")
 
 
 def merge_records(df: DataFrame, assignments: DataFrame, positions: bool = False) -> DataFrame:
     """One row per entity: in each column the first value that is not blank.
 
     ``positions`` adds a struct ``_first`` with the row position of each value.
+    Where one row has all first values it is taken as it is; only the winning
+    rows of other entities are brought together, at most one for each column.
     """
-    names = data_columns(df)
-    joined = _assigned(df, assignments)
-    kept = []
-    for i, n in enumerate(names):
-        x = quoted(n)
-        value = f"named_struct('at', {ORD}, 'v', {x})" if positions else x
-        kept.append(F.expr(f"min_by({value}, if(NOT {blank_sql(x, type_of(df, n))}, {ORD}, NULL)) AS c{i}"))
-    grouped = joined.groupBy("entity_no").agg(*kept)
-    if not positions:
-        values = [F.col(f"c{i}").alias(n) for i, n in enumerate(names)]
-        return grouped.select(entity_id(F.col("entity_no")).alias("entity_id"), "entity_no", *values)
-    values = [F.col(f"c{i}.v").alias(n) for i, n in enumerate(names)]
-    first = F.struct(*[F.col(f"c{i}.at").alias(f"p{i}") for i in range(len(names))]).alias("_first")
-    return grouped.select(entity_id(F.col("entity_no")).alias("entity_id"), "entity_no", *values, first)
+    rows = df if WINS in df.columns else assigned_rows(df, assignments)
+    names = data_columns(rows)
+    types = [type_of(rows, n) for n in names]
+    own = [F.expr(f"if({blank_sql(quoted(n), t)}, NULL, {quoted(n)})").alias(f"c{i}") for i, (n, t) in enumerate(zip(names, types, strict=True))]
+    cells = rows.select("entity_no", F.col(ORD).alias("at"), WINS, *own)
+    whole = cells.where(F.col(WINS) == ALL)
+    whole = whole.select("entity_no", *[F.when(F.col(f"c{i}").isNotNull(), F.struct("at", F.col(f"c{i}").alias("v"))).alias(f"w{i}") for i in range(len(names))])
+    if names:
+        row = F.struct("at", *[f"c{i}" for i in range(len(names))])
+        gathered = cells.where(F.col(WINS) == SOME).groupBy("entity_no").agg(F.collect_list(row).alias("own"))
+        gathered = gathered.withColumn("own", F.expr("array_sort(own, (a, b) -> sign(a.at - b.at)::int)"))
+        chosen = [f"get(filter(own, x -> x.c{i} IS NOT NULL), 0)" for i in range(len(names))]
+        parts = gathered.selectExpr("entity_no", *[f"if({c} IS NULL, NULL, named_struct('at', {c}.at, 'v', {c}.c{i})) AS w{i}" for i, c in enumerate(chosen)])
+        whole = whole.unionByName(parts)
+    first = [F.struct(*[F.col(f"w{i}.at").alias(f"p{i}") for i in range(len(names))]).alias("_first")] if positions else []
+    values = [F.col(f"w{i}.v").alias(n) for i, n in enumerate(names)]
+    return whole.select(entity_id(F.col("entity_no")).alias("entity_id"), "entity_no", *values, *first)
 
 
 def _conflicts_per_row(df: DataFrame, assignments: DataFrame, records: DataFrame) -> DataFrame:
-    names = data_columns(df)
+    rows = df if WINS in df.columns else assigned_rows(df, assignments)
+    names = data_columns(rows)
     kept = records.select("entity_no", *[col(n).alias(f"_kept{i}") for i, n in enumerate(names)])
     differs = []
     for i, n in enumerate(names):
-        x, dtype = quoted(n), type_of(df, n)
+        x, dtype = quoted(n), type_of(rows, n)
         differs.append(f"if(NOT {blank_sql(x, dtype)} AND NOT {same_text(x, f'_kept{i}', dtype)}, 1, 0)")
     total = F.expr(" + ".join(differs) or "0")
-    return _assigned(df, assignments).join(kept, "entity_no").select("entity_no", total.alias("conflicts"))
+    # A row that gives all of its entity's values differs in none of them.
+    compared = rows.where(F.col(WINS) != ALL).join(kept, "entity_no").select("entity_no", total.alias("conflicts"))
+    return compared.unionByName(rows.where(F.col(WINS) == ALL).select("entity_no", F.lit(0).alias("conflicts")))
 
 
 def conflicts(df: DataFrame, assignments: DataFrame, records: DataFrame) -> DataFrame:
@@ -237,8 +275,7 @@ def resolve(df: DataFrame, positions: bool = False) -> Resolution:
     if "entity_id" in df.columns:
         df = df.withColumnRenamed("entity_id", "source_entity_id")
     assignments = assign_entities(df)
-    # Written once with its entities, so that the wide table is not joined to them again for the conflicts.
-    df = materialise(df.join(assignments, ORD), "assigned")
+    df = assigned_rows(df, assignments)
     # Written, as both the conflicts and all later steps read them.
     records = materialise(merge_records(df, assignments, positions), "records")
     # Summed without grouping, so that Spark may split the rows of a hot entity in the join.

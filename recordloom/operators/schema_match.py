@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,23 +90,59 @@ def expand_synonyms(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.coalesce(table[t], t))
 
 
-def _name_scores(name: str | None, bonuses: list[float] | None, matchers: list[SequenceMatcher]) -> list[float] | None:
+def _masks(target: str) -> np.ndarray:
+    """For each ASCII character the places it has in the target, as bits; nothing for the rest."""
+    masks = np.zeros(129, np.uint64)
+    for place, letter in enumerate(target):
+        masks[ord(letter)] |= np.uint64(1 << place)
+    return masks
+
+
+_MASKS = [_masks(target) for target in CANONICAL]
+# Names of similar length that are compared at once.
+NAMES_AT_ONCE = 4096
+
+
+def common_letters(names: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each name with each canonical name.
+
+    All names take a step per letter together: the places of the target that
+    are still free are the bits of a number.
+    """
+    out = np.zeros((len(names), len(CANONICAL)))
+    order = sorted(range(len(names)), key=lambda i: len(names[i]))
+    for at in range(0, len(order), NAMES_AT_ONCE):
+        rows = order[at : at + NAMES_AT_ONCE]
+        width = max(1, len(names[rows[-1]]))
+        letters = np.full((len(rows), width), 128, np.uint32)
+        for i, row in enumerate(rows):
+            letters[i, : len(names[row])] = np.frombuffer(names[row].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = np.minimum(letters, 128).T.copy()
+        for t, (target, masks) in enumerate(zip(CANONICAL, _MASKS, strict=True)):
+            free = np.full(len(rows), (1 << len(target)) - 1, np.uint64)
+            for column in letters:
+                hit = free & masks[column]
+                free = (free + hit) | (free - hit)
+            out[rows, t] = len(target) - np.bitwise_count(free & np.uint64((1 << len(target)) - 1))
+    return out
+
+
+def _name_scores(name: str, bounds: list[float], bonuses: list[float], matchers: list[SequenceMatcher]) -> list[float | None]:
     """Ratio plus bonus for each canonical name; None where it cannot be the best.
 
-    ``quick_ratio`` is never below ``ratio``, so candidates are tried in the order
-    of that bound and those whose bound is below the best so far are left out.
+    Candidates are tried in the order of their bounds, and those whose bound is
+    below the best so far are left out. Scores that give the lowest confidence
+    anyway are not worked out.
     """
-    if name is None:
-        return None
-    bounds = []
-    for matcher, bonus in zip(matchers, bonuses):
-        matcher.set_seq1(name)
-        bounds.append(matcher.quick_ratio() + bonus)
     scores: list[float | None] = [None] * len(matchers)
     best = -1.0
     for i in sorted(range(len(matchers)), key=bounds.__getitem__, reverse=True):
         if bounds[i] < best:
             break
+        if bounds[i] <= LOWEST + UNMAPPED_DISCOUNT:
+            scores[i] = 0.0
+            break
+        matchers[i].set_seq1(name)
         scores[i] = matchers[i].ratio() + bonuses[i]
         best = max(best, scores[i])
     return scores
@@ -114,8 +151,18 @@ def _name_scores(name: str | None, bonuses: list[float] | None, matchers: list[S
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     matchers = [SequenceMatcher(None, "", target) for target in CANONICAL]
+    sizes = np.array([len(target) for target in CANONICAL])
     for names, bonuses in batches:
-        yield pd.Series([_name_scores(n, b, matchers) for n, b in zip(names, bonuses)], dtype=object)
+        known = [n for n in names if n is not None]
+        lengths = np.array([len(n) for n in known], int)[:, None] + sizes
+        # The blocks that a ratio counts are a common subsequence, so it is never above this.
+        ratios = 2.0 * common_letters(known) / lengths
+        found = iter(ratios)
+        out: list[list[float | None] | None] = []
+        for name, own in zip(names, bonuses, strict=True):
+            own = None if name is None else list(own)
+            out.append(None if name is None else _name_scores(name, [r + b for r, b in zip(next(found).tolist(), own, strict=True)], own, matchers))
+        yield pd.Series(out, dtype=object)
 
 
 def match_names(names: DataFrame, column: str = "original_column") -> DataFrame:

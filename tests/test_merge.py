@@ -127,3 +127,17 @@ def test_a_hot_key_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_merge_size_is_the_number_of_merged_rows(spark):
+    left = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (3, "7", "c"), (4, "7", "d"), (5, "8", "e")], "_ord long, customer_id string, x string")
+    right = spark.createDataFrame([(1, None, "p"), (2, 7, "q"), (3, 7, "r"), (4, 9, "s")], "_ord long, customer_id int, y string")
+    size = merge.merge_size(left, right).first().asDict()
+    assert size == {"merged_rows": merge.merge([left, right]).count(), "null_key_rows": 2, "largest_key_rows": 4}
+    assert [(r["key"]["customer_id"], r["merged_rows"]) for r in merge.hot_keys(left, right, 2).collect()] == [("7", 4), (None, 2)]
+    assert merge.merge([left, right], most_rows=size["merged_rows"]).count() == size["merged_rows"]
+    with pytest.raises(ValueError, match=r"gives 8 rows, more than 7; largest keys \('7',\): 4"):
+        merge.merge([left, right], most_rows=7)
+    assert merge.merge_size(left.drop("customer_id"), right).first()["merged_rows"] == 9
+    none = spark.createDataFrame([], left.schema)
+    assert merge.merge_size(none, none).first()["merged_rows"] == 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recordloom.checks.tables import table
 from recordloom.operators import alerts as alerting
 from recordloom.operators import intents, projects, report
+from recordloom.operators.schema_match import spread
 
 
 def _projects(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,7 +59,8 @@ def _projects(spark: SparkSession, folder: str) -> DataFrame:
             F.when(F.col("o_orderstatus") == "F", F.array(F.lit("Check"))).alias("recommendations"),
         )
     )
-    return table(spark, folder, "orders").select(
+    # A registry has many files; the given orders are one, which one task would read.
+    return spread(table(spark, folder, "orders")).select(
         F.col("o_orderkey").alias("project_id"),
         F.col("o_custkey").alias("user_id"),
         F.concat(F.lit("Project "), "o_orderkey").alias("project_name"),

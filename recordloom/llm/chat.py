@@ -9,6 +9,9 @@ text), are folded into messages:
 * ``regenerate`` empties the message of its turn and drops all later ones, so
   that new deltas fill it.
 
+An edit or a regeneration of a turn that has no message opens one; events of
+other kinds, or of none, change nothing.
+
 Template: ``<|turn|>role<|says|>text<|end|>\\n`` for each message. Control
 strings of this and of other common templates are escaped inside roles and
 texts by a backslash after their first character; backslashes that stand there
@@ -43,35 +46,66 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, _ESCAPED, "$1$2$3")
 
 
-def _cut(messages: str, at: str) -> str:
-    """The messages before the one with this turn."""
-    return f"slice({messages}, 1, {at} - 1)"
+def _cut(rows: DataFrame, name: str, into: str, starts: str) -> DataFrame:
+    """Cut the array ``name`` into arrays that start where ``starts`` holds for element i; one pass over it."""
+    marked = rows.withColumn("_at", F.expr(f"filter(sequence(0, size({name}) - 1), i -> CASE WHEN i = 0 THEN true ELSE {starts} END)"))
+    part = f"slice({name}, s + 1, coalesce(get(_at, r + 1), size({name})) - s)"
+    return marked.select("conv_id", F.expr(f"transform(_at, (s, r) -> {part})").alias(into))
 
 
 def fold(events: DataFrame) -> DataFrame:
     """conv_id and messages (turn, role, text) from events (conv_id, seq, kind, turn, role, text).
 
-    Plain logs, where every event is a message, need no fold: their sorted
-    events are the messages.
+    Sorted events are first brought together, so that a step of the fold is more
+    than an event: messages one after another, or deltas of one turn, are a run;
+    a run of messages and the changes of its last one that follow at once are a
+    chapter; chapters one after another are a block. A block of new turns is
+    appended as it is; any other goes through the fold run by run.
     """
+    turn = events.schema["turn"].dataType.simpleString()
+    kind = f"struct<turn:{turn},role:string,text:string>"
     log = events.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "turn", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("log")
+        F.sort_array(F.collect_list(F.struct("seq", "turn", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("log")
     )
-    at = "array_position(transform(acc, m -> m.turn), e.turn)"
-    message = "array(named_struct('turn', e.turn, 'role', e.role, 'text', e.text))"
-    changed = "array(named_struct('turn', acc[p - 1].turn, 'role', acc[p - 1].role, 'text', {text}))"
-    kept = _cut("acc", "p")
-    # p is where the turn of the event is among the messages, 0 if it is not.
-    step = f"""element_at(transform(array(cast(coalesce({at}, 0) AS int)), p -> CASE
-        WHEN e.kind = 'message' OR p = 0 THEN concat(acc, CASE WHEN e.kind = 'regenerate' THEN array(named_struct('turn', e.turn, 'role', e.role, 'text', '')) ELSE {message} END)
-        WHEN e.kind = 'delta' THEN concat({kept}, {changed.format(text="concat(acc[p - 1].text, e.text)")}, slice(acc, p + 1, size(acc)))
-        WHEN e.kind = 'edit' THEN concat({kept}, {changed.format(text="e.text")})
-        WHEN e.kind = 'regenerate' THEN concat({kept}, {changed.format(text="''")})
-        ELSE acc END), 1)"""
-    kind = f"array<struct<turn:{events.schema['turn'].dataType.simpleString()},role:string,text:string>>"
-    plain = "transform(log, e -> named_struct('turn', e.turn, 'role', e.role, 'text', e.text))"
-    folded = f"CASE WHEN forall(log, e -> e.kind = 'message') THEN {plain} ELSE aggregate(log, cast(array() AS {kind}), (acc, e) -> {step}) END"
-    return log.select("conv_id", F.expr(folded).alias("messages"))
+    runs = _cut(log, "log", "runs", "NOT (log[i].kind = log[i - 1].kind AND (log[i].kind = 'message' OR log[i].kind = 'delta' AND log[i].turn <=> log[i - 1].turn))")
+    own = "transform(x, e -> named_struct('turn', e.turn, 'role', e.role, 'text', e.text))"
+    joined = "CASE WHEN x[0].kind = 'regenerate' THEN '' ELSE array_join(transform(x, e -> e.text), '') END"
+    run = f"named_struct('kind', x[0].kind, 'turn', element_at(x, -1).turn, 'own', {own}, 'text', {joined})"
+    runs = runs.select("conv_id", F.expr(f"transform(runs, x -> {run})").alias("runs"))
+    chapters = _cut(runs, "runs", "chapters", "NOT (runs[i].kind IN ('delta', 'edit', 'regenerate') AND runs[i].turn <=> runs[i - 1].turn)")
+    blocks = _cut(chapters, "chapters", "blocks", "NOT (chapters[i][0].kind = 'message' AND chapters[i - 1][0].kind = 'message')")
+    said = "aggregate(slice(x, 2, size(x)), element_at(x[0].own, -1).text, (t, e) -> CASE WHEN e.kind = 'delta' THEN concat(t, e.text) ELSE e.text END)"
+    told = f"concat(slice(x[0].own, 1, size(x[0].own) - 1), array(named_struct('turn', x[0].turn, 'role', element_at(x[0].own, -1).role, 'text', {said})))"
+    block = f"named_struct('own', CASE WHEN b[0][0].kind = 'message' THEN flatten(transform(b, x -> {told})) ELSE cast(array() AS array<{kind}>) END, 'runs', flatten(b))"
+    blocks = blocks.select("conv_id", F.expr(f"transform(blocks, b -> {block})").alias("blocks"))
+
+    # The last message stands by itself: most changes concern no other.
+    state = "named_struct('turns', {turns}, 'messages', {messages}, 'last', {last})"
+    so_far = "concat(acc.messages, filter(array(acc.last), m -> m IS NOT NULL))"
+
+    def opened(own: str) -> str:
+        return state.format(turns=f"concat(acc.turns, transform({own}, x -> x.turn))", messages=f"concat({so_far}, slice({own}, 1, size({own}) - 1))", last=f"element_at({own}, -1)")
+
+    def changed(held: str) -> str:
+        text = f"CASE WHEN e.kind = 'delta' THEN concat({held}.text, e.text) ELSE e.text END"
+        return f"named_struct('turn', {held}.turn, 'role', {held}.role, 'text', {text})"
+
+    inner = "acc.messages[p - 1]"
+    added = state.format(turns="concat(acc.turns, array(e.turn))", messages=so_far, last="named_struct('turn', e.turn, 'role', e.own[0].role, 'text', e.text)")
+    streamed = f"concat(slice(acc.messages, 1, p - 1), array({changed(inner)}), slice(acc.messages, p + 1, size(acc.messages)))"
+    # p is where the turn of the run is among the messages, 0 if it is not.
+    step = f"""element_at(transform(array(cast(coalesce(array_position(acc.turns, e.turn), 0) AS int)), p -> CASE
+        WHEN e.kind = 'message' THEN {opened("e.own")}
+        WHEN e.kind NOT IN ('delta', 'edit', 'regenerate') THEN acc
+        WHEN p = 0 THEN {added}
+        WHEN p = size(acc.turns) THEN {state.format(turns="acc.turns", messages="acc.messages", last=changed("acc.last"))}
+        WHEN e.kind = 'delta' THEN {state.format(turns="acc.turns", messages=streamed, last="acc.last")}
+        ELSE {state.format(turns="slice(acc.turns, 1, p)", messages="slice(acc.messages, 1, p - 1)", last=changed(inner))} END), 1)"""
+    turns = "transform(b.own, x -> x.turn)"
+    new = f"size(b.own) > 0 AND size(array_distinct({turns})) = size(b.own) AND NOT coalesce(arrays_overlap(acc.turns, {turns}), true)"
+    stepped = f"CASE WHEN {new} THEN {opened('b.own')} ELSE aggregate(b.runs, acc, (acc, e) -> {step}) END"
+    start = state.format(turns=f"cast(array() AS array<{turn}>)", messages=f"cast(array() AS array<{kind}>)", last=f"cast(NULL AS {kind})")
+    return blocks.select("conv_id", F.expr(f"aggregate(blocks, {start}, (acc, b) -> {stepped}, acc -> {so_far})").alias("messages"))
 
 
 def render(conversations: DataFrame) -> DataFrame:

@@ -383,5 +383,5 @@ def test_pipeline_stages_equal_their_operators(spark):
 
 
 def test_queries_have_the_columns_of_their_contracts():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
     assert set(queries.SQL) <= set(queries.QUERIES)

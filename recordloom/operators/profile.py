@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -325,25 +323,43 @@ def _compared(df: DataFrame, exclude: tuple[str, ...]) -> list[str]:
     return [n for n in df.columns if n not in exclude and n != ORD]
 
 
-def _row_keys(df: DataFrame, names: list[str]) -> list[Column]:
-    return [comparison_key(df, name).alias(f"_k{i}") for i, name in enumerate(names)]
+# Bits that say which digests may be those of copied rows; 8 MB for any number of rows, in maps of 4 kB.
+MARK_BITS, MAP_BITS = 1 << 26, 1 << 15
+
+
+def _row_digest(df: DataFrame, exclude: tuple[str, ...]) -> tuple[Column, Column]:
+    """The compared values of a row as 128 bits; missing values are told from one another by their place."""
+    keys = [comparison_key(df, name) for name in _compared(df, exclude)]
+    unknown = F.concat(F.lit(""), *[F.when(key.isNull(), "1").otherwise("0") for key in keys])
+    return F.xxhash64(F.lit(1), unknown, *keys), F.xxhash64(F.lit(2), unknown, *keys)
 
 
-def _copied_keys(df: DataFrame, names: list[str]) -> DataFrame:
-    keys = [f"_k{i}" for i in range(len(names))]
-    return df.select(*_row_keys(df, names)).groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
+def _copied(df: DataFrame, exclude: tuple[str, ...]) -> DataFrame:
+    """Digests that several rows have, and how many; only digests are moved."""
+    first, second = _row_digest(df, exclude)
+    return df.select(first.alias("_g1"), second.alias("_g2")).groupBy("_g1", "_g2").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
 
 
 def duplicate_rows_count(df: DataFrame, exclude: tuple[str, ...] = ("entity_id",)) -> DataFrame:
     """One row: how many rows are copies of another, each copy counted."""
-    copied = _copied_keys(df, _compared(df, exclude))
-    return copied.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("duplicate_rows"))
+    return _copied(df, exclude).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("duplicate_rows"))
 
 
 def duplicate_rows(df: DataFrame, exclude: tuple[str, ...] = ("entity_id",)) -> DataFrame:
-    """All rows whose tuple occurs more than once."""
-    names = _compared(df, exclude)
-    keys = [f"_k{i}" for i in range(len(names))]
-    copied = _copied_keys(df, names).select(*[F.col(k).alias(f"_g{k}") for k in keys])
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g{k}")) for k in keys])
-    return df.select("*", *_row_keys(df, names)).join(copied, same, "left_semi").drop(*keys)
+    """All rows whose tuple occurs more than once.
+
+    Rows are first held against a map of bits, of a size that does not depend on
+    the data, so that hardly any row is moved that is not in the result.
+    """
+    copied = materialise(_copied(df, exclude).select("_g1", "_g2"), "copied-rows")
+    place = F.pmod("_g1", F.lit(MARK_BITS))
+    maps = copied.select(F.floor(place / MAP_BITS).cast("int").alias("_map"), F.pmod(place, F.lit(MAP_BITS)).alias("_bit"))
+    maps = maps.groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    first, second = _row_digest(df, exclude)
+    own = F.pmod("_h1", F.lit(MARK_BITS))
+    # The row travels as one value, so its column names cannot clash.
+    rows = df.select(F.struct(*[col(name) for name in df.columns]).alias("_row"), first.alias("_h1"), second.alias("_h2")).withColumns({"_own": F.floor(own / MAP_BITS).cast("int"), "_at": F.pmod(own, F.lit(MAP_BITS)).cast("int")})
+    rows = rows.join(F.broadcast(maps), F.col("_own") == F.col("_map"))
+    marked = F.expr("shiftright(cast(conv(hex(substring(_bits, _at div 8 + 1, 1)), 16, 10) AS int), _at % 8) & 1 = 1")
+    found = rows.where(marked).join(copied, (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2")), "left_semi")
+    return found.select("_row.*")

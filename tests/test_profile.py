@@ -196,3 +196,14 @@ def test_float_text(spark, seed):
 def test_file_names(spark):
     df = spark.createDataFrame([("a/b: C-é_1 ",), ("***",), (None,)], "n string")
     assert [r[0] for r in df.select(safe_file_name(F.col("n"))).collect()] == ["ab C-é_1", "report", "report"]
+
+
+def test_copied_rows_are_told_by_value_and_place(spark):
+    rows = [(None, "a", 0.0), ("a", None, 0.0), ("a", None, -0.0), ("x" * 100, "b", None), ("x" * 100, "b", None), ("x" * 99, "b", None), (None, None, None)]
+    rows += [(str(i % 40), "c", 1.0) for i in range(60)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "_ord long, a string, _bits string, _h1 double").repartition(4)
+    found = profile.duplicate_rows(df)
+    assert found.columns == df.columns
+    assert sorted(r["_ord"] for r in found.collect()) == [1, 2, 3, 4, *range(7, 27), *range(47, 67)]
+    assert profile.duplicate_rows_count(df).first()["duplicate_rows"] == 44
+    assert profile.duplicate_rows(df.limit(0)).count() == 0

@@ -10,10 +10,12 @@ fit into a row, only its elements.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.durable import materialise
+from recordloom.durable import materialise, shared_folder
 from recordloom.sources.file_parts import BEFORE, KEYS, SO_FAR, along, joined, pieces, place, with_owner, within
 
 # The column of plain values in a top-level array, and in a list of an object.
@@ -115,10 +117,6 @@ def lines(spark: SparkSession, path: str) -> str:
 
 def line_folder(rows: DataFrame) -> str:
     """Write texts as lines into the shared folder."""
-    import uuid
-
-    from recordloom.durable import shared_folder
-
     path = f"{shared_folder(rows.sparkSession).rstrip('/')}/recordloom/json-lines-{uuid.uuid4().hex}"
     rows.write.text(path)
     return path

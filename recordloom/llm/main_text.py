@@ -70,7 +70,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # A block that opens closes these open ones of its level.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table td th body article section div main".split())
-_TAG = re.compile(r"<(?:!--(?P<comment>)|(?P<odd>[!?])[^>]*>|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)")
+# How a comment, a declaration or a tag begins.
+_OPENING = re.compile(r"<(?:!--(?P<comment>)|(?P<odd>[!?])|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*))")
+_SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"(class|id|role|data-keep|data-drop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|$)", re.IGNORECASE)
 _NAME_WORDS = re.compile(r"[a-z]+")
 
@@ -96,6 +98,38 @@ class Page:
         return len(self.tags) - 1
 
 
+class Tags:
+    """Where the tags of a source end; every character is passed a bounded number of times, whatever the source."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.ends: dict[int, int] = {}  # of places in a tag, outside of quotes, where it ends; -1 if nowhere
+        self.last = {mark: source.rfind(mark) for mark in ">\"'"}
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag which goes on at ``at``, outside of quoted values, or -1."""
+        passed = []
+        while True:
+            if at in self.ends:
+                found = self.ends[at]
+                break
+            passed.append(at)
+            special = _SPECIAL.search(self.source, at) if at <= self.last[">"] else None
+            if special is None:
+                found = -1
+                break
+            mark, place = special[0], special.start()
+            if mark == ">":
+                found = place
+                break
+            if place >= self.last[mark]:  # a value that is never closed
+                found = -1
+                break
+            at = self.source.find(mark, place + 1) + 1
+        self.ends.update(dict.fromkeys(passed, found))
+        return found
+
+
 class Skipped:
     """The open elements from the outermost one whose text is not read; nothing is skipped while there are none.
 
@@ -183,7 +217,8 @@ def parse(source: str | None) -> Page:
     stack = [page.add("#root", (), -1)]
     run: list[str] = []
     links = link_depth = 0
-    skipped = Skipped(source)
+    skipped, tags = Skipped(source), Tags(source)
+    opened: Counter[str] = Counter(["#root"])  # tags in the stack
     inline: Counter[tuple[int, str]] = Counter()  # open elements that are no blocks, by the block around
 
     def close_run() -> None:
@@ -207,6 +242,8 @@ def parse(source: str | None) -> Page:
     def implied(tag: str) -> int:
         """Place in the stack of the open element that a start tag closes, 0 for none."""
         closes = CLOSES.get(tag, ())
+        if not any(opened[name] for name in closes):
+            return 0
         top = len(stack) - (page.tags[stack[-1]] == "p")
         for i in range(top - 1, 0, -1):
             if page.tags[stack[i]] in closes:
@@ -215,35 +252,47 @@ def parse(source: str | None) -> Page:
                 break
         return 0
 
+    def cut(place: int) -> None:
+        """Close all open blocks from this place of the stack on."""
+        opened.subtract(page.tags[node] for node in stack[place:])
+        del stack[place:]
+
     at, size = 0, len(source)
     while at < size:
         start = source.find("<", at)
         if start < 0:
             said(source[at:])
             break
-        found = _TAG.match(source, start)
-        if not found:
+        found = _OPENING.match(source, start)
+        if found and found["comment"] is not None:
+            said(source[at:start])
+            end = source.find("-->", found.end())
+            at = size if end < 0 else end + 3
+            continue
+        end = -1
+        if found and found["odd"]:
+            end = source.find(">", found.end()) if start < tags.last[">"] else -1
+        elif found:
+            end = tags.end(found.end())
+        if end < 0:
             said(source[at : start + 1])
             at = start + 1
             continue
         said(source[at:start])
-        at = found.end()
-        if found["comment"] is not None:
-            end = source.find("-->", at)
-            at = size if end < 0 else end + 3
-            continue
+        at = end + 1
         if found["odd"]:
             continue
-        tag, closing, empty = found["name"].lower(), found["end"] == "/", found["rest"].endswith("/")
+        rest = source[found.end() : end]
+        tag, closing, empty = found["name"].lower(), found["end"] == "/", rest.endswith("/")
         if skipped.open:
             if closing:
                 if not skipped.close(tag):
                     continue
-                if tag in BLOCKS and any(page.tags[node] == tag for node in stack) or inline[stack[-1], tag] or tag in ("body", "html"):
+                if tag in BLOCKS and opened[tag] > 0 or inline[stack[-1], tag] or tag in ("body", "html"):
                     skipped.open.clear()
             else:
                 had = tag == "select" and skipped.inside("select")
-                in_cell = tag in CELLS and any(page.tags[node] in ("td", "th", "caption") for node in stack)
+                in_cell = tag in CELLS and any(opened[name] > 0 for name in ("td", "th", "caption"))
                 skipped.start(tag, page.tags[stack[-1]], bool(implied(tag)), in_cell)
                 if had:
                     continue
@@ -274,17 +323,16 @@ def parse(source: str | None) -> Page:
         close_run()
         link_depth = 0
         if closing:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if page.tags[stack[i]] == tag), 0)
-            if depth:
-                del stack[depth:]
+            if opened[tag] > 0:
+                cut(next(i for i in range(len(stack) - 1, 0, -1) if page.tags[stack[i]] == tag))
             continue
         depth = implied(tag)
         if page.tags[stack[-1]] == "p":
-            stack.pop()
+            cut(len(stack) - 1)
         if depth:
-            del stack[depth:]
+            cut(depth)
         names, mark = [], 0
-        for key, a, b, c in _ATTRIBUTE.findall(found["rest"]):
+        for key, a, b, c in _ATTRIBUTE.findall(rest):
             if key.startswith("data-"):
                 mark = 1 if key == "data-keep" else -1
             else:
@@ -292,6 +340,7 @@ def parse(source: str | None) -> Page:
         node = page.add(tag, tuple(dict.fromkeys(names)), stack[-1], mark=mark)
         if tag not in VOID:
             stack.append(node)
+            opened[tag] += 1
     close_run()
     return page
 
@@ -349,7 +398,7 @@ class Forest:
         for i, up in enumerate(self.parents.tolist()):
             if up >= 0:
                 depth[i] = depth[up] + 1
-        self.levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+        self.levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth, minlength=1))[:-1])
         pairs = [(i, index[f]) for i, own in enumerate(f for p in pages for f in features(p)) for f in own if f in index]
         self.node, self.feature = np.array(pairs, np.int64).reshape(-1, 2).T
 

@@ -45,7 +45,6 @@ from __future__ import annotations
 import math
 from collections import OrderedDict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa

@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.llm import chat, hard_negatives, merkle, ngram_join
+from recordloom.llm import chat, hard_negatives, main_text, merkle, ngram_join
 
 # Extra columns have the names of results and of inner columns.
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, leaf string, digest string, c string, matches string"
@@ -263,3 +264,19 @@ def test_empty_tables(spark):
     assert hard_negatives.mine(spark.createDataFrame([], VECTORS), F.col("label"), F.lit(True)).count() == 0
     blank = _docs(spark, [(1, None, None, None), (None, "", None, None)])
     assert sorted(map(_key, ngram_join.near_sets(blank).collect())) == sorted(map(_key, [(1, 0, 1), (None, 0, None)]))
+
+
+@pytest.mark.parametrize(
+    "source, nodes", [("<a " * 350_000, 2), ("<a '" * 260_000, 2), ("<a '" * 260_001 + ">", 2), ("<div>" * 100_000, 100_001), ("<center>" * 50_000 + "</table>" * 50_000, 50_001)]
+)
+def test_pages_take_time_in_proportion_to_their_length(source, nodes):
+    start = time.process_time()
+    page = main_text.parse(source)
+    assert len(page.tags) <= nodes
+    main_text.Forest([page], {})
+    assert time.process_time() - start < 5
+
+
+def test_tags_end_where_their_quotes_allow():
+    for source, texts in (("<a b='>'>x", ["x"]), ("<a b=\"'>y", ["<a b=\"'>y"]), ("<a 'b>c' d>e", ["e"]), ("1 < 2 <b>3", ["1 < 2 3"]), ("<!x>y", ["y"]), ("<!-- a > b -->c", ["c"])):
+        assert [t for t in main_text.parse(source).texts if t] == texts, source

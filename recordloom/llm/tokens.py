@@ -21,11 +21,14 @@ import numpy as np
 from recordloom.llm.common import word_bytes
 
 # Runs remembered by one worker before it starts anew (about 150 bytes each).
-CACHE_RUNS = 500_000
+CACHE_RUNS = 650_000
 # Pieces of plain runs; on these characters the vocabulary's own pattern cuts at the same places.
 _PLAIN = re.compile(rb"[a-z]+|[0-9]|[!\"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]+")
 _ALL_PLAIN = re.compile(rb"[a-z0-9!\"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]+")
-_LETTERS = re.compile("[a-zà-öø-ÿ]+")
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+# The same with the accented letters of Latin-1, which the pattern takes as letters.
+_ACCENTED = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!\"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]+")
+_ALL_ACCENTED = re.compile(r"[a-zß-öø-ÿ0-9!\"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]+")
 
 
 def default_path() -> str:
@@ -85,6 +88,8 @@ class Encoder:
                 plain[run] = _PLAIN.findall(low)
             elif _LETTERS.fullmatch(text := run.decode("utf-8", "replace").lower()):
                 one[run] = text.encode()
+            elif _ALL_ACCENTED.fullmatch(text):
+                plain[run] = [piece.encode() for piece in _ACCENTED.findall(text)]
             else:
                 odd.append(run)
         pieces = {b".", b","}.union(one.values(), marked.values(), *plain.values())

@@ -4,14 +4,25 @@ A file is read in parts by several tasks. What a piece means depends on all
 pieces before it, through a sum or a bit. Such a prefix is computed within each
 part, which is one window; the parts, one row each, are put in order; and what
 came before a part is added to its pieces.
+
+Where pieces are many and short, a row for each is more place and bracket than
+text. ``bundles`` puts the pieces that a task reads in a row together again, so
+that what is shuffled is one short row for a bundle, and no text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEYS = ("_path", "_block")
+# Bytes of pieces that are put together.
+BUNDLE = 1 << 18
 BEFORE = (Window.unboundedPreceding, -1)
 SO_FAR = (Window.unboundedPreceding, 0)
 
@@ -32,6 +43,44 @@ def pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
     return read.select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
 
 
+def bundles(spark: SparkSession, path: str, separator: str, about: Callable[[bytes], dict[str, object]], kinds: str, size: int = BUNDLE) -> DataFrame:
+    """text, _path, _block and what ``about`` says of a text, as columns of ``kinds``.
+
+    A text is a run of pieces of one part, of about ``size`` bytes or one piece.
+    ``_block`` orders the bundles of a file: the start of the part and the
+    pieces before, each of which is a byte at least.
+    """
+    found = pieces(spark, path, separator).select("value", *KEYS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values, paths, blocks = batch.column("value"), batch.column("_path"), batch.column("_block").to_numpy()
+            ends = np.cumsum(pc.binary_length(values).to_numpy() + 1)
+            new = np.diff(blocks) != 0
+            new |= pc.not_equal(paths.slice(1), paths.slice(0, len(paths) - 1)).to_numpy(zero_copy_only=False)
+            new |= np.diff((ends - ends[0]) // size) != 0
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values.cast(pa.binary()))
+            texts = pc.binary_join(lists, separator.encode())
+            rows = []
+            for text, a, b in zip(texts.to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                key = paths[a].as_py(), int(blocks[a])
+                before = before if key == last else 0
+                rows.append({"_path": key[0], "_block": key[1] + before, **about(text)})
+                last, before = key, before + b - a
+            made = pa.RecordBatch.from_pylist(rows)
+            columns = [texts.cast(pa.string()), *(pa.array(made.column(name).to_pylist(), kind) for name, kind in schema[1:])]
+            yield pa.RecordBatch.from_arrays(columns, names=[name for name, _ in schema])
+
+    simple = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    told = f"text string, _path string, _block long, {kinds}"
+    schema = [(name, simple[kind]) for name, kind in (field.split() for field in told.split(", "))]
+    return found.mapInArrow(run, told)
+
+
 def place() -> Column:
     return F.struct("_block", "_place")
 

@@ -1,115 +1,160 @@
 """Elements of JSON documents as one line each, found by all tasks at once.
 
-A document is read in pieces between commas. Whether a piece starts inside a
-string is the parity of the quotes before it, and how deep it starts is the sum
-of the brackets outside of strings before it; both are prefixes over the parts
-of the file. The elements of a list are then what stands between commas at the
-list's own depth, and only their pieces are brought together: no document has to
-fit into a row, only its elements.
+A document is read in bundles of text that end at commas. Whether a bundle
+starts inside a string is the parity of the quotes before it, and how deep it
+starts is the sum of the brackets outside of strings before it; both are prefixes
+over one short row for each bundle. The elements of a list are then what stands
+between commas at the list's own depth. Those that lie in one bundle are cut out
+where it is, and only the ends of bundles are brought together: no document has
+to fit into a row, only its elements.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.durable import materialise, shared_folder
-from recordloom.sources.file_parts import BEFORE, KEYS, SO_FAR, along, joined, pieces, place, with_owner, within
+from recordloom.sources.file_parts import BEFORE, BUNDLE, KEYS, along, bundles, joined, with_owner
 
 # The column of plain values in a top-level array, and in a list of an object.
 TOP_VALUES, LIST_VALUES = "0", "value"
 
-
-def _depth(text: str) -> str:
-    return f"length(translate({text}, ']}}', '')) - length(translate({text}, '[{{', ''))"
-
-
-def measured(spark: SparkSession, path: str) -> DataFrame:
-    """Pieces with inside (starts in a string), before and after (depth); written once."""
-    parted = pieces(spark, path, ",").withColumn("clean", F.regexp_replace("value", r"(?s)\\.", ""))
-    parted = parted.withColumn("quotes", F.expr("length(clean) - length(replace(clean, '\"', ''))"))
-    outside = "array_join(filter(split(clean, '\"', -1), (s, i) -> i % 2 = {}), '')"
-    parted = parted.selectExpr(
-        "value", "_path", "_block", "_place", "quotes",
-        f"if(quotes = 0, {_depth('clean')}, {_depth(outside.format(0))}) AS d0",
-        f"if(quotes = 0, 0, {_depth(outside.format(1))}) AS d1",
-    )
-    parted = parted.withColumn("odd", F.coalesce(F.sum("quotes").over(within().rowsBetween(*BEFORE)), F.lit(0)) % 2)
-    # Depths if the part starts outside or inside a string.
-    parted = parted.withColumns({"own0": F.when(F.col("odd") == 0, F.col("d0")).otherwise(F.col("d1")), "own1": F.when(F.col("odd") == 0, F.col("d1")).otherwise(F.col("d0"))})
-    parted = parted.withColumns({f"sum{i}": F.sum(f"own{i}").over(within().rowsBetween(*SO_FAR)) for i in (0, 1)})
-    parts = parted.groupBy(*KEYS).agg(F.sum("quotes").alias("quotes"), F.sum("own0").alias("all0"), F.sum("own1").alias("all1"))
-    parts = parts.withColumn("start", F.coalesce(F.sum("quotes").over(along().rowsBetween(*BEFORE)), F.lit(0)) % 2)
-    parts = parts.withColumn("all", F.when(F.col("start") == 0, F.col("all0")).otherwise(F.col("all1")))
-    parts = parts.select(*KEYS, "start", F.coalesce(F.sum("all").over(along().rowsBetween(*BEFORE)), F.lit(0)).alias("base"))
-    found = parted.join(parts, list(KEYS))
-    first = F.col("start") == 0
-    after = F.col("base") + F.when(first, F.col("sum0")).otherwise(F.col("sum1"))
-    inside = (F.col("start") + F.col("odd")) % 2 == 1
-    found = found.select(
-        "value", *KEYS, "_place", inside.alias("inside"), (after - F.when(first, F.col("own0")).otherwise(F.col("own1"))).alias("before"), after.alias("after"),
-        (inside != (F.col("quotes") % 2 == 1)).alias("inside_after"),
-    )
-    return materialise(found, "json-pieces")
-
-
-def _position(bracket: str, depth: str) -> str:
-    """SQL: where a piece has its first such bracket outside of strings at this depth before it, 0 if nowhere."""
-    hit = f"if(c = '{bracket}' AND a.d = {depth}, a.i, 0)"
-    moved = "a.d + CASE WHEN c IN ('[', '{') THEN 1 WHEN c IN (']', '}') THEN -1 ELSE 0 END"
-    return (
-        "aggregate(split(value, ''), named_struct('i', 1, 's', inside, 'e', false, 'd', before, 'p', 0), (a, c) -> CASE WHEN a.p > 0 THEN a "
-        "WHEN a.s THEN named_struct('i', a.i + 1, 's', a.e OR c <> '\"', 'e', c = '\\\\' AND NOT a.e, 'd', a.d, 'p', 0) "
-        f"ELSE named_struct('i', a.i + 1, 's', c = '\"', 'e', false, 'd', {moved}, 'p', {hit}) END, a -> a.p)"
-    )
+_QUOTE, _COMMA, _OPEN, _CLOSE = b'",[]'
+_STEP = np.zeros(256, np.int64)
+_STEP[list(b"[{")], _STEP[list(b"]}")] = 1, -1
+_MARK = _STEP != 0
+_MARK[[_QUOTE, _COMMA]] = True
+
+
+def _marks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and bytes of brackets and commas, and the quotes before each; the last one stands for the end of the text."""
+    if b"\\" in text:
+        text = re.sub(rb"(?s)\\.", b"  ", text)
+    raw = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero(_MARK[raw])
+    kind = raw[at]
+    quotes = np.cumsum(kind == _QUOTE)
+    keep = kind != _QUOTE
+    total = quotes[-1:] if len(quotes) else np.zeros(1, np.int64)
+    return np.append(at[keep], len(text)), np.append(kind[keep], 0), np.append(quotes[keep], total)
+
+
+def _about(text: bytes) -> dict[str, int]:
+    """Quotes, and by whether the text starts outside (0) or inside (1) of a string: how much deeper it ends, its lowest depth."""
+    _, kind, quotes = _marks(text)
+    found = {"quotes": int(quotes[-1])}
+    for inside in (0, 1):
+        depth = np.cumsum(np.where((quotes + inside) % 2 == 0, _STEP[kind], 0))
+        found |= {f"all{inside}": int(depth[-1]), f"low{inside}": min(0, int(depth.min()))}
+    return found
+
+
+def measured(spark: SparkSession, path: str, size: int = BUNDLE) -> tuple[DataFrame, int]:
+    """text, _path, _block, quotes and start (1 if inside a string), base (depth), ends (depth), low (lowest depth) of all bundles; their number."""
+    told = "quotes long, all0 long, low0 long, all1 long, low1 long"
+    found = materialise(bundles(spark, path, ",", _about, told, size), "json-bundles")
+    parts = found.drop("text").withColumn("start", F.coalesce(F.sum("quotes").over(along().rowsBetween(*BEFORE)), F.lit(0)) % 2)
+    parts = parts.selectExpr(*KEYS, "quotes", "start", "if(start = 0, all0, all1) AS all", "if(start = 0, low0, low1) AS low")
+    parts = parts.withColumn("base", F.coalesce(F.sum("all").over(along().rowsBetween(*BEFORE)), F.lit(0)))
+    parts = materialise(parts.selectExpr(*KEYS, "quotes", "start", "base", "base + all AS ends", "base + low AS low"), "json-parts")
+    # Never more tasks than bundles, however small the parts that files are read in.
+    most = max(1, parts.count())
+    return found.select("text", *KEYS).coalesce(most).join(parts.coalesce(most), list(KEYS)), most
+
+
+def _outside(text: bytes, start: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and bytes of the brackets and commas outside of strings, and the depths behind them."""
+    at, kind, quotes = _marks(text)
+    keep = (quotes + start) % 2 == 0
+    keep[-1] = False
+    at, kind = at[keep], kind[keep]
+    return at, kind, base + np.cumsum(_STEP[kind])
+
+
+def _binary(batch: pa.RecordBatch) -> list[bytes]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
 
 
 def _lists(found: DataFrame) -> DataFrame:
     """One row per file: list (the depth of the elements, 0 if there is no list), and where the list begins and ends."""
-    files = found.groupBy("_path").agg(F.min_by(F.substring(F.ltrim(F.regexp_replace("value", r"^\s+", "")), 1, 1), place()).alias("kind"))
+    files = found.groupBy("_path").agg(F.min_by(F.substring(F.regexp_replace(F.substring("text", 1, 1 << 16), r"^\s+", ""), 1, 1), "_block").alias("kind"))
     files = files.select("_path", F.expr("CASE kind WHEN '[' THEN 1 WHEN '{' THEN 2 ELSE 0 END").alias("list"))
-    # A list at this depth begins in a piece that starts no deeper.
-    begins = found.where("before <= 1 AND contains(value, '[')").join(files, "_path").where("list > 0")
-    begins = begins.withColumn("p", F.expr(_position("[", "list - 1"))).where("p > 0")
-    begins = begins.groupBy("_path").agg(F.min(F.struct("_block", "_place", "p")).alias("begin"))
-    files = files.join(begins, "_path", "left").withColumn("list", F.when(F.col("begin").isNull(), 0).otherwise(F.col("list")))
-    ends = found.where("after <= 1").join(files.where("list > 0"), "_path").where((F.col("after") < F.col("list")) & (place() >= F.struct("begin._block", "begin._place")))
-    # The search for the closing bracket starts at the list's depth, behind what opens it in the same piece.
-    ends = ends.withColumn("q", F.expr(_position("]", "list")))
-    ends = ends.groupBy("_path").agg(F.min(F.struct("_block", "_place", "q")).alias("end"))
-    return materialise(files.join(ends, "_path", "left"), "json-lists")
-
-
-def lines(spark: SparkSession, path: str) -> str:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begins, ends = [], []
+            own = zip(_binary(batch), *(batch.column(name).to_pylist() for name in ("start", "base", "list")), strict=True)
+            for text, start, base, level in own:
+                at, kind, after = _outside(text, start, base)
+                begin, end = at[(kind == _OPEN) & (after == level)], at[(kind == _CLOSE) & (after == level - 1)]
+                begins.append(int(begin[0]) if len(begin) else None)
+                ends.append(int(end[0]) if len(end) else None)
+            columns = [*(batch.column(name) for name in KEYS), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*KEYS, "p", "q"])
+
+    # Only bundles that are somewhere less deep than the elements hold an end of the list.
+    near = found.join(files, "_path").where("list > 0 AND low < list").select("text", *KEYS, "start", "base", "list")
+    near = near.mapInArrow(run, "_path string, _block long, p long, q long")
+    both = [F.min(F.when(F.col(at).isNotNull(), F.struct("_block", at))).alias(name) for at, name in (("p", "begin"), ("q", "end"))]
+    files = files.join(near.groupBy("_path").agg(*both), "_path", "left")
+    return materialise(files.withColumn("list", F.when(F.col("begin").isNull(), 0).otherwise(F.col("list"))), "json-lists")
+
+
+def _elements(held: DataFrame) -> DataFrame:
+    """Of bundles between the ends of a list: its whole elements, head (what an earlier bundle began) and tail (what goes on); written once."""
+
+    def cut(text: bytes, start: int, base: int, ends: int, quotes: int, level: int, begin: int | None, end: int | None) -> tuple[list[bytes], bytes | None, bytes | None]:
+        at, kind, after = _outside(text, start, base)
+        a, b = 0 if begin is None else begin + 1, len(text) if end is None else end
+        cuts = at[(kind == _COMMA) & (after == level) & (at >= a) & (at < b)].tolist()
+        parts = [text[i:j] for i, j in zip([a, *(c + 1 for c in cuts)], [*cuts, b], strict=True)]
+        goes_on = end is None and (ends != level or (start + quotes) % 2 == 1)
+        head = parts.pop(0) if begin is None and (base != level or start == 1) else None
+        # A bundle without a place to cut, inside an element, is its head.
+        tail = parts.pop() if parts and goes_on else None
+        return parts, head, tail
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("start", "base", "ends", "quotes", "list", "begin", "end")
+        for batch in batches:
+            own = zip(_binary(batch), *(batch.column(name).to_pylist() for name in names), strict=True)
+            found = [cut(*row) for row in own]
+            columns = [*(batch.column(name) for name in (*KEYS, "list"))]
+            columns += [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.list_(pa.string()), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*KEYS, "list", "elements", "head", "tail"])
+
+    inner = held.where("list > 0 AND _block >= begin._block AND (end IS NULL OR _block <= end._block)")
+    at = ["if(_block = begin._block, begin.p, NULL) AS begin", "if(_block = end._block, end.q, NULL) AS end"]
+    inner = inner.selectExpr("text", *KEYS, "start", "base", "ends", "quotes", "cast(list AS bigint) AS list", *at)
+    return materialise(inner.mapInArrow(run, "_path string, _block long, list long, elements array<string>, head string, tail string"), "json-inner")
+
+
+def lines(spark: SparkSession, path: str, size: int = BUNDLE) -> str:
     """Write every row of the documents as one line of JSON, in order; the folder they are in.
 
     A top-level array gives its elements; an object those of its first list, or
     itself if it has none. Plain values become objects of one field.
     """
-    found = measured(spark, path)
-    lists = _lists(found)
-    held = found.join(lists, "_path")
-    same = lambda end: (F.col("_block") == F.col(f"{end}._block")) & (F.col("_place") == F.col(f"{end}._place"))
-    whole = held.where("list = 0").select("value", *KEYS, "_place", F.lit(None).alias("_owner"))
+    found, most = measured(spark, path, size)
+    held = found.join(_lists(found), "_path")
+    whole = held.where("list = 0").select(F.col("text").alias("value"), *KEYS, F.lit(0).alias("_place"), F.lit(None).alias("_owner"))
     whole = joined(whole, ",").withColumn("list", F.lit(0))
 
-    inner = held.where("list > 0").withColumns({"first": same("begin"), "final": F.coalesce(same("end"), F.lit(False))})
-    inner = inner.where((place() >= F.struct("begin._block", "begin._place")) & (F.col("end").isNull() | (place() <= F.struct("end._block", "end._place"))))
-    closes = F.expr("NOT final AND NOT inside_after AND after = list")
-    cut = F.expr("if(final AND q.q > 0, substring(value, 1, q.q - 1), value)")
-    inner = inner.withColumns({"closes": closes, "q": F.col("end")}).withColumn("value", cut)
-    inner = inner.withColumn("value", F.expr("if(first, substring(value, begin.p + 1), value)"))
-    parts = inner.groupBy(*KEYS).agg(F.max_by("closes", "_place").alias("closes"))
-    parts = parts.select(*KEYS, F.lag("closes").over(along()).alias("_closed"))
-    inner = inner.join(parts, list(KEYS))
-    starts = F.col("first") | F.coalesce(F.lag("closes").over(within()), F.col("_closed"), F.lit(False))
-    inner = inner.withColumn("_no", F.sum(starts.cast("int")).over(within().rowsBetween(*SO_FAR)))
-    inner = materialise(inner.select("value", *KEYS, "_place", "_no", "list"), "json-inner")
-    each = joined(with_owner(inner), ",", F.first("list").alias("list"))
-
-    rows = each.unionByName(whole, allowMissingColumns=True).withColumn("text", F.trim(F.regexp_replace("text", r"[\r\n\t]+", " "))).where("text <> ''")
+    inner = _elements(held).coalesce(most)
+    heads = inner.where("head IS NOT NULL").select(F.col("head").alias("value"), *KEYS, F.lit(-1).alias("_place"), F.lit(0).alias("_no"), "list")
+    tails = inner.where("tail IS NOT NULL").select(F.col("tail").alias("value"), *KEYS, F.size("elements").alias("_place"), F.lit(1).alias("_no"), "list")
+    each = joined(with_owner(heads.unionByName(tails)), ",", F.first("list").alias("list")).select("text", *KEYS, "_place", "list")
+    each = each.unionByName(inner.select(*KEYS, "list", F.posexplode("elements").alias("_place", "text")))
+
+    rows = each.unionByName(whole.select("text", *KEYS, "_place", "list"))
+    rows = rows.withColumn("text", F.trim(F.regexp_replace("text", r"[\r\n\t]+", " "))).where("text <> ''")
     name = F.when(F.col("list") == 2, F.lit(LIST_VALUES)).otherwise(F.lit(TOP_VALUES))
     line = F.when(F.col("text").startswith("{"), F.col("text")).otherwise(F.concat(F.lit('{"'), name, F.lit('": '), F.col("text"), F.lit("}")))
     return line_folder(rows.select(line.alias("value"), *KEYS, "_place").orderBy(*KEYS, "_place").select("value"))

@@ -122,3 +122,27 @@ def test_row_element_of_a_file_in_many_parts(spark, tmp_path, small_parts):
     path = write(tmp_path / "o.xml", f"<all><head><made>now</made></head><orders>{body}</orders></all>")
     assert readers.row_element(spark, path) == "order"
     assert readers.read_table(spark, path).count() == 200
+
+
+@pytest.mark.parametrize("size", [1, 40, 300])
+def test_bundles_of_any_size_give_the_same_elements(spark, tmp_path, size):
+    draw = random.Random(size)
+    wanted = [_value(draw) for _ in range(60)]
+    path = write(tmp_path / "a.json", json.dumps({"text": 'x": [1,2', "list": wanted, "after": [1]}, ensure_ascii=False))
+    got = [json.loads(r["value"]) for r in spark.read.text(json_elements.lines(spark, path, size)).collect()]
+    assert got == [x if isinstance(x, dict) else {"value": x} for x in wanted]
+
+
+def test_texts_of_elements_are_not_shuffled_by_part(spark, tmp_path, monkeypatch):
+    path = write(tmp_path / "a.json", json.dumps([{"a": i, "b": "x"} for i in range(50)]))
+    seen = {}
+    made = json_elements.materialise
+
+    def kept(df, label):
+        seen[label] = df._jdf.queryExecution().executedPlan().toString()
+        return made(df, label)
+
+    monkeypatch.setattr(json_elements, "materialise", kept)
+    json_elements.lines(spark, path)
+    assert "Exchange" not in seen["json-bundles"]
+    assert "hashpartitioning" not in seen["json-inner"]

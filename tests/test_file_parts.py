@@ -133,6 +133,19 @@ def test_bundles_of_any_size_give_the_same_elements(spark, tmp_path, size):
     assert got == [x if isinstance(x, dict) else {"value": x} for x in wanted]
 
 
+def test_row_elements_of_bundles_of_any_size(spark, tmp_path):
+    (tmp_path / "all").mkdir()
+    wanted = {}
+    for seed in range(100, 130):
+        root = _tree(random.Random(seed))
+        text = ElementTree.tostring(root, encoding="unicode").replace(">text<", "><![CDATA[ <a><a> ]]>text<!-- <c/>\n<c/> --><")
+        wanted[f"{seed}.xml"] = first_repeated(root) or root.tag
+        write(tmp_path / "all" / f"{seed}.xml", text)
+    for size in (1, 30, 200):
+        got = {r["_path"].rsplit("/", 1)[-1]: r["name"] for r in xml_rows.row_elements(spark, str(tmp_path / "all"), size).collect()}
+        assert got == wanted
+
+
 def test_texts_of_elements_are_not_shuffled_by_part(spark, tmp_path, monkeypatch):
     path = write(tmp_path / "a.json", json.dumps([{"a": i, "b": "x"} for i in range(50)]))
     seen = {}

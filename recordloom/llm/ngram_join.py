@@ -232,8 +232,10 @@ def members(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """
     postings = rows.where("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "token"), F.expr("size(prefix) - matches + 1").alias("leads"), "c", "n", "matches")
     postings = postings.withColumn("lead", F.col("pos") < F.col("leads")).drop("pos", "leads")
-    shared = postings.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("token")
-    found = materialise(postings.join(shared, "token"), "shingle-buckets")
+    # A window sends each posting once, a join with the shared tokens would do so twice.
+    met = Window.partitionBy("token")
+    found = postings.withColumns({"a": F.min("c").over(met), "b": F.max("c").over(met)}).where("a <> b").drop("a", "b")
+    found = materialise(found, "shingle-buckets")
     # The rows of a class have the same prefix; its first row stands for all.
     return materialise(found.join(classes.select("c"), "c", "left_semi"), "shingle-members")
 

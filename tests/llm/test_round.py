@@ -280,3 +280,17 @@ def test_pages_take_time_in_proportion_to_their_length(source, nodes):
 def test_tags_end_where_their_quotes_allow():
     for source, texts in (("<a b='>'>x", ["x"]), ("<a b=\"'>y", ["<a b=\"'>y"]), ("<a 'b>c' d>e", ["e"]), ("1 < 2 <b>3", ["1 < 2 3"]), ("<!x>y", ["y"]), ("<!-- a > b -->c", ["c"])):
         assert [t for t in main_text.parse(source).texts if t] == texts, source
+
+
+def test_postings_are_sent_once_to_their_tokens(spark, monkeypatch):
+    rows = [(i, f"a b c d e f g h i j k l m n o {i % 4}", "en", "s") for i in range(12)]
+    plans, made = {}, ngram_join.materialise
+
+    def kept(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return made(df, label)
+
+    monkeypatch.setattr(ngram_join, "materialise", kept)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_sets(_docs(spark, rows)).collect()}
+    assert got == {i: 0 for i in range(12)}
+    assert plans["shingle-buckets"].count("hashpartitioning(token") == 1

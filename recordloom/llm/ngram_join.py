@@ -49,7 +49,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.durable import materialise
@@ -74,6 +74,8 @@ COLUMNS = 4096
 # Bytes that are hashed at once, and digests that a task remembers.
 PIECE = 1 << 20
 REMEMBERED = 1 << 16
+# Bits that say which texts may be needed; 4 MB for any number of them, in maps of 4 kB.
+MARK_BITS, MAP_BITS = 1 << 25, 1 << 15
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -184,7 +186,7 @@ def prefix(own: np.ndarray, counts: np.ndarray, common: float) -> tuple[int, np.
 
 
 def prints(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """c (row number), doc_id, text_hash, digest, n, matches, prefix of every row; written once.
+    """doc_id, text_hash, digest, n, matches, prefix of every row; written once.
 
     A task gives the prefix of equal sets once, so copies are few before anything is shuffled.
     """
@@ -221,42 +223,53 @@ def prints(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = slim.mapInArrow(run, f"doc_id {kind}, text_hash long, digest binary, n long, matches long, prefix array<long>")
-    return materialise(made.withColumn("c", F.monotonically_increasing_id()), "shingle-prints")
+    return materialise(made, "shingle-prints")
 
 
-def members(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """token, lead, c, n, matches: the classes of each shingle that stands in prefixes of several classes.
+def class_of(salt: int) -> Column:
+    """The number of a row's class, told from its digest alone: no row has to be sent for it."""
+    return F.xxhash64("digest", F.lit(salt))
+
+
+def numbered_classes(rows: DataFrame) -> tuple[DataFrame, int]:
+    """digest, c, doc_id, text_hash, least of every class, and a salt by which no two classes have one number."""
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    classes = rows.where("n > 0").groupBy("digest").agg(first, F.min("doc_id").alias("least"))
+    classes = materialise(classes.select("digest", "first.*", "least"), "shingle-classes")
+    salt = 0
+    while not classes.groupBy(class_of(salt).alias("c")).count().where("count > 1").isEmpty():
+        salt += 1
+    return classes.withColumn("c", class_of(salt)), salt
+
+
+def groups(rows: DataFrame, salt: int) -> DataFrame:
+    """token, lead, band, side, c, n, matches: classes of a shingle that may be alike in size meet in one group; written once.
 
     ``lead`` marks the part of a prefix that would be asked for one match; two
-    linked classes share a shingle of that part of both.
-    """
-    postings = rows.where("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "token"), F.expr("size(prefix) - matches + 1").alias("leads"), "c", "n", "matches")
-    postings = postings.withColumn("lead", F.col("pos") < F.col("leads")).drop("pos", "leads")
-    # A window sends each posting once, a join with the shared tokens would do so twice.
-    met = Window.partitionBy("token")
-    found = postings.withColumns({"a": F.min("c").over(met), "b": F.max("c").over(met)}).where("a <> b").drop("a", "b")
-    found = materialise(found, "shingle-buckets")
-    # The rows of a class have the same prefix; its first row stands for all.
-    return materialise(found.join(classes.select("c"), "c", "left_semi"), "shingle-members")
-
-
-def groups(buckets: DataFrame) -> DataFrame:
-    """token, band, side and the class: classes of a bucket that may be alike in size meet in one group; written once.
-
-    Sizes that fit lie in one band or in neighbouring ones. A group has the
-    classes of a band (side 0) and of the one above (side 1); pairs of side 1
-    meet in their own group, so every pair that fits meets once in a bucket, and
-    always in the same band. Classes that share fewer shingles in a band than
-    any of the classes met there asks for are left out of it.
+    linked classes share a shingle of that part of both. Sizes that fit lie in
+    one band or in neighbouring ones. A group has the classes of a band (side 0)
+    and of the one above (side 1); pairs of side 1 meet in their own group, so
+    every pair that fits meets once at a shingle, and always in the same band.
+    Classes that share fewer shingles in a band than any of the classes met
+    there asks for are left out of it.
+
+    A posting is sent once, to its shingle: copies from several tasks are told
+    there by their equal numbers, and bands are made of what has come together.
     """
+    postings = rows.where("prefix IS NOT NULL").select("prefix", F.expr("size(prefix) - matches + 1").alias("leads"), class_of(salt).alias("c"), "n", "matches")
+    postings = postings.select(F.posexplode("prefix").alias("pos", "token"), "leads", "c", "n", "matches").withColumn("lead", F.col("pos") < F.col("leads")).drop("pos", "leads")
+    at = Window.partitionBy("token")
+    postings = postings.withColumn("before", F.lag("c").over(at.orderBy("c"))).withColumns({"a": F.min("c").over(at), "b": F.max("c").over(at)})
+    postings = postings.where("a <> b AND (before IS NULL OR before <> c)").drop("before", "a", "b")
     width = math.log(100 / (LEAST - 0.5))  # a little wide, against rounding
     both = F.expr("array(struct(band, 0 AS side), struct(band - 1 AS band, 1 AS side))")
-    grouped = buckets.withColumn("band", F.floor(F.log("n") / width).cast("int")).withColumn("b", F.explode(both)).drop("band")
-    grouped = grouped.select("token", "lead", "b.band", "b.side", "c", "n", "matches")
+    banded = postings.withColumn("band", F.floor(F.log("n") / width).cast("int")).withColumn("b", F.explode(both)).drop("band")
+    banded = banded.select("token", "lead", "b.band", "b.side", "c", "n", "matches")
     met, own = Window.partitionBy("token", "band"), Window.partitionBy("c", "band")
-    grouped = grouped.withColumns({"size": F.count("*").over(met), "low": F.min("side").over(met), "asked": F.least("matches", F.min("matches").over(met))})
-    grouped = grouped.where("size > 1 AND low = 0").withColumns({"have": F.count("*").over(own), "asked": F.min("asked").over(own)})
-    return materialise(grouped.where("have >= asked").drop("size", "low", "asked", "have"), "shingle-groups")
+    banded = banded.withColumns({"size": F.count("*").over(met), "low": F.min("side").over(met), "asked": F.least("matches", F.min("matches").over(met))})
+    banded = materialise(banded.where("size > 1 AND low = 0").drop("size", "low"), "shingle-buckets")
+    grouped = banded.withColumns({"have": F.count("*").over(own), "asked": F.min("asked").over(own)})
+    return materialise(grouped.where("have >= asked").drop("asked", "have"), "shingle-groups")
 
 
 def star_pairs(grouped: DataFrame) -> DataFrame:
@@ -376,7 +389,7 @@ def links_in_parts(left: DataFrame, texts: DataFrame) -> DataFrame:
     lists = left.join(hot.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.collect_set("token").alias("list"))
     hots = hot.groupBy("c", "band").agg(F.collect_set("token").alias("hot"))
     both = F.expr("transform(sequence(0, k - 1), j -> struct(least(part, j) AS i, greatest(part, j) AS j))")
-    own = hot.join(lists, "c").join(hots, ["c", "band"]).join(texts, "c")
+    own = hot.join(lists, "c").join(hots, ["c", "band"]).join(marked(texts, "c", hot.select("c")), "c")
     dealt = own.withColumn("part", F.pmod(F.xxhash64("c"), F.col("k")).cast("int")).withColumn("p", F.explode(both))
     keys = ["token", "band", "i", "j"]
     dealt = dealt.select("token", "band", "p.i", "p.j", "c", "comp", "part", "side", "n", "matches", "list", "hot", "text")
@@ -403,13 +416,26 @@ def links_in_parts(left: DataFrame, texts: DataFrame) -> DataFrame:
     return materialise(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long").distinct(), "shingle-links")
 
 
+def marked(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose hash ``name`` may be among those of ``wanted``, and all that are, without a shuffle of ``rows``.
+
+    They are held against a map of bits, of a size that does not depend on the data.
+    """
+    place = F.pmod(wanted[0], F.lit(MARK_BITS))
+    maps = wanted.select(F.floor(place / MAP_BITS).cast("int").alias("_map"), F.pmod(place, F.lit(MAP_BITS)).alias("_bit"))
+    maps = F.broadcast(maps.groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    own = F.pmod(name, F.lit(MARK_BITS))
+    held = rows.withColumns({"_map": F.floor(own / MAP_BITS).cast("int"), "_at": F.pmod(own, F.lit(MAP_BITS)).cast("int")}).join(maps, "_map")
+    return held.where("shiftright(cast(conv(hex(substring(_bits, _at div 8 + 1, 1)), 16, 10) AS int), _at % 8) & 1 = 1").select(*rows.columns)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """u, v of the pairs (x, c) whose whole sets link; ``texts`` has c and text."""
     sizes = pairs.groupBy("x").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
     dealt = pairs.join(sizes, "x").select("x", F.pmod(F.xxhash64("c"), F.col("k")).cast("int").alias("part"), "c", F.lit(1).alias("place"))
     pivots = sizes.select("x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.col("x").alias("c"), F.lit(0).alias("place"))
     wanted = materialise(dealt.unionByName(pivots), "shingle-wanted")
-    brought = texts.join(wanted, "c").select("x", "part", "place", "c", "text")
+    brought = marked(texts, "c", wanted.select("c")).join(wanted, "c").select("x", "part", "place", "c", "text")
     short_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,7 +462,7 @@ def verify(pairs: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
 def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """c and text of the classes; written once, as all verification reads them."""
     where = classes.select("c", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    hashed = marked(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), "text_hash", where.select("_hash"))
     same = (hashed["text_hash"] == where["_hash"]) & hashed["doc_id"].eqNullSafe(where["_id"])
     return materialise(hashed.join(where, same).select("c", "text"), "shingle-texts")
 
@@ -445,10 +471,8 @@ def near_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
     docs = docs.select("doc_id", "text")
     rows = prints(docs, sketch(docs))
-    least = F.min_by(F.struct("c", "doc_id", "text_hash"), "c").alias("first")
-    classes = rows.where("n > 0").groupBy("digest").agg(least, F.min("doc_id").alias("least"))
-    classes = materialise(classes.select("digest", "first.*", "least"), "shingle-classes")
-    grouped = groups(members(rows, classes))
+    classes, salt = numbered_classes(rows)
+    grouped = groups(rows, salt)
     texts = _texts(docs, classes.join(grouped.select("c").distinct(), "c", "left_semi"))
     edges = verify(star_pairs(grouped), texts)
     left = mixed_groups(grouped, edges)

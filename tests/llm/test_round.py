@@ -294,3 +294,37 @@ def test_postings_are_sent_once_to_their_tokens(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_sets(_docs(spark, rows)).collect()}
     assert got == {i: 0 for i in range(12)}
     assert plans["shingle-buckets"].count("hashpartitioning(token") == 1
+
+
+def test_classes_need_no_join_and_unneeded_texts_are_not_sent(spark, monkeypatch):
+    near = [f"a b c d e f g h i j k l m n o p q r s t u v w x y z {i}" for i in range(3)]
+    rows = [(i, near[i % 3], "en", "s") for i in range(9)] + [(9 + i, " ".join(f"w{i}_{j}" for j in range(20)), "en", "s") for i in range(30)]
+    made, sent = ngram_join.materialise, {}
+
+    def kept(df, label):
+        out = made(df, label)
+        sent[label] = out
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", kept)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_sets(_docs(spark, rows)).collect()}
+    assert got == {i: 0 if i < 9 else i for i in range(39)}
+    assert "shingle-members" not in sent
+    assert "c" not in sent["shingle-prints"].columns
+    # One row for each class and shingle, however many copies there are in how many tasks.
+    buckets = sent["shingle-buckets"]
+    assert buckets.count() == buckets.select("token", "band", "c").distinct().count()
+    assert sent["shingle-texts"].select("c").distinct().count() == 3
+
+
+def test_classes_of_one_number_get_another_salt(spark, monkeypatch):
+    own, salts = ngram_join.class_of, []
+
+    def clashing(salt):
+        salts.append(salt)
+        return F.lit(7).cast("long") if salt == 0 else own(salt)
+
+    monkeypatch.setattr(ngram_join, "class_of", clashing)
+    rows = [(i, " ".join(f"w{i // 2}_{j}" for j in range(20)), "en", "s") for i in range(6)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_sets(_docs(spark, rows)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(6)} and set(salts) == {0, 1}

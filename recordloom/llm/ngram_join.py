@@ -32,7 +32,9 @@ different texts is lost, and rows for pairs are bounded for each class and group
 Verification brings the text of a class to the class it is compared with, in
 parts of at most ``BLOCK``, and intersects the whole sets.
 
-Shingles are compared by 64-bit hashes, sets by a 128-bit digest.
+Shingles are compared by 64-bit hashes, sets by a 128-bit digest. A class has a
+number of 64 bits made of its digest with a salt by which no two classes of the
+table have the same.
 
 Edge cases: null and empty texts have no shingle and are their own component;
 null doc_ids are linked like others and never chosen while there is another;
@@ -274,9 +276,8 @@ def groups(rows: DataFrame, salt: int) -> DataFrame:
 
 def star_pairs(grouped: DataFrame) -> DataFrame:
     """x, c: every class with the pivots of its groups, where sizes fit and enough of these groups agree."""
-    pivots = grouped.groupBy("token", "band").agg(F.min(F.expr("if(side = 0, c, NULL)")).alias("x"), F.count("*").alias("size"))
-    pivots = pivots.where("size > 1 AND x IS NOT NULL").select("token", "band", "x")
-    pairs = grouped.join(pivots, ["token", "band"]).where("c <> x")
+    # Windows send the rows of a group once, a join with its pivot would do so twice.
+    pairs = grouped.withColumn("x", F.min(F.expr("if(side = 0, c, NULL)")).over(Window.partitionBy("token", "band"))).where("c <> x")
     pairs = pairs.groupBy("x", "c").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("matches").alias("matches"))
     info = grouped.select(F.col("c").alias("x"), F.col("n").alias("other_n"), F.col("matches").alias("other_matches")).distinct()
     fine = f"100 * least(n, other_n) >= {LEAST} * greatest(n, other_n) AND shared >= least(matches, other_matches)"
@@ -287,9 +288,10 @@ def mixed_groups(grouped: DataFrame, edges: DataFrame, block: int = BLOCK) -> Da
     """The rows of all groups that hold several components, with the number of parts ``k`` of large ones; written once."""
     comps = components(edges).select(F.col("node").alias("c"), "root")
     placed = grouped.join(comps, "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
-    mixed = placed.groupBy("token", "band").agg(F.count("*").alias("size"), F.min("side").alias("side"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b AND side = 0")
-    mixed = mixed.select("token", "band", F.when(F.col("size") > block, F.ceil(F.col("size") / PART_ROWS)).otherwise(0).cast("int").alias("k"))
-    return materialise(placed.join(mixed, ["token", "band"]), "shingle-mixed")
+    met = Window.partitionBy("token", "band")
+    mixed = placed.withColumns({"size": F.count("*").over(met), "low": F.min("side").over(met), "a": F.min("comp").over(met), "b": F.max("comp").over(met)})
+    mixed = mixed.where("a <> b AND low = 0").withColumn("k", F.when(F.col("size") > block, F.ceil(F.col("size") / PART_ROWS)).otherwise(0).cast("int"))
+    return materialise(mixed.drop("size", "low", "a", "b"), "shingle-mixed")
 
 
 def drawn_pairs(left: DataFrame, turn: int) -> DataFrame:

@@ -13,6 +13,7 @@ that what is shuffled is one short row for a bundle, and no text.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 KEYS = ("_path", "_block")
 # Bytes of pieces that are put together.
 BUNDLE = 1 << 18
+# Settings for tables of bundles: bytes that Python gets at once, and rows that are read at once from a written table.
+FEW_BYTES, FEW_ROWS = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}, {"parquet.block.row.count.limit": "32"}
 BEFORE = (Window.unboundedPreceding, -1)
 SO_FAR = (Window.unboundedPreceding, 0)
 
@@ -37,23 +40,46 @@ def along(*also: str) -> WindowSpec:
     return Window.partitionBy("_path", *also).orderBy("_block")
 
 
+@contextmanager
+def with_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """What runs inside has these settings; later ones are as before."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
     """value, _path, _block, _place: what stands between separators; _place orders the pieces of a part."""
     read = spark.read.option("lineSep", separator).text(path)
     return read.select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
 
 
-def bundles(spark: SparkSession, path: str, separator: str, about: Callable[[bytes], dict[str, object]], kinds: str, size: int = BUNDLE) -> DataFrame:
+def bundles(
+    spark: SparkSession, path: str, separator: str, about: Callable[[bytes], dict[str, object]], kinds: str, size: int = BUNDLE,
+    carry: Callable[[dict[str, object] | None, dict[str, object]], dict[str, object]] | None = None,
+) -> DataFrame:
     """text, _path, _block and what ``about`` says of a text, as columns of ``kinds``.
 
     A text is a run of pieces of one part, of about ``size`` bytes or one piece.
     ``_block`` orders the bundles of a file: the start of the part and the
     pieces before, each of which is a byte at least.
+
+    With ``carry`` the columns are what it makes of those of the bundle before
+    (None for the first of a part) and of what ``about`` says; ``_part``, the
+    start of the part, is added.
     """
     found = pieces(spark, path, separator).select("value", *KEYS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, before = None, 0
+        last, before, earlier = None, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -68,15 +94,18 @@ def bundles(spark: SparkSession, path: str, separator: str, about: Callable[[byt
             rows = []
             for text, a, b in zip(texts.to_pylist(), cuts[:-1], cuts[1:], strict=True):
                 key = paths[a].as_py(), int(blocks[a])
-                before = before if key == last else 0
-                rows.append({"_path": key[0], "_block": key[1] + before, **about(text)})
+                before, earlier = (before, earlier) if key == last else (0, None)
+                said = about(text)
+                if carry:
+                    said = earlier = carry(earlier, said) | {"_part": key[1]}
+                rows.append({"_path": key[0], "_block": key[1] + before, **said})
                 last, before = key, before + b - a
             made = pa.RecordBatch.from_pylist(rows)
             columns = [texts.cast(pa.string()), *(pa.array(made.column(name).to_pylist(), kind) for name, kind in schema[1:])]
             yield pa.RecordBatch.from_arrays(columns, names=[name for name, _ in schema])
 
     simple = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
-    told = f"text string, _path string, _block long, {kinds}"
+    told = f"text string, _path string, _block long, {'_part long, ' if carry else ''}{kinds}"
     schema = [(name, simple[kind]) for name, kind in (field.split() for field in told.split(", "))]
     return found.mapInArrow(run, told)
 

@@ -5,6 +5,7 @@ import random
 import xml.etree.ElementTree as ElementTree
 
 import pytest
+from pyarrow import parquet
 
 from recordloom.sources import file_parts, json_elements, readers, xml_rows
 
@@ -159,3 +160,35 @@ def test_texts_of_elements_are_not_shuffled_by_part(spark, tmp_path, monkeypatch
     json_elements.lines(spark, path)
     assert "Exchange" not in seen["json-bundles"]
     assert "hashpartitioning" not in seen["json-inner"]
+
+
+def test_texts_meet_a_row_for_each_part_and_are_read_few_at_a_time(spark, tmp_path, monkeypatch):
+    wanted = [{"a": i, "b": 'x, "[y'} for i in range(400)]
+    path = write(tmp_path / "a.json", json.dumps(wanted))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, files, made = spark.conf.get(key, None), {}, {}, json_elements.materialise
+
+    def kept(df, label):
+        seen[label] = spark.conf.get(key, None)
+        files[label] = made(df, label)
+        return files[label]
+
+    monkeypatch.setattr(json_elements, "materialise", kept)
+    got = [json.loads(r["value"]) for r in spark.read.text(json_elements.lines(spark, path, 40)).collect()]
+    assert got == wanted
+    assert files["json-bundles"].count() > 100
+    assert files["json-parts"].count() == 1
+    assert seen["json-lists"] == seen["json-inner"] == "4m"
+    for label in ("json-bundles", "json-inner"):
+        metas = [parquet.ParquetFile(name.removeprefix("file://")).metadata for name in files[label].inputFiles()]
+        assert max(m.row_group(i).num_rows for m in metas for i in range(m.num_row_groups)) <= 32
+    assert spark.conf.get(key, None) == before
+    assert spark.conf.get("parquet.block.row.count.limit", None) is None
+
+
+@pytest.mark.parametrize("size", [1, 9, 1 << 18])
+def test_lines_of_whole_and_of_cut_elements_are_alike(spark, tmp_path, size):
+    text = '[ 1 ,\r\n\t{"a" :\n 2}\t,  "x,\\" y" , [3,\r\n\r\n4] ,{} ,\n {"b": [5,{"c":[]}]}\n, null\n]\n'
+    path = write(tmp_path / "a.json", text)
+    got = [r["value"] for r in spark.read.text(json_elements.lines(spark, path, size)).collect()]
+    assert got == ['{"0": 1}', '{"a" :  2}', '{"0": "x,\\" y"}', '{"0": [3, 4]}', "{}", '{"b": [5,{"c":[]}]}', '{"0": null}']
